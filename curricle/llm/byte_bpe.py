@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +81,8 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.vocabulary))
         self.letters = dict(enumerate(byte_characters()))
         self.find = regex.compile(pattern).findall
-        self.most, self.known = cache, {}
+        self.packed = [struct.pack("<i", i) for i in range(len(self.vocabulary) + 1)]
+        self.most, self.known = cache, {}  # a pre-token's ids as little-endian bytes
 
     def _learn(self, tokens: list[str]) -> None:
         rest = []
@@ -91,10 +91,10 @@ class Codec:
             if whole is None:
                 rest.append(t)
             else:
-                self.known[t] = (whole,)
+                self.known[t] = self.packed[whole]
         as_pieces = [t.encode().decode("latin-1").translate(self.letters) for t in rest]
         for t, ids in zip(rest, self.model.encode(as_pieces, num_threads=1) if rest else [], strict=True):
-            self.known[t] = tuple(ids)
+            self.known[t] = b"".join(map(self.packed.__getitem__, ids))
 
     def encode(self, text: str) -> np.ndarray:
         tokens = self.find(text)
@@ -104,7 +104,7 @@ class Codec:
             self.known.clear()
             new = list(distinct)
         self._learn(new)
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, tokens)), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, tokens)), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -153,7 +153,9 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", keep:
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks_path, pattern)
-        rows = [codec.decode(x or []) for x in batch.column(len(keep)).to_pylist()]
+        column = batch.column(len(keep))
+        values, at = np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0))])
+        rows = [codec.decode(values[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], binaries(rows)], [*keep, out])
 
     return mapped(df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{ids}`").alias("__ids")), f, f"{_schema(df, keep)}`{out}` binary")
