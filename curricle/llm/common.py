@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _written: list[str] = []
 
@@ -68,26 +69,40 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def maybe_in(df: DataFrame, col: str, members: DataFrame, key: str, words: int = 1 << 16) -> DataFrame:
-    """The rows of df whose col may be a key of members: none is missed, a few others stay.
+def flagged(df: DataFrame, col: str, members: DataFrame, key: str, words: int = 1 << 16, out: str = "__maybe") -> DataFrame:
+    """df with a boolean column: false where col is certainly no key of members; a few other rows get true too.
 
     A bit table of `words` 64-bit words is the one thing broadcast; its size is fixed (1 MB at 65,536 words)
-    whatever the input, so that big rows are shuffled only where a later join needs them.
+    whatever the input, so that big rows are shuffled only where a later join needs them. Null is no key.
     """
     def place(c: str) -> tuple:
         h = F.xxhash64(F.col(c))
         return F.pmod(h, F.lit(words)).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
 
     word, bit = place(key)
-    bits = members.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(
+    bits = members.where(F.col(key).isNotNull()).select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(
         F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
     word, bit = place(col)
     return (df.withColumn("__w", word).withColumn("__b", bit)
-            .join(F.broadcast(bits), F.col("__w") == F.col("__word"), "inner")
-            .where(F.expr("(shiftrightunsigned(__bits, __b) & 1L) = 1L"))
+            .join(F.broadcast(bits), F.col("__w") == F.col("__word"), "left")
+            .withColumn(out, F.expr(f"{col} is not null and (shiftrightunsigned(coalesce(__bits, 0L), __b) & 1L) = 1L"))
             .drop("__w", "__b", "__word", "__bits"))
 
 
+def maybe_in(df: DataFrame, col: str, members: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose col may be a key of members: none is missed, a few others stay."""
+    return flagged(df, col, members, key).where(F.col("__maybe")).drop("__maybe")
+
+
+def without(df: DataFrame, col: str, dropped: DataFrame, key: str) -> DataFrame:
+    """df without the rows whose col is a key of dropped; only rows that may be are shuffled."""
+    marked = flagged(df, col, dropped, key)
+    sure = marked.where(~F.col("__maybe")).drop("__maybe")
+    maybe = marked.where(F.col("__maybe")).drop("__maybe")
+    gone = dropped.select(F.col(key).alias("__gone")).distinct()
+    return sure.unionByName(maybe.join(gone, F.col(col) == F.col("__gone"), "left_anti"))
+
+
 # --- Arrow ---------------------------------------------------------------------------------------------------
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +129,7 @@ def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow of a function on one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

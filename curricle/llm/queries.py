@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, minhash, sharding, sketches, suffixes
 from .common import table
 
 
@@ -22,8 +22,53 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every text and of its edited text, whose second half is replaced by the start of the next document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = sketches.with_sketch(docs, "text", "own")
+    docs = sketches.with_next(docs, "doc_id", F.struct("text", "own"), "next")
+    docs = docs.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("n_new", F.expr("cast(n_chars div 2 as int)"))
+    docs = docs.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - n_new), substring(next.text, 1, n_new))"))
+    docs = sketches.with_sketch(docs, "edited", "edited_sketch")
+    return docs.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.as_text(F.col("own")).alias("fingerprint"), sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.resemblance(F.col("own"), F.col("edited_sketch")).alias("near_edited"),
+        sketches.resemblance(F.col("own"), F.col("next.own")).alias("near_next"),
+        sketches.containment(F.col("edited_sketch"), F.col("own")).alias("edited_within_own"),
+        sketches.distinct_count(F.col("own")).alias("n_shingles_estimate"),
+    )
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards whose counts differ by one at most and which hold every source in proportion."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
+    out = sharding.interleave(docs, "source", ["doc_id", "text_crc32", "size"], shards=16, seed=1)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents over 4-word shingles at a similarity of 0.8."""
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes in 400-byte strings that also start elsewhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    out = suffixes.without_repeats(docs.select("doc_id", size, "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_sharding": op4_sharding,
+    "op7_minhash": op7_minhash,
+    "op9_suffix_array": op9_suffix_array,
 }
 
 #: DuckDB SQL where it can say the same over whole tables.
