@@ -229,10 +229,10 @@ class Words:
         if len(short):
             more = []
             for d in short:
-                x = np.uint64(self.count[d])
+                x = np.array([self.count[d]], np.uint64)
                 for w in h[self.first[d]: self.first[d + 1]]:
-                    x = mix(np.array([x + w], np.uint64))[0]
-                more.append(x)
+                    x = mix(x + w)
+                more.append(x[0])
             out, owner = np.concatenate([out, np.array(more, np.uint64)]), np.concatenate([owner, short])
         order = np.lexsort((out, owner))
         out, owner = out[order], owner[order]
