@@ -63,7 +63,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of at most so many rows and 4 MB, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
@@ -120,7 +120,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0]: at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of rows of about `most` bytes; a longer row is alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -169,7 +169,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse up to n."""
     if len(_pow[0]) <= n:
         for k, base in enumerate((_MULT, _INV)):
-            p = np.full(max(n + 1, 1 << 20), base, np.uint64)
+            p = np.full(max(n + 1, 1 << 18), base, np.uint64)
             p[0] = 1
             _pow[k] = np.multiply.accumulate(p)
     return _pow[0][: n + 1], _pow[1][: n + 1]

@@ -26,7 +26,7 @@ from .common import binaries, flagged, mapped, maybe_in, mix, pieces, prefix_has
 
 Q = 128
 MOST = 2000
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -175,15 +175,17 @@ def _surroundings(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     near = maybe_in(docs, "id", wanted, "id").join(wanted.withColumnRenamed("id", "i2"), F.expr("id = i2")).select("id", "text", "at")
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, texts, places_ = (batch.column(k).to_pylist() for k in range(3))
-        out: list[list] = [[], [], [], [], []]
-        for id_, text, at in zip(ids, texts, places_, strict=True):
-            for x in at:
-                p = x["pos"]
-                for col, v in zip(out, (x["h"], id_, p, text[max(0, p - left): p][::-1], text[p: p + length]), strict=True):
-                    col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), binaries(out[3]), binaries(out[4])],
-                                         ["h", "id", "pos", "l", "r"])
+        ids, texts, lists_ = batch.columns
+        at, flat = np.concatenate([[0], np.cumsum(lists_.value_lengths())]), lists_.flatten()
+        pos, h = np.asarray(flat.field(0)), np.asarray(flat.field(1))
+        for i, id_ in enumerate(ids):
+            body = texts[i].as_py()
+            for lo in range(at[i], at[i + 1], 1000):
+                hi = min(at[i + 1], lo + 1000)
+                ps = pos[lo:hi].tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[lo:hi]), pa.repeat(id_, hi - lo), pa.array(pos[lo:hi]), binaries([body[max(0, p - left): p][::-1] for p in ps]), binaries([body[p: p + length] for p in ps])],
+                    ["h", "id", "pos", "l", "r"])
 
     return mapped(near, f, "h bigint, id bigint, pos bigint, l binary, r binary")
 
