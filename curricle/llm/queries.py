@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, minhash, sharding, sketches, suffixes
+from . import byte_bpe, host_rules, minhash, packing, sharding, site_quality, sketches, suffixes
 from .common import table
 
 
@@ -49,12 +49,24 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of at most 2048."""
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(F.col("doc").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents over 4-word shingles at a similarity of 0.8."""
     out = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of every document, and whether it and its host pass."""
+    out = host_rules.judge(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), *host_rules.NAMES, "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "host_rate")
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes in 400-byte strings that also start elsewhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,12 +75,21 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by its own features, its source and its language within the source."""
+    out = site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_fingerprints": op3_fingerprints,
     "op4_sharding": op4_sharding,
+    "op6_packing": op6_packing,
     "op7_minhash": op7_minhash,
+    "op8_host_rules": op8_host_rules,
     "op9_suffix_array": op9_suffix_array,
+    "op10_site_quality": op10_site_quality,
 }
 
 #: DuckDB SQL where it can say the same over whole tables.
