@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, host_rules, minhash, packing, sharding, site_quality, sketches, suffixes
+from . import byte_bpe, host_rules, line_dedup, minhash, packing, sharding, site_quality, sketches, suffixes
 from .common import table
 
 
@@ -49,6 +49,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, the lines that are like an earlier line of this or another document."""
+    out = line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").alias("n_removed"), "n_links", F.col("removed").alias("removed_lines"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of at most 2048."""
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_fingerprints": op3_fingerprints,
     "op4_sharding": op4_sharding,
+    "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op7_minhash": op7_minhash,
     "op8_host_rules": op8_host_rules,
