@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, host_rules, line_dedup, minhash, packing, sharding, site_quality, sketches, suffixes
-from .common import table
+from . import byte_bpe, host_rules, line_dedup, minhash, packing, sharding, site_quality, sketches, suffixes, warc
+from .common import scratch, table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back: digests of its whole payload, and what it revisits."""
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    if not spark.read.format("binaryFile").load(path).select("path").take(1):
+        return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, whole boolean")
+    out = warc.payloads(warc.reassembled(warc.read_archives(spark, path)))
+    digest = F.when(F.col("type") == "revisit", F.col("digest")).otherwise(F.sha2("payload", 256))
+    return out.select("page_id", "payload_bytes", digest.alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "whole")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and of its edited text, whose second half is replaced by the start of the next document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -89,6 +100,7 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_warc": op2_warc,
     "op3_fingerprints": op3_fingerprints,
     "op4_sharding": op4_sharding,
     "op5_line_dedup": op5_line_dedup,
