@@ -4,7 +4,8 @@
 2. Classes are posted under each (coordinate, value) pair. A link needs at least M equal coordinates, so a class that
    shares fewer than M of its postings with anyone is out, and of the others only the K - M + 1 rarest postings are
    merged (two classes with M equal coordinates meet in one of them); the long lists are skipped.
-3. In each list the classes are compared with the least one first. Components of the confirmed links are contracted, and
+3. In each list the classes are compared with one hub first: the class whose postings are shared most, as the original of
+   many near copies is. Components of the confirmed links are contracted, and
    then only pairs across components meet, each after a lossless test of two bits of each coordinate.
 4. Every link is confirmed on the full sets.
 
@@ -95,13 +96,13 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", shin
         "id", F.expr("shiftleft(cast(c as bigint), 32) | (cast(v as bigint) & 4294967295L)").alias("key"))
     many = post.groupBy("key").agg(F.count("*").alias("df")).where("df > 1").select(F.col("key").alias("k2"), "df")
     shared = post.join(many, F.col("key") == F.col("k2")).select("id", F.struct("df", "key").alias("p"))
-    prefix = shared.groupBy("id").agg(F.sort_array(F.collect_list("p")).alias("p")).where(F.size("p") >= M)
-    prefix = prefix.select("id", F.explode(F.slice(F.col("p.key"), F.lit(1), F.size("p") - (M - 1))).alias("key"))
+    prefix = shared.groupBy("id").agg(F.sort_array(F.collect_list("p")).alias("p"), F.sum("p.df").alias("known")).where(F.size("p") >= M)
+    prefix = prefix.select("id", "known", F.explode(F.slice(F.col("p.key"), F.lit(1), F.size("p") - (M - 1))).alias("key"))
     bits = classes.select(F.col("id").alias("i2"), "b1", "b2")
-    lists_ = stored(prefix.join(bits, F.col("id") == F.col("i2")).select("key", "id", "b1", "b2"), "postings")
+    lists_ = stored(prefix.join(bits, F.col("id") == F.col("i2")).select("key", "id", "b1", "b2", "known"), "postings")
 
-    hubs = lists_.groupBy("key").agg(F.min(F.struct("id", "b1", "b2")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    hubs = hubs.select("key", "h.*")
+    hubs = lists_.groupBy("key").agg(F.max(F.struct("known", "id", "b1", "b2")).alias("h"), F.count("*").alias("c")).where("c > 1")
+    hubs = hubs.select("key", "h.id", "h.b1", "h.b2")
     first = (lists_.alias("x").join(hubs.alias("y"), F.expr(f"x.key = y.key and x.id != y.id and {_alike(M)}"))
              .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     first = stored(first, "pairs")
