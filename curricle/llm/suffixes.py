@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import binaries, flagged, mapped, maybe_in, mix, pieces, prefix_hash, raw, small_batches, span, stored
 
 Q = 128
-MOST = 2000
+MOST = 50_000
 SEGMENT = 1 << 20
 
 
