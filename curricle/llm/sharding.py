@@ -37,13 +37,21 @@ def interleave(df: DataFrame, source: str, keys: list[str], shards: int, seed: i
     counts = counts.select(F.col("__s").alias("__s2"), F.col("__b").alias("__b2"), "__before",
                            F.sum("__n").over(Window.partitionBy("__s")).alias("__of"))
     rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", *keys_))
+    ranges = 1 << range_bits
     ranked = (rows.withColumn("__r", rank)
               .join(counts, (F.col("__s") == F.col("__s2")) & (F.col("__b") == F.col("__b2")))
               .withColumn("__r", F.col("__r") + F.col("__before"))
               .withColumn("__at", (2 * F.col("__r") - 1) / (2 * F.col("__of")).cast("double"))
-              .withColumn("__j", F.floor(F.col("__at") * (1 << range_bits)).cast("int"))
+              .withColumn("__j", F.expr(f"(2 * __r - 1) * {ranges} div (2 * __of)"))
               .select(*(F.col(f"`{c}`") for c in kept), "__s", "__r", "__at", "__j"))
-    places = ranked.groupBy("__j").agg(F.count("*").alias("__n"))
+    # How many ranks of a source fall into each range follows from its size: the first rank of range j is ceil((2 n j + R) / 2R).
+    sizes = rows.groupBy("__s").agg(F.count("*").alias("__n"))
+    edge = f"((2 * __n * {{0}} + {ranges} + {2 * ranges - 1}) div {2 * ranges})"
+    small = sizes.where(F.col("__n") < ranges).select(F.explode(F.sequence(F.lit(1).cast("bigint"), "__n")).alias("__r"), "__n").select(
+        F.expr(f"(2 * __r - 1) * {ranges} div (2 * __n)").alias("__j"), F.lit(1).cast("bigint").alias("__n"))
+    large = sizes.where(F.col("__n") >= ranges).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ranges - 1).cast("bigint"))).alias("__j"), "__n").select(
+        "__j", F.expr(f"{edge.format('(__j + 1)')} - {edge.format('__j')}").alias("__n"))
+    places = small.unionByName(large).groupBy("__j").agg(F.sum("__n").alias("__n"))
     places = _running(places, "__n", [], "__j", "__before")  # one row for each range
     places = places.select(F.col("__j").alias("__j2"), "__before", F.sum("__n").over(Window.partitionBy()).alias("__all"))
     place = F.row_number().over(Window.partitionBy("__j").orderBy("__at", "__s", "__r"))
