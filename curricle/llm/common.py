@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: shared storage, Arrow plumbing and a vectorised text kernel.
+"""What the operators of this subpackage share: tables, Arrow plumbing and a vectorised text kernel.
 
 The kernel works on the UTF-8 bytes of many texts at once (an Arrow column's own buffers), so that a word
 costs a few numpy operations and no Python object.
@@ -6,9 +6,6 @@ costs a few numpy operations and no Python object.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,46 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="curricle-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
-def _sweep() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in _written if spark else []:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone at exit; the folder is scratch space
-            return
-
-
-atexit.register(_sweep)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage ends there and lost executors don't matter."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import scratch, stored  # noqa: F401  (operators take them from here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

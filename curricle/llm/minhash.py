@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, lists, mapped, maybe_in, mix, pieces, raw, small_batches, stored
-from .graph import components
+from ..operators.graph import components
 
 K, M = 64, 36
 _SEEDS = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)

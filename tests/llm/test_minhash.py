@@ -1,7 +1,7 @@
 import random
 
 from curricle.llm import minhash
-from curricle.llm.graph import components
+from curricle.operators.graph import components
 
 SPACES = " \t\n\x0b\x0c\r"
 
