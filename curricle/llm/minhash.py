@@ -5,8 +5,8 @@
    shares fewer than M of its postings with anyone is out, and of the others only the K - M + 1 rarest postings are
    merged (two classes with M equal coordinates meet in one of them); the long lists are skipped.
 3. In each list the classes are compared with one hub first: the class whose postings are shared most, as the original of
-   many near copies is. Components of the confirmed links are contracted, and
-   then only pairs across components meet, each after a lossless test of two bits of each coordinate.
+   many near copies is. Components of the confirmed links are contracted.
+   Classes of different components that share a list are then joined over their full sets, under their rarest shingles.
 4. Every link is confirmed on the full sets.
 
 A pair at similarity s has Binomial(K, s) equal coordinates: at 0.8 with K = 64 and M = 36 fewer than M have a chance of
@@ -78,6 +78,30 @@ def _alike(m: int) -> str:
     return f"bit_count(~((x.b1 ^ y.b1) | (x.b2 ^ y.b2))) >= {m}"
 
 
+def _torn(rows: DataFrame, key: str) -> DataFrame:
+    """Those rows whose key has more than one group g."""
+    torn = rows.groupBy(key).agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 != g2").select(F.col(key).alias("k2"))
+    return rows.join(torn, F.col(key) == F.col("k2"), "left_semi")
+
+
+def _across(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different groups g that may be linked, exactly: sets of the ratio asked for share one of their rarest shingles.
+
+    With shingles in order of rarity and need = ceil(t / (1 + t) (nx + ny)), two sets that share `need` have the first that they
+    share at a place of n - need or before in each. Shingles that no other set has take the first places and are not posted.
+    """
+    each = sets.join(groups.select(F.col("id").alias("i2"), "g"), F.col("id") == F.col("i2")).select("id", "g", F.size("set").alias("n"), F.explode("set").alias("x"))
+    known = each.groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select(F.col("x").alias("x2"), "c")
+    rare = each.join(known, F.col("x") == F.col("x2")).groupBy("id", "g", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s"))
+    left = F.expr(f"cast(greatest(0, n - (n * {percent} + 99) div 100 + 1 - (n - size(s))) as int)")
+    post = rare.select("id", "g", "n", F.expr("n - size(s)").alias("u"), F.posexplode(F.slice(F.col("s.x"), F.lit(1), left)).alias("i", "x"))
+    post = stored(_torn(post.select("id", "g", "n", F.expr("u + i").alias("i"), "x"), "x"), "rare")
+    need = f"(({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent})"
+    return post.alias("x").join(post.alias("y"), F.expr(f"""x.x = y.x and x.id > y.id and x.g != y.g
+        and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.i <= x.n - {need} and y.i <= y.n - {need}""")).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of df: id, n_shingles, component_id (the least id of its group of linked texts).
 
@@ -125,15 +149,11 @@ def near_duplicates(df: DataFrame, id_: str = "doc_id", text: str = "text", shin
     group = components(links)
 
     marked = lists_.join(group.select(F.col("id").alias("i2"), "component"), F.col("id") == F.col("i2"), "left").select(
-        "key", "id", "b1", "b2", F.coalesce("component", "id").alias("g"))
-    torn = marked.groupBy("key").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 != g2").select(F.col("key").alias("k2"))
-    marked = stored(marked.join(torn, F.col("key") == F.col("k2"), "left_semi"), "marked")
-    cross = (marked.alias("x").join(marked.alias("y"), F.expr(f"x.key = y.key and x.id > y.id and x.g != y.g and {_alike(M)}"))
-             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    cross = stored(cross.join(first.select(F.col("a").alias("a2"), F.col("b").alias("b2")), F.expr("a = a2 and b = b2"), "left_anti"), "pairs")
-    if cross.take(1):
-        ends = cross.select(F.col("a").alias("id")).unionByName(cross.select(F.col("b").alias("id"))).distinct()
-        more = confirmed(cross, sets_of(ends))
+        "key", "id", F.coalesce("component", "id").alias("g"))
+    rest = stored(_torn(marked, "key").select("id", "g").distinct(), "rest")
+    if rest.take(1):
+        sets = sets_of(rest.select("id"))
+        more = confirmed(_across(sets, rest, percent), sets)
         group = components(links.unionByName(more))
 
     of = least.join(group.select("id", "component"), F.col("rep") == F.col("id"), "left").select(
