@@ -8,6 +8,7 @@ into whole windows, so that each partition pads one window.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -25,27 +26,66 @@ OPEN = 512
 class WordEncoder:
     """Ids of a text by a tokenizer that never merges across a space; keeps at most `cache` words' ids.
 
-    The text is cut at spaces and line feeds only, which the tokenizer drops, so the ids of the parts are those of the whole.
+    The text is cut at spaces and line feeds only, which the tokenizer drops, so the ids of the parts are those of the whole. For a
+    tokenizer that lower-cases and tells letters from other characters, words of letters are encoded together, in lower case.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), cache, {"": b""}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or "\0"
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for i in range(0, len(words), 20_000):
+            part = words[i: i + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _at_once(self, words: list[str]) -> None:
+        """Words of letters only: each ends with the one id of it that ends a word, so they can be encoded as one text."""
+        for i in range(0, len(words), 5000):
+            part = words[i: i + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(at) != len(part) + 1 or at[-1] != 4 * len(ids):
+                self._one_by_one(part)
+                continue
+            packed = ids.tobytes()
+            for w, a, b in zip(part, at[:-1], at[1:], strict=True):
+                self.known[w] = packed[a:b]
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.known
+        plain, marked, odd = set(), [], []
+        for w in new:
+            core = w[:-1] if w[-1] in ".," else w
+            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
+                base = core.lower() if core.isascii() else core
+                if base not in known:
+                    plain.add(base)
+                if base is not w:
+                    marked.append((w, base, w[-1] if core is not w else ""))
+            else:
+                odd.append(w)
+        self._at_once(list(plain))
+        self._one_by_one([*odd, *(m for m in ".," if m not in known)])
+        for w, base, mark in marked:
+            known[w] = known[base] + known[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         distinct = set().union(*split)
         new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > self.most:
+        if len(self.known) + 2 * len(new) > self.most:
             self.known = {"": b""}
             new = [w for w in distinct if w]
-        for i in range(0, len(new), 20_000):
-            part = new[i: i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn(new)
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
