@@ -1,4 +1,8 @@
 """All queries of the engine and their SQL counterparts by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .queries import people, texts
+
+QUERIES = people.QUERIES | texts.QUERIES
+ORACLES = people.ORACLES | texts.ORACLES
