@@ -1,7 +1,8 @@
 """Which records are of the same person: blocking, scores, decisions and clusters.
 
-A pair that is not clearly different shares a phone number, an email address, a name (or name key) or a company, since no score without
-one of them reaches the lower threshold. So candidates come from equi-joins on these keys, and the result is that of comparing all pairs.
+A pair that is not clearly different shares a phone number, an email address, a name (or name key) or the whole history of employment: without
+a common name, only equal companies and equal months (0.4) with equal other fields (0.2) reach the lower threshold. So candidates come
+from equi-joins on these keys, and what they decide is what comparing all pairs would. Sharing a single company is a wider block of the same use.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..types import AUTO, MANUAL, NAME_EQUAL, NAME_KEY, WEIGHT_COMPANY, WEIGHT_EXPERIENCE, WEIGHT_NAME, WEIGHT_OTHER, WEIGHT_TIME
 from .graph import components
-from .intervals import overlap_of_pairs
+from .intervals import merged, overlap_of_pairs
 
 OTHER_FIELDS = ["school", "major", "desired"]
 
@@ -33,19 +34,28 @@ def prepared(profiles: DataFrame) -> DataFrame:
                            *(blank(c) for c in OTHER_FIELDS), F.coalesce(keys, F.array().cast("array<string>")).alias("name_keys"))
 
 
-def blocks(profiles: DataFrame, jobs: DataFrame, companies: bool = True) -> DataFrame:
-    """(kind, key, pid): what each profile may meet another by."""
+def histories(jobs: DataFrame) -> DataFrame:
+    """(pid, key): the set of companies and the merged months of people who have both."""
+    companies = jobs.groupBy("pid").agg(F.array_sort(F.filter(F.collect_set(strip(F.col("company"))), lambda c: c != "")).alias("c")).where("size(c) > 0")
+    months = merged(jobs.where("s is not null").select("pid", "s", "e"), ["pid"]).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("m"))
+    return companies.join(months, "pid").select("pid", F.to_json(F.struct("c", "m")).alias("key"))
+
+
+def blocks(profiles: DataFrame, jobs: DataFrame, by: str | None = "history") -> DataFrame:
+    """(kind, key, pid): what each profile may meet another by: contacts and names, and by `history`, by any `company` or (None) by no employment."""
     p = prepared(profiles)
     rows = p.select(F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("key")) for c in ("phone", "email", "name")))).alias("k"), "pid")
     rows = rows.select("k.kind", "k.key", "pid").unionByName(p.select(F.lit("name_key").alias("kind"), F.explode("name_keys").alias("key"), "pid"))
-    if companies:
+    if by == "company":
         rows = rows.unionByName(jobs.select(F.lit("company").alias("kind"), strip(F.col("company")).alias("key"), "pid"))
+    elif by == "history":
+        rows = rows.unionByName(histories(jobs).select(F.lit("history").alias("kind"), "key", "pid"))
     return rows.where("key is not null and key != ''").distinct()
 
 
-def candidate_pairs(profiles: DataFrame, jobs: DataFrame, companies: bool = True) -> DataFrame:
+def candidate_pairs(profiles: DataFrame, jobs: DataFrame, by: str | None = "history") -> DataFrame:
     """(a, b) with a < b of all pairs that share a block."""
-    rows = blocks(profiles, jobs, companies)
+    rows = blocks(profiles, jobs, by)
     x, y = rows.alias("x"), rows.alias("y")
     return x.join(y, F.expr("x.kind = y.kind and x.key = y.key and x.pid < y.pid")).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b")).distinct()
 
