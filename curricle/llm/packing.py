@@ -8,8 +8,9 @@ into whole windows, so that each partition pads one window.
 
 from __future__ import annotations
 
-import json
 import os
+import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +19,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import byte_characters
 from .common import binaries, small_batches
 
 OPEN = 512
+#: Marks that make one pre-token when they follow a word together, and a letter whose lower case depends on its place.
+MARKS, CAPITAL_SIGMA = ".,;:!?#*$%&|()\"", "Σ"
 
 
 class WordEncoder:
     """Ids of a text by a tokenizer that never merges across a space; keeps at most `cache` words' ids.
 
-    The text is cut at spaces and line feeds only, which the tokenizer drops, so the ids of the parts are those of the whole. For a
-    tokenizer that lower-cases and tells letters from other characters, words of letters are encoded together, in lower case.
+    The text is cut at spaces and line feeds only, which the tokenizer drops, so the ids of the parts are those of the whole. It must
+    be one that composes (NFC), lower-cases, tells letters from other characters and maps bytes to characters.
     """
 
     def __init__(self, path: str, cache: int = 1_000_000):
@@ -35,58 +39,57 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), cache, {"": b""}
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or "\0"
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.tokens = self.tokenizer.model.tokenize
+        self.letters = dict(enumerate(byte_characters()))
+        top = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        self.packed = [struct.pack("<I", i) for i in range(top + 1)]
 
     def _one_by_one(self, words: list[str]) -> None:
         for i in range(0, len(words), 20_000):
             part = words[i: i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _at_once(self, words: list[str]) -> None:
-        """Words of letters only: each ends with the one id of it that ends a word, so they can be encoded as one text."""
-        for i in range(0, len(words), 5000):
-            part = words[i: i + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(at) != len(part) + 1 or at[-1] != 4 * len(ids):
-                self._one_by_one(part)
-                continue
-            packed = ids.tobytes()
-            for w, a, b in zip(part, at[:-1], at[1:], strict=True):
-                self.known[w] = packed[a:b]
+                self.known[w] = b"".join(map(self.packed.__getitem__, e.ids))
 
     def _learn(self, new: list[str]) -> None:
-        known = self.known
-        plain, marked, odd = set(), [], []
+        """Words of letters, with marks after them or not, go to the tokenizer's model as its normaliser and its splitting would leave them."""
+        known, packed, odd, tails = self.known, self.packed, [], []
         for w in new:
-            core = w[:-1] if w[-1] in ".," else w
-            if core.isalpha() and (core.isascii() or core.lower().isalpha()):
-                base = core.lower() if core.isascii() else core
-                if base not in known:
-                    plain.add(base)
-                if base is not w:
-                    marked.append((w, base, w[-1] if core is not w else ""))
-            else:
+            core = w.rstrip(MARKS)
+            if not core.isalpha():
+                odd.append(w)
+                continue
+            if core.isascii():
+                base = core.lower()
+            elif CAPITAL_SIGMA in core or not (base := unicodedata.normalize("NFC", core).lower()).isalpha():
                 odd.append(w)
-        self._at_once(list(plain))
-        self._one_by_one([*odd, *(m for m in ".," if m not in known)])
-        for w, base, mark in marked:
-            known[w] = known[base] + known[mark]
+                continue
+            ids = known.get(base)
+            if ids is None:
+                piece = base if base.isascii() else base.encode().decode("latin-1").translate(self.letters)
+                ids = known[base] = b"".join([packed[t.id] for t in self.tokens(piece)])
+            if len(core) != len(w):
+                tail = known.get(w[len(core):])
+                if tail is None:
+                    tails.append((w, ids, w[len(core):]))
+                    continue
+                ids = ids + tail
+            known[w] = ids
+        self._one_by_one([*odd, *{t for _, _, t in tails}])
+        for w, ids, tail in tails:
+            known[w] = ids + known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*split)
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + 2 * len(new) > self.most:
-            self.known = {"": b""}
-            new = [w for w in distinct if w]
-        self._learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        distinct = list(set().union(*split))
+        here = dict(zip(distinct, map(self.known.get, distinct), strict=True))  # small enough for the processor's caches
+        new = [w for w, ids in here.items() if ids is None]
+        if new:
+            if len(self.known) + 2 * len(new) > self.most:
+                self.known = {"": b""}
+            self._learn(new)
+            here.update(zip(new, map(self.known.__getitem__, new), strict=True))
+        return [b"".join(map(here.__getitem__, words)) for words in split]
 
 
 class SumOfSquares:
@@ -171,7 +174,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "t
     A document's tokens are its text's ids and end_id; a null or empty text has end_id alone. Each token is in exactly one piece,
     and the pieces of a sequence follow each other without gaps from offset 0. Rows that share an id are packed each.
     """
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, 128)
     closing = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
