@@ -23,14 +23,27 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+def written() -> list[str]:
+    """Paths of all scratch tables that are still there."""
+    return list(_written)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _written:
+            _written.remove(path)
+
+
 def _sweep() -> None:
     spark = SparkSession.getActiveSession()
-    for path in _written if spark else []:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session may be gone at exit; the folder is scratch space
-            return
+    try:
+        if spark:
+            release(spark, written())
+    except Exception:  # the session may be gone at exit; the folder is scratch space
+        return
 
 
 atexit.register(_sweep)
