@@ -1,35 +1,57 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. run() writes each stage's result as Parquet
-in the shared folder and reads it again as the next one's docs.
+in the shared folder and reads it again as the next one's docs; a stage's result must be written before the next stage begins.
 """
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curricle import storage
 from curricle.llm import line_dedup, minhash, packing, site_quality, suffixes
 from curricle.llm.common import stored, table, without
 
 
+_left: list[str] = []
+
+
+def _stage(f):
+    """A stage that first deletes what the stage before it wrote for itself: its result has been written, so nothing reads that any more."""
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.release(spark, _left)
+        before = set(storage.written())
+        out = f(spark, docs, sf_dir)
+        _left[:] = [p for p in storage.written() if p not in before]
+        return out
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that the classifier rejects go."""
     return site_quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: lines that are like an earlier line go, and documents that have no line left."""
     return _counted(line_dedup.without_lines(docs))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of each group of near-duplicates over 5-word shingles, the document with the least id stays."""
     groups = stored(minhash.near_duplicates(docs, shingle=5, percent=80), "groups")
     return without(docs, "doc_id", groups.where("id != component_id").select("id"), "id")
 
 
+@_stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: bytes in 400-byte strings that also start elsewhere go; what a cut leaves of a character becomes U+FFFD."""
     out = suffixes.without_repeats(docs.withColumn("__null", F.col("text").isNull()))
@@ -37,6 +59,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _counted(out.withColumn("text", text).select(docs.columns))
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: the texts' tokens in sequences of at most 2048."""
     out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

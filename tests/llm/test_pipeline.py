@@ -1,6 +1,6 @@
 import corpus_pipeline
 from curricle.llm import site_quality
-from curricle.llm.common import without
+from curricle.llm.common import stored, without
 from pyspark.sql import functions as F
 from test_line_dedup import brute as brute_lines
 from test_minhash import brute as brute_groups
@@ -14,25 +14,25 @@ def test_stages(spark, data):
     assert names == ["quality", "lines", "near_duplicates", "repeats", "packing"]
     stage = dict(corpus_pipeline.STAGES)
 
-    good = stage["quality"](spark, docs, data).cache()
+    good = stored(stage["quality"](spark, docs, data), "stage")
     verdict = {r.id: r.kept for r in site_quality.classify(docs, spark.read.parquet(f"{data}/labels.parquet")).collect()}
     assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == {i for i, k in verdict.items() if k}
     assert 0 < good.count() < docs.count()
 
     rows = [(r.doc_id, r.text) for r in good.collect()]
-    lines = stage["lines"](spark, good, data).cache()
+    lines = stored(stage["lines"](spark, good, data), "stage")
     gone = brute_lines(rows)
     want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in rows}
     want = {i: t for i, t in want.items() if t.strip() or not gone[i]}
     assert lines.columns == docs.columns and {r.doc_id: r.text for r in lines.collect()} == want
     assert all(r.n_chars == len(r.text) for r in lines.collect())
 
-    single = stage["near_duplicates"](spark, lines, data).cache()
+    single = stored(stage["near_duplicates"](spark, lines, data), "stage")
     groups = brute_groups(list(want.items()), 5)
     want = {i: t for i, t in want.items() if groups[i][1] == i}
     assert single.columns == docs.columns and {r.doc_id: r.text for r in single.collect()} == want
 
-    cut = stage["repeats"](spark, single, data).cache()
+    cut = stored(stage["repeats"](spark, single, data), "stage")
     assert cut.columns == docs.columns
     assert {r.doc_id: r.text for r in cut.collect()} == {i: b.decode(errors="replace") for i, _, _, b in brute_repeats(list(want.items()), 400)}
 
