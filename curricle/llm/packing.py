@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import os
 import struct
+import threading
+import time
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ MARKS, CAPITAL_SIGMA = ".,;:!?#*$%&|()\"", "Σ"
 class WordEncoder:
     """Ids of a text by a tokenizer that never merges across a space; keeps at most `cache` words' ids.
 
-    The text is cut at spaces and line feeds only, which the tokenizer drops, so the ids of the parts are those of the whole. It must
+    The text is cut at ASCII white space only, which the tokenizer drops, so the ids of the parts are those of the whole. It must
     be one that composes (NFC), lower-cases, tells letters from other characters and maps bytes to characters.
     """
 
@@ -39,7 +42,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), cache, {"": b""}
-        self.tokens = self.tokenizer.model.tokenize
+        self.tokens, self.used = self.tokenizer.model.tokenize, time.monotonic()
         self.letters = dict(enumerate(byte_characters()))
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.packed = [struct.pack("<I", i) for i in range(top + 1)]
@@ -78,18 +81,38 @@ class WordEncoder:
         for w, ids, tail in tails:
             known[w] = ids + known[tail]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        distinct = list(set().union(*split))
-        here = dict(zip(distinct, map(self.known.get, distinct), strict=True))  # small enough for the processor's caches
-        new = [w for w, ids in here.items() if ids is None]
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column (no nulls) and where each text's begin, and the last one's end."""
+        self.used = time.monotonic()
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, place = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices)
+        ids = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(ids) if x is None]
         if new:
             if len(self.known) + 2 * len(new) > self.most:
                 self.known = {"": b""}
-            self._learn(new)
-            here.update(zip(new, map(self.known.__getitem__, new), strict=True))
-        return [b"".join(map(here.__getitem__, words)) for words in split]
+            self._learn([words[i] for i in new])
+            for i in new:
+                ids[i] = self.known[words[i]]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        n = size[place]
+        end = np.cumsum(n)
+        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[place] - end + n, n) + np.arange(n.sum())]
+        return out, np.concatenate([[0], end])[np.asarray(split.offsets) - split.offsets[0].as_py()]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        ids, at = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def rest(self, seconds: float = 4.0) -> None:
+        """Forgets its words when no task has used it for so long, so that a worker that is kept for other work is small."""
+        while True:
+            time.sleep(seconds)
+            if len(self.known) > 1 and time.monotonic() - self.used > seconds:
+                self.known = {"": b""}
 
 
 class SumOfSquares:
@@ -168,17 +191,24 @@ class SumOfSquares:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _encoder(path: str) -> WordEncoder:
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+        threading.Thread(target=_encoders[path].rest, daemon=True).start()
+    return _encoders[path]
+
+
 def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces: doc (id), start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit, binary).
 
     A document's tokens are its text's ids and end_id; a null or empty text has end_id alone. Each token is in exactly one piece,
     and the pieces of a sequence follow each other without gaps from offset 0. Rows that share an id are packed each.
     """
-    small_batches(df.sparkSession, 128)
+    small_batches(df.sparkSession, 1024)
     closing = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
+        encoder = _encoder(tokenizer_path)
         packer = SumOfSquares(size, TaskContext.get().partitionId() << 32)
 
         def batch_of(found: list) -> pa.RecordBatch:
@@ -190,9 +220,9 @@ def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "t
 
         for batch in batches:
             found = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                ids += closing
+            tokens, at = encoder.encode_column(batch.column(1).fill_null(""))
+            for doc, a, b in zip(batch.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+                ids = tokens[a:b].tobytes() + closing
                 whole = len(ids) // 4
                 for start in range(0, whole, size):
                     part = ids[4 * start: 4 * (start + size)]
