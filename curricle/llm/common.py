@@ -61,6 +61,12 @@ def without(df: DataFrame, col: str, dropped: DataFrame, key: str) -> DataFrame:
     return sure.unionByName(maybe.join(gone, F.col(col) == F.col("__gone"), "left_anti"))
 
 
+def looked_up(rows: DataFrame, sites: DataFrame, on: str, name: str, most: int = 1 << 16) -> DataFrame:
+    """rows joined with a table of sites, which is broadcast only if it has at most `most` rows; a larger one is shuffled, hot sites being split."""
+    sites = stored(sites, name)
+    return rows.join(F.broadcast(sites) if sites.count() <= most else sites, F.expr(on))
+
+
 # --- Arrow ---------------------------------------------------------------------------------------------------
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, pieces, raw, small_batches, stored
+from .common import looked_up, mapped, pieces, raw, small_batches, stored
 from .textstats import statistics
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -59,5 +59,5 @@ def judge(df: DataFrame, id_: str = "doc_id", host: str = "source", text: str =
     prior = beta_prior(sites, "bad", "all")
     rates = sites.join(F.broadcast(prior))  # one row
     rates = rates.select(F.col("site").alias("s2"), F.expr("(bad + prior_mean * prior_strength) / (all + prior_strength)").alias("host_rate"))
-    out = rows.join(rates, F.expr("site = s2"))
+    out = looked_up(rows, rates, "site = s2", "rates")
     return out.select("id", "host", *NAMES, "base_failed", "host_rate", (F.col("host_rate") <= most_failing).alias("host_ok"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, maybe_in, pieces, raw, small_batches, stored, without
+from .common import looked_up, mapped, maybe_in, pieces, raw, small_batches, stored, without
 from .host_rules import beta_prior
 from .textstats import FEATURES, features
 
@@ -97,7 +97,7 @@ def posterior(scores: DataFrame) -> DataFrame:
     each = within.join(hosts, F.expr("site = s2")).select(
         F.col("site").alias("s3"), F.col("path").alias("p3"), "base", "host_posterior",
         F.expr("(g + host_posterior * prior_strength) / (n + prior_strength)").alias("path_posterior"))
-    out = scores.join(each, F.expr("site = s3 and path = p3")).drop("s3", "p3")
+    out = looked_up(scores, each, "site = s3 and path = p3", "posteriors").drop("s3", "p3")
     total = F.col("log_odds") + _logit(F.col("path_posterior")) - _logit(F.col("base"))
     return out.withColumn("quality", 1 / (1 + F.exp(-total))).drop("base")
 
