@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.masking import HARD, binary_findings, line_findings
 from ..functions.text import physical_lines
+from ..shipping import ship
 
 #: Entries of archives that are scanned as text.
 TEXT_ENTRIES = (".xml", ".rels")
@@ -44,6 +45,8 @@ def audit_files(files: DataFrame, key: str, content: str, words: list[str] = ())
 
 def archive_entries(files: DataFrame, key: str, content: str) -> DataFrame:
     """key (`file::entry`), content, as_text of the entries of zip files; what is no archive stays one entry."""
+    ship(files.sparkSession)
+
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, body in zip(batch["k"], batch["c"], strict=True):

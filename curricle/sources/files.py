@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_line, physical_lines, strip
+from ..shipping import ship
 
 SUFFIXES = ("pdf", "docx", "txt")
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -122,6 +123,7 @@ def read_resumes(files: DataFrame, glyphs: DataFrame | None = None) -> DataFrame
     Page files need their glyphs (source_file, page, top, x0, text), as no decoder of their bytes is part of this engine.
     """
     names = ["source_file", "file_type", "file_sha256", "raw_text", "lines"]
+    ship(files.sparkSession)
     out = read_txt(files.where("file_type = 'txt'")).select(names).unionByName(read_docx(files.where("file_type = 'docx'")).select(names))
     rest = files.where("file_type not in ('txt', 'docx')").select("source_file", "file_type", "file_sha256")
     if glyphs is None:
