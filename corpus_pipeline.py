@@ -17,6 +17,9 @@ from curricle.llm import line_dedup, minhash, packing, site_quality, suffixes
 from curricle.llm.common import stored, table, without
 
 
+#: A passage of fifty words takes about 320 bytes in the languages of the corpus, and hardly ever fewer than these.
+PASSAGE = 240
+
 _left: list[str] = []
 
 
@@ -53,8 +56,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: bytes in 400-byte strings that also start elsewhere go; what a cut leaves of a character becomes U+FFFD."""
-    out = suffixes.without_repeats(docs.withColumn("__null", F.col("text").isNull()))
+    """Operator 9: bytes in strings of PASSAGE bytes that also start elsewhere go; what a cut leaves of a character becomes U+FFFD."""
+    out = suffixes.without_repeats(docs.withColumn("__null", F.col("text").isNull()), length=PASSAGE)
     text = F.when(~F.col("__null"), F.make_valid_utf8(F.col("text").cast("string")))
     return _counted(out.withColumn("text", text).select(docs.columns))
 

@@ -1,6 +1,6 @@
 """Removal of repeated byte strings with enhanced suffix arrays over content-chosen suffixes.
 
-Every window of LENGTH bytes holds an anchor: a position whose Q-gram hash is the least of the window (all of them, if
+Every window of the given length holds an anchor: a position whose gram (up to Q bytes) has the least hash of the window (all of them, if
 several are). Equal windows have anchors at equal places, so strings that repeat meet in the group of one Q-gram hash.
 
 Anchors with the same surroundings, as far as any window around them reaches, are repeats as they stand; they are found
@@ -29,6 +29,11 @@ MOST = 50_000
 SEGMENT = 1 << 20
 
 
+def gram(length: int) -> int:
+    """Bytes of a gram: as many as Q, but a third of a short string, so that anchors stay rare."""
+    return max(1, min(Q, length // 3))
+
+
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
     """f over each run of w values of x."""
     size = 1
@@ -39,7 +44,7 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of anchors, their Q-gram hashes, and the running sums. Texts are data[offsets[i]:offsets[i+1]]."""
-    q, n = min(Q, length), len(data)
+    q, n = gram(length), len(data)
     sums = prefix_hash(data)
     none = np.zeros(0, np.int64)
     if n < length:
@@ -75,7 +80,7 @@ def _regions(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.nd
 def anchors(df: DataFrame, id_: str, text: str, length: int) -> DataFrame:
     """id, pos, h (Q-gram hash), ctx (hash of the surroundings), l, r (bytes of them before and from pos on)."""
     small_batches(df.sparkSession)
-    left = length - min(Q, length)
+    left = length - gram(length)
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, at = raw(batch.column(1))
@@ -170,7 +175,7 @@ def covered(rights: list[bytes], lefts: list[bytes], length: int) -> tuple[np.nd
 
 def _surroundings(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     """Bytes around each place: h, id, pos, left (reversed), right."""
-    left = length - min(Q, length)
+    left = length - gram(length)
     wanted = places.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("at"))
     near = maybe_in(docs, "id", wanted, "id").join(wanted.withColumnRenamed("id", "i2"), F.expr("id = i2")).select("id", "text", "at")
 

@@ -34,7 +34,7 @@ def test_stages(spark, data):
 
     cut = stored(stage["repeats"](spark, single, data), "stage")
     assert cut.columns == docs.columns
-    assert {r.doc_id: r.text for r in cut.collect()} == {i: b.decode(errors="replace") for i, _, _, b in brute_repeats(list(want.items()), 400)}
+    assert {r.doc_id: r.text for r in cut.collect()} == {i: b.decode(errors="replace") for i, _, _, b in brute_repeats(list(want.items()), corpus_pipeline.PASSAGE)}
 
     packed = stage["packing"](spark, cut, data)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(want)
