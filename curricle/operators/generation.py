@@ -63,3 +63,18 @@ def resume_text(people: DataFrame) -> DataFrame:
     parts = F.array(line("姓名", "name"), line("电话", "phone"), line("邮箱", "email"), line("学历", "degree"), line("毕业院校", "school"), line("专业", "major"), line("期望职位", "desired"))
     body = F.concat(F.array_compact(parts), F.array(F.lit("工作经历")), jobs, F.array(F.lit("技能"), F.array_join("skills", "、")))
     return people.select("pid", F.array_join(body, "\n").alias("raw_text"))
+
+
+def homonyms(people: DataFrame, key: str, pairs: list[tuple[int, int]], name: str = "name") -> DataFrame:
+    """people, in which the second of each pair bears the name of the first. Pairs are a fixed list, so they are broadcast."""
+    spark = people.sparkSession
+    given = spark.createDataFrame(pairs, "__first bigint, __second bigint")
+    named = people.join(F.broadcast(given), F.col(key) == F.col("__first")).select(F.col("__second"), F.col(name).alias("__name"))
+    return people.join(F.broadcast(named), F.col(key) == F.col("__second"), "left").withColumn(name, F.coalesce("__name", name)).drop("__second", "__name")
+
+
+def independent(jobs: DataFrame, key: str, pairs: list[tuple[int, int]], company: str = "company") -> DataFrame:
+    """jobs, in which the second of each pair never worked where the first did."""
+    given = F.broadcast(jobs.sparkSession.createDataFrame(pairs, "__first bigint, __second bigint"))
+    taken = jobs.join(given, F.col(key) == F.col("__first")).select("__second", F.col(company).alias("__company")).distinct()
+    return jobs.join(taken, (F.col(key) == F.col("__second")) & (F.col(company) == F.col("__company")), "left_anti")
