@@ -81,7 +81,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts of every document, and whether it and its host pass."""
     out = host_rules.judge(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), *host_rules.NAMES, "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "host_rate")
+    return out.select(F.col("id").alias("doc_id"), *host_rules.NAMES, "base_failed", (~F.col("base_failed") & F.col("host_ok")).alias("kept"), F.round("host_rate", 6).alias("host_rate"))
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,5 +111,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_site_quality": op10_site_quality,
 }
 
+_WORDS = r"list_filter(string_split_regex({}, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 #: DuckDB SQL where it can say the same over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY sha256(html)) AS first, strlen(html) AS n FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to, true AS whole FROM f""",
+    "op7_minhash": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+        g AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT g.doc_id, coalesce(n, 0) AS n_shingles, component_id, g.doc_id = component_id AS kept FROM g LEFT JOIN n ON n.doc_id = g.doc_id""",
+    "op8_host_rules": f"""
+        WITH w AS (SELECT doc_id, coalesce('=' || source, '-') AS site, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        t AS (SELECT doc_id, i, w[i] || chr(1) || w[i+1] || chr(1) || w[i+2] AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w)),
+        d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM t) WHERE c > 1),
+        m AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM d, (VALUES (0), (1), (2)) v(j) GROUP BY doc_id),
+        x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+        y AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM x WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') GROUP BY doc_id),
+        c AS (SELECT w.doc_id, site, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+            CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(y.n, 0) AS n_dup_lines, coalesce(m.n, 0) AS n_repeat_words
+          FROM w LEFT JOIN m ON m.doc_id = w.doc_id LEFT JOIN y ON y.doc_id = w.doc_id),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+        h AS (SELECT site, sum(base_failed::INT)::DOUBLE AS bad, count(*)::DOUBLE AS n FROM b GROUP BY site),
+        p AS (SELECT sum(bad) AS g, sum(n) AS t, count(*) AS h, sum(bad * bad / n) AS q, (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) AS m FROM h),
+        e AS (SELECT m, least(1e6::DOUBLE, greatest(1::DOUBLE, m * (1 - m) / greatest((q - 2 * m * g + m * m * t - (h - 1) * m * (1 - m)) / greatest(t, 1), 1e-9::DOUBLE) - 1)) AS s FROM p),
+        r AS (SELECT site, round((bad + m * s) / (n + s), 6) AS rate FROM h, e)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, rate AS host_rate FROM b JOIN r ON r.site = b.site""",
+}
