@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             _written.remove(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Collects the driver's garbage, so that Spark deletes the shuffle files of plans that nothing holds any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _sweep() -> None:
     spark = SparkSession.getActiveSession()
     try:
