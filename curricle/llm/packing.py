@@ -191,24 +191,26 @@ class SumOfSquares:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, words: int) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
         threading.Thread(target=_encoders[path].rest, daemon=True).start()
+    _encoders[path].most = words
     return _encoders[path]
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, words: int = 1_000_000) -> DataFrame:
     """Pieces: doc (id), start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit, binary).
 
     A document's tokens are its text's ids and end_id; a null or empty text has end_id alone. Each token is in exactly one piece,
     and the pieces of a sequence follow each other without gaps from offset 0. Rows that share an id are packed each.
+    A worker keeps the ids of up to `words` words (about 250 bytes each); fewer take less memory and more time, for the same result.
     """
     small_batches(df.sparkSession, 1024)
     closing = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, words)
         packer = SumOfSquares(size, TaskContext.get().partitionId() << 32)
 
         def batch_of(found: list) -> pa.RecordBatch:
