@@ -10,7 +10,7 @@
 4. Every link is confirmed on the full sets.
 
 A pair at similarity s has Binomial(K, s) equal coordinates: at 0.8 with K = 64 and M = 36 fewer than M have a chance of
-about one in a hundred thousand.
+about four in a million.
 """
 
 from __future__ import annotations
