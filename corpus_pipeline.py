@@ -44,7 +44,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: lines that are like an earlier line go, and documents that have no line left."""
-    return _counted(line_dedup.without_lines(docs))
+    return _counted(line_dedup.without_lines(docs, least_words=1))
 
 
 @_stage

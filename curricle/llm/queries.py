@@ -62,7 +62,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document, the lines that are like an earlier line of this or another document."""
-    out = line_dedup.removed_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.removed_lines(table(spark, sf_dir, "documents"), least_words=1)
     return out.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").alias("n_removed"), F.col("removed").alias("removed_lines"))
 
 
