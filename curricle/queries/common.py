@@ -26,9 +26,9 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pid, rn, company, s, e (month indexes): the first two orders of each customer as employments."""
+    """pid, rn, company, s, e (month indexes): the orders of each customer as employments, numbered by order key."""
     rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn("rn", rank).where("rn <= 2")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn("rn", rank)
     s = F.year("o_orderdate") * 12 + F.month("o_orderdate")
     grp = F.floor(F.col("o_custkey") / 10).cast("int")
     company = F.when(F.col("o_custkey") % 10 == 5, F.concat(F.lit("X"), F.col("rn"))).otherwise(F.concat(F.lit("B"), (grp + F.col("rn")) % 40))
@@ -36,12 +36,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pid, kind, tag: the brands that a customer's first two orders have, as skills (odd lines) or certificates (even lines)."""
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    first = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("rn", rank).where("rn <= 2")
+    """pid, kind, tag: the brands that a customer's orders have, as skills (odd lines) or certificates (even lines)."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    rows = lines.join(first, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return rows.select(F.col("o_custkey").alias("pid"), F.when(F.col("l_linenumber") % 2 == 1, "skill").otherwise("certificate").alias("kind"), F.col("p_brand").alias("tag")).distinct()
 
 
