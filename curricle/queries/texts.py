@@ -185,9 +185,12 @@ def dedup_sha256(spark, d):
 @query("""WITH s AS (SELECT doc_id, CASE WHEN text='' THEN 'failed' WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id)=1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id%5=0) THEN 'new' ELSE 'duplicate' END AS status FROM documents WHERE doc_id%5<>0)
   SELECT status, count(*) AS n FROM s GROUP BY status""")
 def import_status(spark, d):
-    """A second batch (four fifths of the documents) against what a first one brought."""
-    rows = table(spark, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("sha256"))
-    out = merging.first_by_hash(rows.where("doc_id % 5 != 0"), "sha256", ["doc_id"], rows.where("doc_id % 5 = 0"))
+    """Two batches, both reported: the documents of the least source, and all others against what these brought."""
+    docs = table(spark, d, "documents")
+    least = docs.agg(F.min("source").alias("least"))  # one row
+    rows = docs.join(F.broadcast(least)).select("doc_id", "text", F.sha2("text", 256).alias("sha256"), F.coalesce(F.col("source") == F.col("least"), F.lit(False)).alias("early"))
+    early, late = (rows.where(c).drop("early") for c in ("early", "not early"))
+    out = merging.first_by_hash(early, "sha256", ["doc_id"]).unionByName(merging.first_by_hash(late, "sha256", ["doc_id"], early))
     return out.withColumn("status", F.when(F.col("text") == "", "failed").otherwise(F.col("status"))).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -232,10 +235,11 @@ def purge_preview(spark, d):
 
 
 def _guesses(spark, d):
-    """What a plain rule says about documents (long enough: good; shouted: toxic) and what the labels say."""
+    """What a plain rule says about all documents (long enough: good; shouted: toxic; nothing about empty ones) and what the labels say."""
     docs, labels = table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels")
     rows = lambda q, t: F.explode(F.array(F.struct(F.lit("quality").alias("grp"), q.alias("value")), F.struct(F.lit("toxic").alias("grp"), t.alias("value")))).alias("x")
-    guessed = docs.where("doc_id % 7 != 0").select("doc_id", rows((F.col("n_chars") > 800).cast("int"), (F.col("n_chars") % 2).cast("int"))).select("doc_id", "x.*")
+    said = lambda c: F.when(F.col("n_chars") > 0, c.cast("int"))
+    guessed = docs.select("doc_id", rows(said(F.col("n_chars") > 800), said(F.col("n_chars") % 2))).select("doc_id", "x.*")
     return guessed, labels.select("doc_id", rows(F.col("quality"), F.col("toxic"))).select("doc_id", "x.*")
 
 

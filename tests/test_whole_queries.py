@@ -15,3 +15,22 @@ def test_audit_reports_paths(spark, tmp_path):
     d = written(spark, tmp_path, ["C:\\Users\\x\nsee D:/data and D:/more", "https://a.org\nmail a@corp.org", "in ProgramData", "aC:\\Users\\x", ""])
     got = {(r.doc_id, r.category, r.n) for r in catalogue.QUERIES["audit_categories"](spark, d).collect()}
     assert got == {(0, "USERPATH", 1), (0, "DRIVEPATH", 1), (1, "EMAIL", 1), (2, "SYSTEM_FOLDER", 1)}
+
+
+def test_import_status_reports_both_batches(spark, tmp_path):
+    d = written(spark, tmp_path, ["a", "b", "a", "", "b", "c", "a", None], {1: "s1", 2: "s1", 4: "s1", 5: "s1", 7: None})
+    got = {r.status: r.n for r in catalogue.QUERIES["import_status"](spark, d).collect()}
+    # early: 0 new, 3 failed, 6 duplicate; late: 1 and 5 new, 2 and 4 duplicate, 7 (no text, no hash) duplicate
+    assert got == {"new": 3, "duplicate": 4, "failed": 1}
+
+
+def test_every_document_is_predicted(spark, tmp_path):
+    d = written(spark, tmp_path, ["x" * 900, "y", "", *["z" * 801] * 5])  # good and even, bad and odd, nothing said, good and odd
+    spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    got = {r.grp: (r.tp, r.fp, r.fn) for r in catalogue.QUERIES["eval_scalar_prf"](spark, d).collect()}
+    assert got == {"quality": (6, 1, 2), "toxic": (1, 6, 7)}
+    failed = {(r.doc_id, r.grp): (r.fp, r.fn) for r in catalogue.QUERIES["eval_failures_topn"](spark, d).collect()}
+    assert failed[(7, "toxic")] == (1, 1) and failed[(2, "quality")] == (0, 1) and (0, "quality") not in failed
+    f1 = [2 * p * r / (p + r) for p, r in ((6 / 7, 6 / 8), (1 / 7, 1 / 8))]
+    row = catalogue.QUERIES["eval_macro_f1"](spark, d).first()
+    assert row.n_groups == 2 and abs(row.macro_f1 - sum(f1) / 2) < 1e-6
