@@ -6,8 +6,8 @@ several are). Equal windows have anchors at equal places, so strings that repeat
 Anchors with the same surroundings, as far as any window around them reaches, are repeats as they stand; they are found
 by counting hashes, whatever their number. Each group of anchors with different surroundings gets a sparse enhanced suffix
 array: suffixes from the anchors on in order, their common prefixes, and a stack scan over the intervals of common
-prefixes, from the deepest to the widest. An interval whose members differ in what stands before them is a maximal repeat
-with all its occurrences; how far members share their left sides extends it.
+prefixes, from the deepest to the widest. How far members of an interval share their left sides extends its common prefix; what
+reaches the length is a repeat. There is no test of left diversity, and no output of maximal repeats as groups.
 
 Groups of more than MOST different surroundings go another exact way: the windows around their anchors are hashed and
 counted, which spreads over all tasks.
@@ -152,7 +152,7 @@ class SuffixGroup:
     def repeats(self, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(common prefix, members, how far each shares its left side with another) of the intervals with repeats of `length`.
 
-        Members are diverse on the left where that falls short of what stands there, so extending by it makes the repeat maximal.
+        Inner intervals come too, whether or not their members are diverse on the left; the union of what they cover is the same.
         """
         for depth, first, last in self.intervals():
             ranks = np.sort(self.rank[self.order[first: last + 1]])
