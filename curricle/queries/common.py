@@ -58,10 +58,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderk
 expr AS (
   SELECT o_custkey AS pid, CAST(rn AS INT) AS rn, CASE WHEN o_custkey%10=5 THEN concat('X',rn) ELSE concat('B',(CAST(floor(o_custkey/10) AS INT)+rn)%40) END AS company,
     CAST(year(o_orderdate)*12+month(o_orderdate) AS INT) AS s, CAST(year(o_orderdate)*12+month(o_orderdate)+24+o_orderkey%60 AS INT) AS e
-  FROM ranked WHERE rn<=2),
+  FROM ranked),
 tags AS (
   SELECT DISTINCT o_custkey AS pid, CASE WHEN l_linenumber%2=1 THEN 'skill' ELSE 'certificate' END AS kind, p_brand AS tag
-  FROM ranked JOIN lineitem ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey WHERE rn<=2),
+  FROM ranked JOIN lineitem ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey),
 p0 AS (SELECT pid,s,e,max(e) OVER (PARTITION BY pid ORDER BY s,e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM expr),
 p1 AS (SELECT pid,s,e,sum(CASE WHEN pm IS NULL OR s>pm+1 THEN 1 ELSE 0 END) OVER (PARTITION BY pid ORDER BY s,e ROWS UNBOUNDED PRECEDING) AS g FROM p0),
 merged AS (SELECT pid,CAST(g AS INT) AS g,min(s) AS s,max(e) AS e FROM p1 GROUP BY pid,g),

@@ -182,7 +182,8 @@ def dedup_sha256(spark, d):
     return merging.first_by_hash(rows, "sha256", ["doc_id"])
 
 
-@query("""WITH s AS (SELECT doc_id, CASE WHEN text='' THEN 'failed' WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id)=1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id%5=0) THEN 'new' ELSE 'duplicate' END AS status FROM documents WHERE doc_id%5<>0)
+@query("""WITH d AS (SELECT doc_id, text, sha256(text) AS sha, coalesce(source = (SELECT min(source) FROM documents), false) AS early FROM documents),
+  s AS (SELECT CASE WHEN text='' THEN 'failed' WHEN sha IS NOT NULL AND row_number() OVER (PARTITION BY early, sha ORDER BY doc_id)=1 AND (early OR sha NOT IN (SELECT sha FROM d WHERE early AND sha IS NOT NULL)) THEN 'new' ELSE 'duplicate' END AS status FROM d)
   SELECT status, count(*) AS n FROM s GROUP BY status""")
 def import_status(spark, d):
     """Two batches, both reported: the documents of the least source, and all others against what these brought."""
@@ -243,7 +244,7 @@ def _guesses(spark, d):
     return guessed, labels.select("doc_id", rows(F.col("quality"), F.col("toxic"))).select("doc_id", "x.*")
 
 
-GUESS = """WITH g AS (SELECT doc_id, unnest(['quality','toxic']) AS grp, unnest([CAST(n_chars>800 AS INT), CAST(n_chars%2 AS INT)]) AS p FROM documents WHERE doc_id%7<>0),
+GUESS = """WITH g AS (SELECT doc_id, unnest(['quality','toxic']) AS grp, unnest([CASE WHEN n_chars>0 THEN CAST(n_chars>800 AS INT) END, CASE WHEN n_chars>0 THEN CAST(n_chars%2 AS INT) END]) AS p FROM documents),
   t AS (SELECT doc_id, unnest(['quality','toxic']) AS grp, unnest([quality, toxic]) AS t FROM labels),
   b AS (SELECT coalesce(g.doc_id,t.doc_id) AS doc_id, coalesce(g.grp,t.grp) AS grp, p, t, coalesce(p=t,false) AS same FROM g FULL JOIN t ON g.doc_id=t.doc_id AND g.grp=t.grp),
   c AS (SELECT grp, count(*) FILTER (same) AS tp, count(*) FILTER (p IS NOT NULL AND NOT same) AS fp, count(*) FILTER (t IS NOT NULL AND NOT same) AS fn FROM b GROUP BY grp),
