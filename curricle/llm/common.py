@@ -29,38 +29,58 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
-def flagged(df: DataFrame, col: str, members: DataFrame, key: str, words: int = 1 << 16, out: str = "__maybe") -> DataFrame:
-    """df with a boolean column: false where col is certainly no key of members; a few other rows get true too.
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        made, k = f"__{name}", 0
+        while any(t.startswith(made.lower()) for t in taken):
+            k += 1
+            made = f"__{name}{k}"
+        out.append(made)
+    return out
+
 
-    A bit table of `words` 64-bit words is the one thing broadcast; its size is fixed (1 MB at 65,536 words)
-    whatever the input, so that big rows are shuffled only where a later join needs them. Null is no key.
+def flagged(df: DataFrame, col: str, members: DataFrame, key: str, out: str = "__maybe") -> DataFrame:
+    """df with a boolean column `out`: false where col is certainly no key of members; a few other rows get true too.
+
+    A table of bits is the one thing broadcast, so that big rows are shuffled only where a later join needs them. It has 32 bits for each member,
+    counted first, and at most 2^18 words (4 MB with their numbers). Beyond that it would mark ever more rows, so then all get true and are shuffled. Null is no key.
     """
+    n = members.count()
+    words = 1 << max(6, min(18, (n // 2).bit_length()))
+    if n > 24 * words:
+        return df.withColumn(out, F.col(f"`{col}`").isNotNull())
+    w, b, w2, bits_ = fresh(df, "word", "bit", "of", "bits")
+
     def place(c: str) -> tuple:
-        h = F.xxhash64(F.col(c))
+        h = F.xxhash64(F.col(f"`{c}`"))
         return F.pmod(h, F.lit(words)).cast("int"), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
 
     word, bit = place(key)
-    bits = members.where(F.col(key).isNotNull()).select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(
-        F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    bits = members.where(F.col(f"`{key}`").isNotNull()).select(word.alias(w2), bit.alias(b)).groupBy(w2).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, {b})")).alias(bits_))
     word, bit = place(col)
-    return (df.withColumn("__w", word).withColumn("__b", bit)
-            .join(F.broadcast(bits), F.col("__w") == F.col("__word"), "left")
-            .withColumn(out, F.expr(f"{col} is not null and (shiftrightunsigned(coalesce(__bits, 0L), __b) & 1L) = 1L"))
-            .drop("__w", "__b", "__word", "__bits"))
+    return (df.withColumn(w, word).withColumn(b, bit)
+            .join(F.broadcast(bits), F.col(w) == F.col(w2), "left")
+            .withColumn(out, F.expr(f"`{col}` is not null and (shiftrightunsigned(coalesce({bits_}, 0L), {b}) & 1L) = 1L"))
+            .drop(w, b, w2, bits_))
 
 
 def maybe_in(df: DataFrame, col: str, members: DataFrame, key: str) -> DataFrame:
     """The rows of df whose col may be a key of members: none is missed, a few others stay."""
-    return flagged(df, col, members, key).where(F.col("__maybe")).drop("__maybe")
+    maybe, = fresh(df, "maybe")
+    return flagged(df, col, members, key, out=maybe).where(F.col(maybe)).drop(maybe)
 
 
 def without(df: DataFrame, col: str, dropped: DataFrame, key: str) -> DataFrame:
     """df without the rows whose col is a key of dropped; only rows that may be are shuffled."""
-    marked = flagged(df, col, dropped, key)
-    sure = marked.where(~F.col("__maybe")).drop("__maybe")
-    maybe = marked.where(F.col("__maybe")).drop("__maybe")
-    gone = dropped.select(F.col(key).alias("__gone")).distinct()
-    return sure.unionByName(maybe.join(gone, F.col(col) == F.col("__gone"), "left_anti"))
+    maybe, gone_ = fresh(df, "maybe", "gone")
+    marked = flagged(df, col, dropped, key, out=maybe)
+    sure = marked.where(~F.col(maybe)).drop(maybe)
+    near = marked.where(F.col(maybe)).drop(maybe)
+    gone = dropped.select(F.col(f"`{key}`").alias(gone_)).distinct()
+    return sure.unionByName(near.join(gone, F.col(f"`{col}`") == F.col(gone_), "left_anti"))
 
 
 def looked_up(rows: DataFrame, sites: DataFrame, on: str, name: str, most: int = 1 << 16) -> DataFrame:
