@@ -89,7 +89,7 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     out = suffixes.without_repeats(docs.select("doc_id", size, "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("text").cast("string")).alias("kept_text"))
 
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,20 @@ several are). Equal windows have anchors at equal places, so strings that repeat
 Anchors with the same surroundings, as far as any window around them reaches, are repeats as they stand; they are found
 by counting hashes, whatever their number. Each group of anchors with different surroundings gets a sparse enhanced suffix
 array: suffixes from the anchors on in order, their common prefixes, and a stack scan over the intervals of common
-prefixes, from the deepest to the widest. How far members of an interval share their left sides extends its common prefix; what
-reaches the length is a repeat. There is no test of left diversity, and no output of maximal repeats as groups.
-
-Groups of more than MOST different surroundings go another exact way: the windows around their anchors are hashed and
+prefixes, from the deepest to the widest. The left sides of an interval's members are scanned the same way, as an interval tree of
+common left extensions. A set of members is a maximal repeat if it is diverse on both sides: it is an interval on the left (so no longer
+left extension is common to it), and its members lie in several child intervals on the right. All its members are its
+occurrences. repeat_groups() returns these groups, and the ranges that repeated_spans() gives are those of their members.
+
+Two anchors that share a string of the length share its part up to the anchor's middle or from there on, so a group is first split by
+what its members have on the right and, as a second copy, on the left; a frequent gram with many surroundings thus makes many small groups.
+Groups that still have more than MOST different surroundings go another exact way: the windows around their anchors are hashed and
 counted, which spreads over all tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binaries, flagged, mapped, maybe_in, mix, pieces, prefix_hash, raw, small_batches, span, stored
+from .common import binaries, flagged, fresh, mapped, maybe_in, mix, pieces, prefix_hash, raw, small_batches, span, stored
 
 Q = 128
 MOST = 50_000
@@ -118,7 +123,8 @@ class SuffixGroup:
         self.order = np.array(sorted(range(self.n), key=rights.__getitem__))
         self.lcp = [common(rights[a], rights[b]) for a, b in zip(self.order[:-1], self.order[1:], strict=True)]
         by_left = sorted(range(self.n), key=lefts.__getitem__)
-        self.rank = np.empty(self.n, np.int64)
+        self.place, self.rank = np.empty(self.n, np.int64), np.empty(self.n, np.int64)
+        self.place[self.order] = np.arange(self.n)
         self.rank[by_left] = np.arange(self.n)
         self.by_left = np.array(by_left)
         lcs = np.array([common(lefts[a], lefts[b]) for a, b in zip(by_left[:-1], by_left[1:], strict=True)] or [0])
@@ -127,17 +133,6 @@ class SuffixGroup:
             k = 1 << (len(self.low) - 1)
             self.low.append(np.minimum(self.low[-1][:-k], self.low[-1][k:]))
 
-    def intervals(self) -> Iterator[tuple[int, int, int]]:
-        """(common prefix, first, last) of each interval of the suffix array, inner ones first."""
-        stack = [(0, 0)]
-        for i, x in enumerate([*self.lcp, 0], 1):
-            first = i - 1
-            while stack[-1][0] > x:
-                depth, first = stack.pop()
-                yield depth, first, i - 1
-            if stack[-1][0] < x:
-                stack.append((x, first))
-
     def shared_left(self, ranks: np.ndarray) -> np.ndarray:
         """Common left bytes of neighbours among ascending left ranks."""
         a, b = ranks[:-1], ranks[1:]
@@ -149,33 +144,52 @@ class SuffixGroup:
             out[at] = np.minimum(t[a[at]], t[b[at] - (1 << int(level))])
         return out
 
-    def repeats(self, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(common prefix, members, how far each shares its left side with another) of the intervals with repeats of `length`.
-
-        Inner intervals come too, whether or not their members are diverse on the left; the union of what they cover is the same.
-        """
-        for depth, first, last in self.intervals():
+    def groups(self, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(common prefix, common left extension, members) of each maximal repeat of at least `length` bytes around the anchor."""
+        lcp = np.array(self.lcp)
+        for depth, first, last in intervals(self.lcp):
             ranks = np.sort(self.rank[self.order[first: last + 1]])
             shared = self.shared_left(ranks)
-            most = np.maximum(np.concatenate([[0], shared]), np.concatenate([shared, [0]]))
-            enough = most + depth >= length
-            if enough.any():
-                yield depth, self.by_left[ranks[enough]], most[enough]
+            need = max(0, length - depth)
+            if shared.max() < need:
+                continue
+            members = self.by_left[ranks]
+            starts = first + 1 + np.flatnonzero(lcp[first:last] == depth)  # where child intervals begin, but the first
+            child = np.searchsorted(starts, self.place[members], "right")
+            for left, i, j in intervals(shared.tolist()):
+                if left >= need and (child[i: j + 1] != child[i]).any():
+                    yield depth, left, members[i: j + 1]
+
+
+def intervals(common_: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(common part, first, last) of each interval of a row of strings whose neighbours have these in common: a stack scan, inner intervals first."""
+    stack: list[tuple[int, int]] = []
+    for i, x in enumerate([*common_, -1], 1):
+        first = i - 1
+        while stack and stack[-1][0] > x:
+            depth, first = stack.pop()
+            yield depth, first, i - 1
+        if x >= 0 and (not stack or stack[-1][0] < x):
+            stack.append((x, first))
 
 
 def covered(rights: list[bytes], lefts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix, how far before and after its start it is part of a repeat of at least `length` bytes (0, 0: of none)."""
     n = len(rights)
     before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for depth, members, most in SuffixGroup(rights, lefts).repeats(length):
-        before[members] = np.maximum(before[members], most)
+    for depth, left, members in SuffixGroup(rights, lefts).groups(length):
+        before[members] = np.maximum(before[members], left)
         after[members] = np.maximum(after[members], depth)
     return before, after
 
 
 def _surroundings(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """Bytes around each place: h, id, pos, left (reversed), right."""
-    left = length - gram(length)
+    """Bytes around each place: g (the group), id, pos, left (reversed), right; twice, in the group of its right and in that of its left side.
+
+    The gram is q bytes. A string of `length` that holds it has (length - q + 1) // 2 bytes or more before or after it.
+    """
+    q = gram(length)
+    left, half = length - q, (length - q + 1) // 2
     wanted = places.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("at"))
     near = maybe_in(docs, "id", wanted, "id").join(wanted.withColumnRenamed("id", "i2"), F.expr("id = i2")).select("id", "text", "at")
 
@@ -188,28 +202,52 @@ def _surroundings(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
             for lo in range(at[i], at[i + 1], 1000):
                 hi = min(at[i + 1], lo + 1000)
                 ps = pos[lo:hi].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[lo:hi]), pa.repeat(id_, hi - lo), pa.array(pos[lo:hi]), binaries([body[max(0, p - left): p][::-1] for p in ps]), binaries([body[p: p + length] for p in ps])],
-                    ["h", "id", "pos", "l", "r"])
+                sides = [body[max(0, p - left): p][::-1] for p in ps], [body[p: p + length] for p in ps]
+                for part, side in enumerate(sides):
+                    keys = [x[:half] if not part else x[q: q + half] for x in side]
+                    has = [k for k, x in enumerate(keys) if len(x) == half]
+                    g = [int.from_bytes(hashlib.blake2b(b"%d %d " % (part, h[lo + k]) + keys[k], digest_size=8).digest(), "big", signed=True) for k in has]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(g, pa.int64()), pa.array([id_] * len(has), pa.int64()), pa.array(pos[lo:hi][has] if has else [], pa.int64()), *(binaries([x[k] for k in has]) for x in sides)],
+                        ["g", "id", "pos", "l", "r"])
+
+    return mapped(near, f, "g bigint, id bigint, pos bigint, l binary, r binary")
 
-    return mapped(near, f, "h bigint, id bigint, pos bigint, l binary, r binary")
 
+def _scan_groups(df: DataFrame, length: int, whole: bool = False) -> DataFrame:
+    """Suffix arrays of groups: id, begin, end of what repeats; with `whole`, one row for each occurrence of each maximal repeat: repeat (a digest of its bytes), id, pos, begin, end."""
+    names = ["repeat", "id", "pos", "begin", "end"] if whole else ["id", "begin", "end"]
 
-def _scan_groups(df: DataFrame, length: int) -> DataFrame:
-    """Suffix arrays of groups of few surroundings: id, from, to of what repeats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
+        def found(rows: list[tuple]) -> Iterator[tuple]:
+            lefts, rights = [x[3] for x in rows], [x[4] for x in rows]
+            if not whole:
+                before, after = covered(rights, lefts, length)
+                for k in np.flatnonzero(after).tolist():
+                    yield rows[k][1], rows[k][2] - int(before[k]), rows[k][2] + int(after[k])
+                return
+            for depth, left, members in SuffixGroup(rights, lefts).groups(length):
+                body = lefts[members[0]][:left][::-1] + rights[members[0]][:depth]
+                digest = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "big", signed=True)
+                for k in members.tolist():
+                    yield digest, rows[k][1], rows[k][2], rows[k][2] - left, rows[k][2] + depth
+
         def closed(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
-            ids, begin, end = [], [], []
+            out = []
             for rows in groups:
-                before, after = covered([x[4] for x in rows], [x[3] for x in rows], length)
-                for k in np.flatnonzero(after):
-                    ids.append(rows[k][1])
-                    begin.append(rows[k][2] - int(before[k]))
-                    end.append(rows[k][2] + int(after[k]))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids, begin, end)], ["id", "begin", "end"])
+                if len(rows) > 1:
+                    for row in found(rows):
+                        out.append(row)
+                        if len(out) == 10_000:
+                            yield made(out)
+                            out = []
+            if out:
+                yield made(out)
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], names)
 
         for batch in batches:
             groups = []
@@ -222,8 +260,8 @@ def _scan_groups(df: DataFrame, length: int) -> DataFrame:
         if held:
             yield from closed([held])
 
-    rows = df.repartition("h").sortWithinPartitions("h", "id", "pos")
-    return rows.mapInArrow(run, "id bigint, begin bigint, end bigint")
+    rows = df.repartition("g").sortWithinPartitions("g", "id", "pos")
+    return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def _count_windows(df: DataFrame, length: int) -> DataFrame:
@@ -242,60 +280,98 @@ def _count_windows(df: DataFrame, length: int) -> DataFrame:
     return windows.join(many, F.expr("w1 = v1 and w2 = v2"), "left_semi").select("id", "begin", (F.col("begin") + length).alias("end"))
 
 
-def repeated_spans(df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 400, most: int = MOST) -> DataFrame:
-    """(id, begin, end): byte ranges, overlapping ones too, whose union is every byte in a string of `length` bytes that also
-    starts elsewhere, in the same text or another. Texts are UTF-8 bytes; null is empty; rows with a null id are left out."""
+def _kinds(df: DataFrame, id_: str, text: str, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts (id, text), all anchors, and their kinds: h, ctx, c (how many), one (id and pos of the first), mixed (the gram has several surroundings)."""
     docs = df.select(F.col(f"`{id_}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")).alias("text")).where("id is not null")
     found = stored(anchors(docs, "id", "text", length), "anchors")
     kinds = found.groupBy("h", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("id", "pos")).alias("one"))
     per = found.groupBy("h").agg(F.min("ctx").alias("c1"), F.max("ctx").alias("c2"), F.count("*").alias("n")).where("n > 1")
     kinds = stored(kinds.join(per.select(F.col("h").alias("h2"), F.expr("c1 != c2").alias("mixed")), F.expr("h = h2")).drop("h2"), "kinds")
-    same = found.join(kinds.where("c > 1").select(F.col("h").alias("h2"), F.col("ctx").alias("x2")), F.expr("h = h2 and ctx = x2"), "left_semi")
-    same = same.select("id", F.expr("pos - l").alias("begin"), F.expr("pos + r").alias("end"))
+    return docs, found, kinds
+
+
+def _counted(found: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The anchors of kinds that occur more than once."""
+    return found.join(kinds.where("c > 1").select(F.col("h").alias("h2"), F.col("ctx").alias("x2")), F.expr("h = h2 and ctx = x2"), "left_semi")
 
-    places = kinds.where("mixed").select("h", "one.*")
-    sizes = places.groupBy("h").agg(F.count("*").alias("n")).select(F.col("h").alias("h2"), "n")
+
+def repeated_spans(df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 400, most: int = MOST) -> DataFrame:
+    """(id, begin, end): byte ranges, overlapping ones too, whose union is every byte in a string of `length` bytes that also
+    starts elsewhere, in the same text or another. Texts are UTF-8 bytes; null is empty; rows with a null id are left out."""
+    docs, found, kinds = _kinds(df, id_, text, length)
+    same = _counted(found, kinds).select("id", F.expr("pos - l").alias("begin"), F.expr("pos + r").alias("end"))
+    around = stored(_surroundings(docs, kinds.where("mixed").select("h", "one.*"), length), "surroundings")
+    sizes = around.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("g2"), "n")
     large = sizes.where(F.col("n") > most)
-    around = stored(_surroundings(docs, places, length), "surroundings")
-    few = around.join(sizes.where(F.col("n") <= most), F.expr("h = h2"), "left_semi")
-    out = same.unionByName(_scan_groups(few, length))
+    out = same.unionByName(_scan_groups(around.join(sizes.where(F.col("n") <= most), F.expr("g = g2"), "left_semi"), length))
     if large.take(1):
-        out = out.unionByName(_count_windows(around.join(large, F.expr("h = h2"), "left_semi"), length))
+        out = out.unionByName(_count_windows(around.join(large, F.expr("g = g2"), "left_semi"), length))
     return out
 
 
-def without_repeats(df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 400, most: int = MOST) -> DataFrame:
+def repeat_groups(df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+    """(repeat, n_bytes, id, begin, end): every maximal repeat of at least `length` bytes with all its occurrences, one row each.
+
+    `repeat` is a digest of the repeated bytes. Anchors see `length` bytes to the right and length - q to the left (q: bytes of a gram), so a longer
+    repeat appears as several overlapping ones, each as long as its anchor sees. Occurrences with equal surroundings are counted, not compared:
+    each is an occurrence of whatever their first one is an occurrence of. Nulls and ids as for repeated_spans(), whose ranges have the same union.
+    """
+    docs, found, kinds = _kinds(df, id_, text, length)
+    same = _counted(found, kinds).select(F.xxhash64("h", "ctx").alias("repeat"), "id", F.expr("pos - l").alias("begin"), F.expr("pos + r").alias("end"))
+    ones = kinds.where("mixed").select("h", "one.*")
+    rows = _scan_groups(_surroundings(docs, ones, length), length, whole=True).distinct()
+    named = kinds.where("mixed").select(F.col("one.id").alias("id1"), F.col("one.pos").alias("pos1"), F.col("h").alias("h1"), F.col("ctx").alias("x1"))
+    rows = rows.join(named, F.expr("id = id1 and pos = pos1")).select("repeat", "h1", "x1", F.expr("pos - begin").alias("before"), F.expr("end - pos").alias("after"))
+    each = rows.join(found.select("h", "ctx", "id", "pos"), F.expr("h1 = h and x1 = ctx")).select("repeat", "id", F.expr("pos - before").alias("begin"), F.expr("pos + after").alias("end"))
+    return same.unionByName(each).distinct().select("repeat", F.expr("end - begin").alias("n_bytes"), "id", "begin", "end")
+
+
+def _snapped(body: bytes, begin: int, end: int) -> list[int]:
+    """A range without the characters that it has only part of."""
+    while begin < end and body[begin] & 0xC0 == 0x80:
+        begin += 1
+    while begin < end < len(body) and body[end] & 0xC0 == 0x80:
+        end -= 1
+    return [begin, end]
+
+
+def without_repeats(df: DataFrame, id_: str = "doc_id", text: str = "text", length: int = 400, most: int = MOST, characters: bool = False) -> DataFrame:
     """df with `text` as binary without the bytes that repeat, and `n_removed`, `n_spans` (columns of those names are replaced).
 
-    Only texts that may have such bytes are shuffled. Rows that share an id share the union of their ranges. An empty table stays empty.
+    With `characters`, a cut that would begin or end inside a character leaves that character whole, so that valid UTF-8 stays valid.
+
+    Only texts that may have such bytes are shuffled. Null is empty. Rows that share an id share the union of their ranges; ids must be whole
+    numbers (or text that says one), and a row with a null id loses nothing. Other columns may have any names. An empty table stays empty.
     """
     df = df.drop("n_removed", "n_spans")
+    maybe, own, ranges_, other = fresh(df, "maybe", "id", "spans", "owner")
     spans = stored(repeated_spans(df, id_, text, length, most), "spans")
-    body = df.withColumn(text, F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))).withColumn("__id", F.col(f"`{id_}`").cast("bigint"))
-    marked = flagged(body, "__id", spans, "id")
-    clean = marked.where(~F.col("__maybe")).drop("__maybe", "__id").withColumns({"n_removed": F.lit(0).cast("bigint"), "n_spans": F.lit(0).cast("bigint")})
-    per = spans.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("__spans")).withColumnRenamed("id", "__i2")
-    cut = marked.where(F.col("__maybe")).join(per, F.expr("__id = __i2"), "left").drop("__maybe", "__id", "__i2")
+    body = df.withColumn(text, F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))).withColumn(own, F.col(f"`{id_}`").cast("bigint"))
+    marked = flagged(body, own, spans.select("id").distinct(), "id", out=maybe)
+    clean = marked.where(~F.col(maybe)).drop(maybe, own).withColumns({"n_removed": F.lit(0).cast("bigint"), "n_spans": F.lit(0).cast("bigint")})
+    per = spans.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias(ranges_)).withColumnRenamed("id", other)
+    cut = marked.where(F.col(maybe)).join(per, F.col(own) == F.col(other), "left").drop(maybe, own, other)
     names = cut.columns
-    where, which = names.index(text), names.index("__spans")
-    keep = [c for c in names if c != "__spans"]
+    where, which = names.index(text), names.index(ranges_)
+    keep = [c for c in names if c != ranges_]
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out, removed, spans_ = [], [], []
-        for body_, ranges in zip(batch.column(where).to_pylist(), batch.column(which).to_pylist(), strict=True):
-            parts, at, gone, count = [], 0, 0, 0
-            last = -1
-            for x in ranges or ():
-                b, e = x["begin"], x["end"]
-                if b > last:
-                    parts.append(body_[at:b])
-                    count += 1
-                gone += max(0, e - max(b, at))
-                at = last = max(at, e)
-            parts.append(body_[at:])
-            out.append(b"".join(parts))
-            removed.append(gone)
-            spans_.append(count)
+        for k, body_ in enumerate(batch.column(where).to_pylist()):
+            ranges = batch.column(which)[k].values
+            begin, end = (np.zeros(0, np.int64),) * 2 if ranges is None else (np.asarray(ranges.field(n)) for n in (0, 1))
+            runs: list[list[int]] = []
+            for b, e in zip(begin.tolist(), end.tolist(), strict=True):  # in order of b
+                if runs and b <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], e)
+                else:
+                    runs.append([b, e])
+            if characters:
+                runs = [x for x in (_snapped(body_, b, e) for b, e in runs) if x[0] < x[1]]
+            edges = [0, *(x for run in runs for x in run), len(body_)]
+            out.append(b"".join(body_[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            removed.append(sum(e - b for b, e in runs))
+            spans_.append(len(runs))
         columns = [binaries(out) if c == text else batch.column(names.index(c)) for c in keep]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(spans_, pa.int64())], [*keep, "n_removed", "n_spans"])
 

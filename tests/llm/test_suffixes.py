@@ -68,7 +68,7 @@ def test_intervals_are_those_of_the_suffix_tree():
     for _ in range(50):
         rights = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 8))) for _ in range(rng.randrange(2, 12))]
         group = suffixes.SuffixGroup(rights, [b""] * len(rights))
-        got = {(d, tuple(sorted(group.order[a: b + 1]))) for d, a, b in group.intervals() if d}
+        got = {(d, tuple(sorted(group.order[a: b + 1]))) for d, a, b in suffixes.intervals(group.lcp) if d}
         want = set()
         for a in range(len(rights)):
             for b in range(a):
@@ -78,6 +78,49 @@ def test_intervals_are_those_of_the_suffix_tree():
         assert got == want
 
 
+def check_groups(rows, found, length):
+    """Every repeated window lies in a group that has all of its occurrences; the members of a group are equal and can't all be extended within reach."""
+    bodies = {i: (t or "").encode() for i, t in rows}
+    groups = {}
+    for r in found:
+        assert r.n_bytes == r.end - r.begin >= length and 0 <= r.begin and r.end <= len(bodies[r.id])
+        groups.setdefault(r.repeat, set()).add((r.id, r.begin, r.end))
+    for members in groups.values():
+        assert len(members) > 1 and len({bodies[i][b:e] for i, b, e in members}) == 1
+    where = {}
+    for i, b in bodies.items():
+        for s in range(len(b) - length + 1):
+            where.setdefault(b[s: s + length], set()).add((i, s))
+    for places in where.values():
+        if len(places) > 1:
+            i, s = min(places)
+            assert any({(x, b + (s - b0)) for x, b, _ in m} == places for m in groups.values() for j, b0, e0 in m if j == i and b0 <= s and s + length <= e0)
+    return groups
+
+
+def test_repeat_groups_have_all_occurrences(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(10, 50)))) for i in range(25)] + [(99, "abc" * 20), (98, "a" * 30), (97, None), (96, "")]
+    passage = "".join(rng.choice("abcdefgh") for _ in range(40))
+    rows += [(200 + i, f"{rng.choice('xyz')}{passage}{rng.choice('xyz')}{i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for length in (9, 14):
+        groups = check_groups(rows, suffixes.repeat_groups(df, length=length).collect(), length)
+        covered = {(i, k) for m in groups.values() for i, b, e in m for k in range(b, e)}
+        spans = {(r.id, k) for r in suffixes.repeated_spans(df, length=length).collect() for k in range(r.begin, r.end)}
+        assert covered == spans
+
+
+def test_repeat_groups_of_prose(docs, corpus):
+    check_groups([(c[0], c[1]) for c in corpus], suffixes.repeat_groups(docs, length=60).collect(), 60)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "x" * 30, 1, 2, 3, 4) for i in range(3)], "doc_id bigint, text string, __maybe int, __id int, __spans int, __owner int")
+    out = suffixes.without_repeats(df, length=10)
+    assert out.columns == [*df.columns, "n_removed", "n_spans"] and [(r["__spans"], r.n_removed) for r in out.collect()] == [(3, 30)] * 3
+
+
 def test_odd_tables(odd, nothing):
     out = suffixes.without_repeats(odd, length=10)
     assert out.columns.count("n_removed") == 1 and sorted(out.columns) == sorted({*odd.columns, "n_spans"})
@@ -92,5 +135,14 @@ def test_query(spark, data):
     want = {i: (n, runs, hashlib.sha256(b).hexdigest()) for i, n, runs, b in brute(rows, 400)}
     sizes = {i: len((t or "").encode()) for i, t in rows}
     for r in op9_suffix_array(spark, data).collect():
+        assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 or "\ufffd" in r.kept_text
         assert r.n_bytes == sizes[r.doc_id] and (r.n_removed, r.n_spans, r.kept_sha256) == want.pop(r.doc_id)
     assert not want
+
+
+def test_cuts_between_characters(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("äöü日本€") for _ in range(30))
+    rows = [(i, f"{chr(0xe4 + i)}{passage}{chr(0x65e6 + i)}z{i}") for i in range(4)]  # neighbours share lead bytes with each other
+    out = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), length=20, characters=True)
+    assert {r.doc_id: bytes(r.text).decode() for r in out.collect()} == {i: f"{chr(0xe4 + i)}{chr(0x65e6 + i)}z{i}" for i, _ in rows}
