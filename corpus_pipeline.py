@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from curricle import storage
 from curricle.llm import line_dedup, minhash, packing, site_quality, suffixes
-from curricle.llm.common import stored, table, without
+from curricle.llm.common import fresh, stored, table, without
 
 
 #: A passage of fifty words takes about 320 bytes in the languages of the corpus, and hardly ever fewer than these.
@@ -56,10 +56,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: bytes in strings of PASSAGE bytes that also start elsewhere go; what a cut leaves of a character becomes U+FFFD."""
-    out = suffixes.without_repeats(docs.withColumn("__null", F.col("text").isNull()), length=PASSAGE)
-    text = F.when(~F.col("__null"), F.make_valid_utf8(F.col("text").cast("string")))
-    return _counted(out.withColumn("text", text).select(docs.columns))
+    """Operator 9: bytes in strings of PASSAGE bytes that also start elsewhere go, whole characters at a time. Null texts stay null."""
+    none, = fresh(docs, "null")
+    out = suffixes.without_repeats(docs.withColumn(none, F.col("text").isNull()), length=PASSAGE, characters=True)
+    text = F.when(~F.col(none), F.make_valid_utf8(F.col("text").cast("string")))
+    return _counted(out.withColumn("text", text)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 @_stage
