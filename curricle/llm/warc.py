@@ -9,6 +9,7 @@ and total length, and takes the payload out of its framing.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binaries, flagged, mapped, small_batches
+from .common import binaries, flagged, mapped, small_batches, stored
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -24,8 +25,8 @@ FIELDS = "record_id string, page_id bigint, type string, origin string, segment
 
 
 def plan_revisits(pages: DataFrame, id_: str, payload: str, least_bytes: int) -> DataFrame:
-    """pages as id, url, payload (binary) and refers_to: of rows with equal payloads of `least_bytes` or more, all but that with
-    the least id refer to it. Only rows whose payload may not be alone are shuffled."""
+    """pages as id, url, payload (binary), refers_to and shared: of rows with equal payloads of `least_bytes` or more, all but that with
+    the least id refer to it; `shared` marks rows whose id isn't theirs alone. Only rows whose payload may not be alone are shuffled."""
     body = F.coalesce(F.col(f"`{payload}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_}`").cast("bigint").alias("id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("key", F.when(F.octet_length("payload") >= least_bytes, F.sha2("payload", 256)))
@@ -35,11 +36,13 @@ def plan_revisits(pages: DataFrame, id_: str, payload: str, least_bytes: int) ->
     alone = marked.where(~F.col("__maybe")).withColumn("refers_to", F.lit(None).cast("bigint"))
     more = marked.where("__maybe").join(several, F.expr("key = k2"), "left").withColumn("refers_to", F.when(F.col("id") != F.col("first"), F.col("first")))
     names = ["id", "url", "payload", "refers_to"]
-    return alone.select(names).unionByName(more.select(names))
+    out = alone.select(names).unionByName(more.select(names))
+    twice = stored(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null").select(F.col("id").alias("i2")), "shared-ids")
+    return flagged(out, "id", twice, "i2", out="shared").withColumn("shared", F.col("shared") | F.col("id").isNull())
 
 
-def _urn(page: int | None, segment: int = 1) -> str:
-    return f"<urn:x-page:{'' if page is None else page}{f':{segment}' if segment > 1 else ''}>"
+def _urn(page: int | None, own: str = "", segment: int = 1) -> str:
+    return f"<urn:x-page:{'' if page is None else page}{own and f'.{own}'}{f':{segment}' if segment > 1 else ''}>"
 
 
 def chunked(body: bytes, size: int) -> bytes:
@@ -68,8 +71,8 @@ def dechunked(framed: bytes) -> bytes | None:
         at += n + 2
 
 
-def records_of(page: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int, chunk: int, date: str) -> Iterator[bytes]:
-    """The records of one page, without what ends each."""
+def records_of(page: int | None, url: str | None, payload: bytes, refers_to: int | None, own: str, segment: int, chunk: int, date: str) -> Iterator[bytes]:
+    """The records of one page, without what ends each; `own` tells them from those of other rows with the page's id."""
     digest = hashlib.sha256(payload).hexdigest()
     head = ["WARC/1.1", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}"]
     if url is not None:
@@ -77,13 +80,13 @@ def records_of(page: int | None, url: str | None, payload: bytes, refers_to: int
     kind = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if refers_to is not None:
         block = kind + b"Content-Length: %d\r\n\r\n" % len(payload)
-        extra = ["WARC-Type: revisit", f"WARC-Record-ID: {_urn(page)}", f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
+        extra = ["WARC-Type: revisit", f"WARC-Record-ID: {_urn(page, own)}", f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
     else:
         block = kind + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk)
-        extra = ["WARC-Type: response", f"WARC-Record-ID: {_urn(page)}"]
+        extra = ["WARC-Type: response", f"WARC-Record-ID: {_urn(page, own)}"]
     parts = [block[i: i + segment] for i in range(0, len(block), segment)]
     for number, part in enumerate(parts, 1):
-        lines = [*head, *extra] if number == 1 else [head[0], head[1], "WARC-Type: continuation", f"WARC-Record-ID: {_urn(page, number)}", f"WARC-Segment-Origin-ID: {_urn(page)}"]
+        lines = [*head, *extra] if number == 1 else [head[0], head[1], "WARC-Type: continuation", f"WARC-Record-ID: {_urn(page, own, number)}", f"WARC-Segment-Origin-ID: {_urn(page, own)}"]
         if len(parts) > 1:
             lines.append(f"WARC-Segment-Number: {number}")
         if number == len(parts) > 1:
@@ -97,12 +100,13 @@ def records_of(page: int | None, url: str | None, payload: bytes, refers_to: int
 def write_archives(pages: DataFrame, path: str, id_: str = "page_id", payload: str = "html", least_bytes: int = 100, segment: int = 1 << 15,
                    chunk: int = 1 << 13, records_per_file: int = 4096, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes the pages (id, url, payload) to gzip archives under path. A null payload is empty, a null url has no target;
-    rows that share an id share a record identifier, which readers take for one page. No page, no archive."""
+    rows that share an id (or have none) get record identifiers of their own, so that each comes back as a row. No page, no archive."""
     small_batches(pages.sparkSession)
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield pa.RecordBatch.from_arrays([binaries(list(records_of(*row, segment, chunk, date)))], ["value"])
+            own = uuid.uuid4().hex if row[-1] else ""
+            yield pa.RecordBatch.from_arrays([binaries(list(records_of(*row[:-1], own, segment, chunk, date)))], ["value"])
 
     lines = mapped(plan_revisits(pages, id_, payload, least_bytes), f, "value binary")
     lines.select(F.col("value").cast("string")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
@@ -154,13 +158,13 @@ def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _page(urn: str | None) -> int | None:
-    number = (urn or "").removeprefix("<urn:x-page:").removesuffix(">").split(":")[0]
+    number = (urn or "").removeprefix("<urn:x-page:").removesuffix(">").split(":")[0].split(".")[0]
     return int(number) if number else None
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record (FIELDS)."""
-    small_batches(spark, 4)
+    small_batches(spark)
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         def made(rows: list) -> pa.RecordBatch:
@@ -184,7 +188,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassembled(records: DataFrame) -> DataFrame:
-    """One row for each page: record_id, page_id, type, refers_to, digest, target, blocks (in order), whole (numbers and total length fit).
+    """One row for each row that was written: record_id, page_id, type, refers_to, digest, target, blocks (in order), whole (numbers and total length fit).
 
     Records without segments are not shuffled. Segments of a page may lie in any archives, in any order.
     """
@@ -199,20 +203,26 @@ def reassembled(records: DataFrame) -> DataFrame:
 
 
 def payloads(pages: DataFrame) -> DataFrame:
-    """page_id, type, refers_to, digest, target, whole, payload (binary, out of its framing; null for revisits and broken records),
-    payload_bytes (of revisits: as their header says)."""
+    """page_id, type, refers_to, digest, target, whole, payload (binary, out of its framing; null for revisits and for records whose segments, total
+    length or chunks don't fit, which aren't `whole`), payload_bytes (of revisits: as their header says; null for broken records)."""
     small_batches(pages.sparkSession)
     names = ["page_id", "type", "refers_to", "digest", "target", "whole"]
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out, size = [], []
-        for kind, blocks in zip(batch.column(1).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+        out, size, sound = [], [], []
+        for kind, whole, blocks in zip(*(batch.column(k).to_pylist() for k in (1, len(names) - 1, len(names))), strict=True):
+            if not whole:
+                out.append(None)
+                size.append(None)
+                sound.append(False)
+                continue
             head, _, body = b"".join(blocks).partition(b"\r\n\r\n")
             fields = dict(x.lower().split(b": ", 1) for x in head.split(b"\r\n")[1:] if b": " in x)
             if fields.get(b"transfer-encoding") == b"chunked":
                 body = dechunked(body)
+            sound.append(body is not None)
             out.append(None if kind == "revisit" else body)
             size.append(int(fields.get(b"content-length", 0)) if kind == "revisit" else None if body is None else len(body))
-        yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out, pa.binary()), pa.array(size, pa.int64())], [*names, "payload", "payload_bytes"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(sound), pa.array(out, pa.binary()), pa.array(size, pa.int64())], [*names, "payload", "payload_bytes"])
 
     return mapped(pages.select(*names, "blocks"), f, "page_id bigint, type string, refers_to bigint, digest string, target string, whole boolean, payload binary, payload_bytes bigint")

@@ -58,6 +58,35 @@ def test_chains_and_large_groups_of_near_copies(spark):
     got = {r.id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle=4).collect()}
     assert got == brute(rows, 4)
 
+def test_rows_that_share_an_id(spark):
+    """Each text of an id is a class of its own, so that no link of either is lost."""
+    words = [f"w{i}" for i in range(120)]
+    other = [f"v{i}" for i in range(120)]
+    near = other[:60] + ["x"] + other[61:]
+    rows = [(1, " ".join(words)), (1, " ".join(other)), (2, " ".join(other)), (3, " ".join(near)), (4, " ".join(words)), (5, "alone")]
+    got = sorted((r.id, r.component_id, r.n_shingles) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, 1, 116), (1, 1, 116), (2, 1, 116), (3, 1, 116), (4, 1, 116), (5, 5, 1)]
+
+
+def test_collisions_are_counted(spark):
+    """Equal coordinates of pairs, and how many of pairs planted at a similarity of 0.8 or a little more the threshold keeps."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        words = [f"a{i}-{j}" for j in range(100)]
+        near = list(words)
+        near[50], near[70] = "new", "other"  # 86 of 96 shingles stay: a similarity of 0.811
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(near))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sigs = minhash.signatures(df, "doc_id", "text", 5).cache()
+    pairs = spark.createDataFrame([(2 * i + 1, 2 * i) for i in range(300)], "a bigint, b bigint")
+    sig = {r.id: r.sig for r in sigs.collect()}
+    got = {r.b: r.n_equal for r in minhash.collisions(pairs, sigs).collect()}
+    assert got == {2 * i: sum(x == y for x, y in zip(sig[2 * i], sig[2 * i + 1], strict=True)) for i in range(300)}
+    want = brute(rows, 5)
+    assert all(want[2 * i + 1][1] == 2 * i for i in range(300)) and min(got.values()) >= minhash.M
+    assert {r.id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()} == want
+
 
 def test_odd_tables(odd, nothing):
     got = {(r.id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(odd, shingle=5).collect()}

@@ -40,6 +40,25 @@ def test_lost_segments_are_noticed(spark):
     assert warc.reassembled(records.orderBy(F.desc("segment"))).first().whole
 
 
+def test_broken_records_have_no_payload(spark):
+    path = scratch(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame([(1, "u", "y" * 5000), (2, "u", "fine")], PAGES), path, segment=1000)
+    records = warc.read_archives(spark, path)
+    for part in (records.where("segment is null or segment != 2"), records.withColumn("total", F.col("total") + 1)):
+        got = {r.page_id: r for r in warc.payloads(warc.reassembled(part)).collect()}
+        assert not got[1].whole and got[1].payload is None and got[1].payload_bytes is None
+        assert got[2].whole and bytes(got[2].payload) == b"fine"
+
+
+def test_repeated_rows_come_back_each(spark):
+    rows = [(1, "u", "y" * 90_000)] * 2 + [(1, "u", "other " * 9000), (2, "v", "y" * 90_000), (None, None, "z" * 70_000), (None, None, "z" * 70_000), (3, "w", None)]
+    path = scratch(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(3), path)
+    got = sorted(((r.page_id or 0), r.type, r.payload_bytes, r.whole, r.refers_to or 0) for r in warc.payloads(warc.reassembled(warc.read_archives(spark, path))).collect())
+    assert got[2:] == [(1, "response", 54_000, True, 0), (1, "response", 90_000, True, 0), (1, "response", 90_000, True, 0), (2, "revisit", 90_000, True, 1), (3, "response", 0, True, 0)]
+    assert [x[2:4] for x in got[:2]] == [(70_000, True)] * 2
+
+
 def test_framing():
     for body in (b"", b"a", b"ab" * 100):
         for size in (1, 3, 1000):
