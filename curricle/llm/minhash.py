@@ -29,7 +29,7 @@ from ..operators.graph import components
 
 K, M = 64, 36
 #: Members of a list that all others meet, besides the one whose postings are shared most.
-DRAWN = 2
+DRAWN = 1
 _SEEDS = mix(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
