@@ -1,12 +1,16 @@
 """A store of people in a folder of Parquet tables, and the plans that change and read it.
 
-Every change writes the new state of a table beside the old one (`<table>/v<number>`) and readers take the last that is complete,
-so a job that dies leaves the store as it was. A batch of files is imported at once: cards of one person are found by links and
+A table is a list of Parquet folders. A change writes new folders beside the old ones - an append only what it adds - and then publishes one
+manifest (`_manifest/m<number>`) that names the folders of all tables. Readers take the last manifest, so a change is seen as a whole or not at all, and
+a job that dies anywhere leaves the store as it was. There is one writer at a time. A batch of files is imported at once: cards of one person are found by links and
 components, not one after the other, so that the result doesn't depend on the order of files.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +29,12 @@ TABLES = {
     "experiences": "resume_id BIGINT, candidate_id BIGINT, company STRING, title STRING, start STRING, end STRING",
     "tags": "candidate_id BIGINT, kind STRING, tag STRING",
     "conflicts": "conflict_id STRING, candidate_id BIGINT, field STRING, option_a STRING, option_b STRING, chosen STRING, status STRING",
+    "originals": "file_sha256 STRING, source_file STRING, content BINARY",
     "settings": "k STRING, v STRING",
 }
-PEOPLE = ("candidates", "resumes", "experiences", "tags", "conflicts")
+PEOPLE = ("candidates", "resumes", "experiences", "tags", "conflicts", "originals")
+#: Folders that a table is made of before an append writes it anew as one.
+MOST_PARTS = 64
 PENDING_MERGE = "candidate_merge"
 
 
@@ -54,47 +61,96 @@ class PeopleStore:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _versions(self, name: str) -> list[int]:
-        where, fs = self._folder(f"{self.root}/{name}")
+    def _manifests(self) -> list[int]:
+        where, fs = self._folder(f"{self.root}/_manifest")
         if not fs.exists(where):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(where)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and fs.exists(self._folder(f"{self.root}/{name}/{n}/_SUCCESS")[0]))
+        return sorted(int(n[1:]) for n in names if n[:1] == "m" and n[1:].isdigit())
+
+    def _read(self, number: int) -> dict[str, list[str]]:
+        """The folders of each table by a manifest."""
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/_manifest/m{number}", wholetext=True).collect()))
+
+    def _now(self) -> dict[str, list[str]]:
+        known = self._manifests()
+        return self._read(known[-1]) if known else {}
 
     def table(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
+        parts = self._now().get(name, [])
+        if not parts:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v{versions[-1]}")
+        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{name}/{p}" for p in parts))
+
+    def commit(self, replaced: dict[str, DataFrame] | None = None, added: dict[str, DataFrame] | None = None, emptied: tuple[str, ...] = ()) -> None:
+        """Replaces tables, adds rows to tables and empties tables, all at once."""
+        now = self._now()
+        parts = {name: list(now.get(name, [])) for name in TABLES}
+        for name in emptied:
+            parts[name] = []
+        for name, rows in (replaced or {}).items():
+            parts[name] = [self._written(name, rows)]
+        for name, rows in (added or {}).items():
+            if len(parts[name]) >= MOST_PARTS:
+                parts[name] = [self._written(name, self.table(name).unionByName(rows.select(*self.table(name).columns)))]
+            else:
+                parts[name].append(self._written(name, rows))
+        self._publish(parts)
+        self._sweep()
+
+    def _written(self, name: str, rows: DataFrame) -> str:
+        part = f"p{uuid.uuid4().hex}"
+        rows.select(*(x.split()[0] for x in TABLES[name].split(", "))).write.parquet(f"{self.root}/{name}/{part}")
+        return part
+
+    def _publish(self, parts: dict[str, list[str]]) -> None:
+        """The one step that makes a change visible: a finished file gets its name."""
+        known = self._manifests()
+        number = (known[-1] if known else 0) + 1
+        held, fs = self._folder(f"{self.root}/_manifest/.{uuid.uuid4().hex}")
+        out = fs.create(held, True)
+        out.write(bytearray(json.dumps(parts).encode()))
+        out.close()
+        if not fs.rename(held, self._folder(f"{self.root}/_manifest/m{number}")[0]):
+            raise OSError("the manifest can't be published")
+
+    def _sweep(self) -> None:
+        """Removes what neither the last manifest nor the one before it (readers under way) names, what failed writes left included."""
+        known = self._manifests()
+        named = [self._read(n) for n in known[-2:]]
+        for name in TABLES:
+            where, fs = self._folder(f"{self.root}/{name}")
+            if fs.exists(where):
+                for s in fs.listStatus(where):
+                    if not any(s.getPath().getName() in m.get(name, []) for m in named):
+                        fs.delete(s.getPath(), True)
+        for n in known[:-2]:
+            where, fs = self._folder(f"{self.root}/_manifest/m{n}")
+            fs.delete(where, False)
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Writes the next state of a table; the one before it stays for readers under way."""
-        versions = self._versions(name)
-        columns = [x.split()[0] for x in TABLES[name].split(", ")]
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.root}/{name}/v{(versions[-1] if versions else 0) + 1}")
-        for old in versions[:-1]:
-            where, fs = self._folder(f"{self.root}/{name}/v{old}")
-            fs.delete(where, True)
+        self.commit({name: rows})
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, self.table(name).unionByName(rows.select(*self.table(name).columns)))
+        self.commit(added={name: rows})
 
     # --- import ---
 
     def import_files(self, path: str, parsed_at: str, glyphs: DataFrame | None = None) -> DataFrame:
         """Imports the files under path: source_file, status (new, merged, manual_review, duplicate, failed), candidate_id, error."""
-        files = stored(read_resumes(resume_files(self.spark, path), glyphs).withColumn("parsed_at", F.lit(parsed_at)), "files")
-        return self.import_parsed(files)
+        found = resume_files(self.spark, path)
+        files = stored(read_resumes(found, glyphs).withColumn("parsed_at", F.lit(parsed_at)), "files")
+        return self.import_parsed(files, found.select("source_file", "content"))
 
-    def import_parsed(self, files: DataFrame) -> DataFrame:
-        """The same for files as read_resumes() gives them, with parsed_at."""
+    def import_parsed(self, files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+        """The same for files as read_resumes() gives them, with parsed_at. Of contents (source_file, content), the store keeps those of the files it takes."""
         good = files.where("error is null")
         marked = merging.first_by_hash(good.select("source_file", "file_sha256"), "file_sha256", ["source_file"], self.table("resumes"))
         marked = stored(marked, "marked")
         fresh = good.join(marked.where("status = 'new'").select("source_file"), "source_file", "left_semi")
         cards = stored(extract_cards(fresh), "cards")
         placed = stored(self._place(cards), "placed")
-        self._write(placed)
+        self._write(placed, contents)
         done = placed.select("source_file", "status", "candidate_id")
         known = self.table("resumes").select("file_sha256", "candidate_id").dropDuplicates(["file_sha256"])
         again = marked.where("status = 'duplicate'").join(known, "file_sha256", "left").select("source_file", "status", "candidate_id")
@@ -141,20 +197,25 @@ class PeopleStore:
                   .when(F.col("review_id").isNotNull(), "manual_review").otherwise("new"))
         return out.withColumn("status", status)
 
-    def _write(self, placed: DataFrame) -> None:
+    def _write(self, placed: DataFrame, contents: DataFrame | None = None) -> None:
         cards = placed.drop("pid", "grp", "auto_merge", "first_file", "review_id", "status", "resume_id", "candidate_id").columns
         rows = placed.select("resume_id", "candidate_id", *cards).withColumn("card_json", F.to_json(F.struct(*cards)))
         resumes = rows.select("resume_id", "candidate_id", "source_file", "file_type", "file_sha256", merging.resume_date(F.col("experiences"), F.col("parsed_at")).alias("resume_date"), "card_json")
         jobs = rows.select("resume_id", "candidate_id", F.explode("experiences").alias("e")).select("resume_id", "candidate_id", "e.company", "e.title", "e.start", "e.end")
-        tag = lambda kind, c: rows.select("candidate_id", F.lit(kind).alias("kind"), F.explode(F.col(f"{c}.value")).alias("tag"))
-        tags = tag("skill", "skills").unionByName(tag("certificate", "certificates"))
-        conflicts = self._conflicts(placed)
-        candidates = stored(self._candidates(placed, jobs), "candidates")
-        self.append("resumes", resumes)
-        self.append("experiences", jobs)
-        self.replace("tags", self.table("tags").unionByName(tags).distinct())
-        self.append("conflicts", conflicts)
-        self.replace("candidates", candidates)
+        added = {"resumes": resumes, "experiences": jobs, "tags": self._tags(rows), "conflicts": self._conflicts(placed)}
+        if contents is not None:
+            added["originals"] = contents.join(placed.select("source_file", "file_sha256"), "source_file")
+        self.commit({"candidates": stored(self._candidates(placed, jobs), "candidates")}, {n: stored(df, n) for n, df in added.items()})
+
+    def _tags(self, rows: DataFrame) -> DataFrame:
+        """New tags of people. A tag's name is there once: the kind that brought it first is its kind for all."""
+        tag = lambda place, kind, c: rows.select("candidate_id", F.struct("resume_id", F.lit(place).alias("place"), F.lit(kind).alias("kind")).alias("by"), F.explode(F.col(f"{c}.value")).alias("tag"))
+        new = tag(0, "skill", "skills").unionByName(tag(1, "certificate", "certificates"))
+        first = new.groupBy("tag").agg(F.min("by")["kind"].alias("new_kind"))
+        held = self.table("tags")
+        kinds = first.join(held.groupBy("tag").agg(F.min("kind").alias("old_kind")), "tag", "left").select("tag", F.coalesce("old_kind", "new_kind").alias("kind"))
+        out = new.select("candidate_id", "tag").distinct().join(kinds, "tag")
+        return out.join(held.select("candidate_id", "tag"), ["candidate_id", "tag"], "left_anti")
 
     def _values(self, placed: DataFrame) -> DataFrame:
         """One row for each version: candidate_id, fields, freshness, resume_id (0 for what the store holds)."""
@@ -224,12 +285,14 @@ class PeopleStore:
             return False
         if chosen not in (("separate",) if row.field == PENDING_MERGE else (row.option_a, row.option_b)):
             raise ValueError("choose one of the options")
+        changed = {}
         if row.field != PENDING_MERGE:
             rows = self.table("candidates")
-            self.replace("candidates", rows.withColumn(row.field, F.when(F.col("candidate_id") == row.candidate_id, F.lit(chosen)).otherwise(F.col(row.field))))
+            changed["candidates"] = rows.withColumn(row.field, F.when(F.col("candidate_id") == row.candidate_id, F.lit(chosen)).otherwise(F.col(row.field)))
         now = F.col("conflict_id") == conflict_id
         rows = self.table("conflicts")
-        self.replace("conflicts", rows.withColumn("chosen", F.when(now, F.lit(chosen)).otherwise(F.col("chosen"))).withColumn("status", F.when(now, "resolved").otherwise(F.col("status"))))
+        changed["conflicts"] = rows.withColumn("chosen", F.when(now, F.lit(chosen)).otherwise(F.col("chosen"))).withColumn("status", F.when(now, "resolved").otherwise(F.col("status")))
+        self.commit(changed)
         return True
 
     def merge_candidates(self, source: int, target: int) -> None:
@@ -248,9 +311,8 @@ class PeopleStore:
         pair = F.col("option_a").isin(str(source), str(target)) & F.col("option_b").isin(str(source), str(target))
         over = (F.col("field") == PENDING_MERGE) & pair & (F.col("status") == "pending")
         moved["conflicts"] = moved["conflicts"].withColumn("chosen", F.when(over, "merge").otherwise(F.col("chosen"))).withColumn("status", F.when(over, "resolved").otherwise(F.col("status")))
-        for name, rows in moved.items():
-            self.replace(name, rows)
-        self.replace("candidates", candidates)
+        moved["tags"] = moved["tags"].distinct()
+        self.commit(moved | {"candidates": candidates})
 
     # --- settings and purge ---
 
@@ -270,7 +332,6 @@ class PeopleStore:
     def purge(self) -> dict[str, int]:
         """Removes all people and what belongs to them; settings stay. Returns what was removed."""
         removed = self.purge_preview()
-        for name in PEOPLE:
-            where, fs = self._folder(f"{self.root}/{name}")
-            fs.delete(where, True)
+        for _ in range(2):  # the second manifest lets go of the folders that the first one's predecessor names
+            self.commit(emptied=PEOPLE)
         return removed

@@ -22,7 +22,7 @@ def watch_folder(spark: SparkSession, folder: str, store: PeopleStore, checkpoin
         at = F.lit(parsed_at) if parsed_at else F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss")
         times = files.select("source_file", at.alias("parsed_at"))
         parsed = read_resumes(files.drop("modificationTime")).join(times, "source_file")
-        store.import_parsed(parsed)
+        store.import_parsed(parsed, files.select("source_file", "content"))
 
     writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()

@@ -52,6 +52,61 @@ def test_import_search_merge_purge(spark, tmp_path, folder):
     assert removed["resumes"] == 4 and sum(store.purge_preview().values()) == 0 and store.setting("masking") == "off"
 
 
+def state(store):
+    return {n: sorted(map(str, store.table(n).collect())) for n in ("candidates", "resumes", "experiences", "tags", "conflicts", "originals", "settings")}
+
+
+def test_a_write_that_fails_changes_nothing(spark, tmp_path, folder, monkeypatch):
+    """Each write of an import fails in turn; the store stays as it was, and the import that is run again is complete."""
+    store = PeopleStore(spark, str(tmp_path / "store"))
+    store.set_setting("masking", "off")
+    before, written, publish = state(store), PeopleStore._written, PeopleStore._publish
+    for broken in (0, 3, 6):
+        count = iter(range(100))
+
+        def fails(self, name, rows, n=broken, count=count):
+            if next(count) == n:
+                raise OSError("no space left")
+            return written(self, name, rows)
+
+        def unpublished(self, parts):
+            raise OSError("no space left")
+
+        monkeypatch.setattr(PeopleStore, "_written", fails)
+        monkeypatch.setattr(PeopleStore, "_publish", unpublished if broken >= 6 else publish)
+        with pytest.raises(OSError):
+            store.import_files(str(folder), "2026-01-01T00:00:00")
+        assert state(store) == before
+    monkeypatch.setattr(PeopleStore, "_written", written)
+    monkeypatch.setattr(PeopleStore, "_publish", publish)
+    assert sorted(names(store.import_files(str(folder), "2026-01-01T00:00:00")).values()) == ["duplicate", "failed", "merged", "new", "new"]
+    assert store.table("candidates").count() == 2 and store.table("resumes").count() == 3
+    kept = {r.source_file.rsplit("/", 1)[1]: bytes(r.content) for r in store.table("originals").collect()}
+    assert kept["a1.txt"] == A1.encode() and set(kept) == {"a1.txt", "a2.txt", "b.txt"}
+    store.purge()
+    assert not list((tmp_path / "store" / "originals").iterdir()) and not list((tmp_path / "store" / "resumes").iterdir())
+
+
+def test_appends_write_only_what_is_new(spark, tmp_path, monkeypatch):
+    from curricle.plans import store as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 3)
+    store = PeopleStore(spark, str(tmp_path / "store"))
+    for i in range(5):
+        store.append("tags", spark.createDataFrame([(i, "skill", f"t{i}")], "candidate_id bigint, kind string, tag string"))
+        assert len(store._now()["tags"]) == (1, 2, 3, 1, 2)[i] and store.table("tags").count() == i + 1
+
+
+def test_a_tag_has_one_kind(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, head in enumerate(("技能\nCET-6\n", "证书\nCET-6、PMP\n", "技能\nPMP、Java\n证书\nJava\n")):
+        (tmp_path / "in" / f"{i}.txt").write_text(f"姓名：人{i}甲\n电话：1990000001{i}\n{head}", encoding="utf-8")
+    store = PeopleStore(spark, str(tmp_path / "store"))
+    store.import_files(str(tmp_path / "in"), "2026-01-01T00:00:00")
+    got = {(r.candidate_id, r.kind, r.tag) for r in store.table("tags").collect()}
+    assert {(k, t) for _, k, t in got} == {("skill", "CET-6"), ("certificate", "PMP"), ("skill", "Java")} and len(got) == 5
+
+
 def test_numbers_follow_the_order(spark):
     df = spark.range(500).withColumn("k", F.md5(F.col("id").cast("string"))).repartition(9)
     got = [r.k for r in numbered(df, ["k"], "n", 10).orderBy("n").collect()]
