@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
-
 
 def mask_phone(x: Column) -> Column:
     """199****0003 of a number with 11 digits; anything else as it is, null as an empty string."""
@@ -20,7 +18,8 @@ def mask_email(x: Column) -> Column:
 
 
 def is_probable_phone(x: Column) -> Column:
-    return strip(x).rlike(r"^1[3-9]\d{9}$")
+    """A number of eleven digits, whatever spaces and hyphens stand in it."""
+    return F.regexp_replace(x, r"(?U)[\s-]", "").rlike(r"^1[3-9][0-9]{9}$")
 
 
 #: Patterns of the audit, allowed email domains, and the allowed numbers.
@@ -34,8 +33,8 @@ SECRET = r"""(?i:api[_-]?key|secret|passwd|password|token)\s*[=:]\s*["'][^"']{8,
 SECRET_KEY = r"sk-[A-Za-z0-9]{16,}"
 INTRANET_IP = r"\b(?:10\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}|192\.168\.\d{1,3})\.\d{1,3}\b"
 ALLOWED_DOMAINS = ["example.com", "example.net", "github.com", "users.noreply.github.com"]
-HARD = ["EMAIL", "PHONE", "IDCARD", "USERPATH", "SECRET", "WORD", "INTRANET_IP", "BINARY_UNREGISTERED", "BINARY_HASH_MISMATCH"]
-REVIEW = ["DRIVEPATH", "SYSTEM_FOLDER"]
+HARD = ["EMAIL", "PHONE", "IDCARD", "USERPATH", "SECRET", "SISTER", "INTRANET_IP", "EMAIL_META", "BINARY_UNREGISTERED", "BINARY_HASH_MISMATCH"]
+REVIEW = ["DRIVEPATH", "PROGDATA"]
 
 
 def line_findings(line: Column, words: list[str] = (), system_folder: str = "ProgramData", domains: list[str] = ALLOWED_DOMAINS) -> dict[str, Column]:
@@ -49,7 +48,7 @@ def line_findings(line: Column, words: list[str] = (), system_folder: str = "Pro
         said = said | low.contains(w.lower())
     user = line.rlike(USERPATH)
     return {"EMAIL": F.size(emails), "PHONE": F.size(phones), "IDCARD": once(line.rlike(IDCARD)), "USERPATH": once(user), "DRIVEPATH": once(~user & line.rlike(DRIVEPATH)),
-            "SECRET": once(line.rlike(SECRET) | line.rlike(SECRET_KEY)), "WORD": once(said), "INTRANET_IP": once(line.rlike(INTRANET_IP)), "SYSTEM_FOLDER": once(line.contains(system_folder))}
+            "SECRET": once(line.rlike(SECRET) | line.rlike(SECRET_KEY)), "SISTER": once(said), "INTRANET_IP": once(line.rlike(INTRANET_IP)), "PROGDATA": once(line.contains(system_folder))}
 
 
 def binary_findings(content: Column, words: list[str] = (), system_folder: str = "ProgramData") -> dict[str, Column]:
@@ -58,4 +57,16 @@ def binary_findings(content: Column, words: list[str] = (), system_folder: str =
     said = F.lit(False)
     for w in words:
         said = said | F.lower(text).contains(w.lower())
-    return {"USERPATH": F.regexp_count(text, F.lit(USERPATH)), "WORD": said.cast("int"), "SYSTEM_FOLDER": text.contains(system_folder).cast("int"), "SECRET": text.rlike(SECRET_KEY).cast("int")}
+    return {"USERPATH": F.regexp_count(text, F.lit(USERPATH)), "SISTER": said.cast("int"), "PROGDATA": text.contains(system_folder).cast("int"), "SECRET": text.rlike(SECRET_KEY).cast("int")}
+
+
+def may_have_findings(line: Column, words: list[str] = (), system_folder: str = "ProgramData") -> Column:
+    """Whether a line has any of the characters without which line_findings() are all 0: one cheap pass before its patterns."""
+    low, out = F.lower(line), line.rlike(r"[@:=0-9]|sk-") | line.contains(system_folder)
+    for w in words:
+        out = out | low.contains(w.lower())
+    return out
+
+
+def not_allowed(email: Column, domains: list[str] = ALLOWED_DOMAINS) -> Column:
+    return F.coalesce(~F.lower(F.regexp_extract(email, "@(.*)$", 1)).isin(list(domains)), F.lit(False))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.masking import HARD, binary_findings, line_findings
+from ..functions.masking import HARD, binary_findings, line_findings, may_have_findings, not_allowed
 from ..functions.text import physical_lines
 from ..shipping import ship
 
@@ -26,10 +26,15 @@ def _long(rows: DataFrame, keys: list[str], counts: dict[str, Column]) -> DataFr
 
 def audit_texts(texts: DataFrame, key: str, text: str, words: list[str] = ()) -> DataFrame:
     """(key, category, n) of all lines of each text; categories without findings are absent."""
-    lines = texts.select(key, F.explode(physical_lines(F.col(text))).alias("line"))
+    lines = texts.select(key, F.explode(physical_lines(F.col(text))).alias("line")).where(may_have_findings(F.col("line"), words))
     return _long(lines, [key], line_findings(F.col("line"), words)).groupBy(key, "category").agg(F.sum("n").alias("n"))
 
 
+def audit_metadata(records: DataFrame, key: str, emails: list[str]) -> DataFrame:
+    """(key, category, n) of addresses in columns of metadata (authors, committers) that aren't allowed."""
+    return _long(records, [key], {"EMAIL_META": sum((not_allowed(F.col(c)).cast("int") for c in emails), F.lit(0))})
+
+
 def is_binary(content: Column) -> Column:
     """There is a zero byte in the first 8 KiB."""
     return F.instr(F.decode(F.substring(content, 1, 8192), "ISO-8859-1"), "\0") > 0

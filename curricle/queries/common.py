@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pid, grp (true person), name, phone, email, school, major, desired, degree of each customer."""
+    """pid, grp (true person), name, phone, email, school, major, desired, degree, name_keys of each customer."""
     grp, r = F.floor(F.col("c_custkey") / 10).cast("int"), F.col("c_custkey") % 10
     text = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
     key = F.col("c_custkey").cast("string")
@@ -22,7 +22,8 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(r < 2, text("199000", F.lpad(g, 5, "0"))).when(r.isin(5, 6), text("199005", F.lpad(key, 5, "0"))).alias("phone"),
         F.when(r.isin(1, 2), text("e", g, "@example.com")).when(r.isin(5, 6), text("u", key, "@example.net")).alias("email"),
         text("S", (grp % 16).cast("string")).alias("school"), text("M", (grp % 2).cast("string")).alias("major"), (F.col("c_custkey") % 2).cast("string").alias("desired"),
-        F.when(r == 0, "大专").when(r.isin(1, 2), "本科").when(r.isin(3, 4), "硕士").when(r == 5, "博士").when(r == 6, "其他").alias("degree"))
+        F.when(r == 0, "大专").when(r.isin(1, 2), "本科").when(r.isin(3, 4), "硕士").when(r == 5, "博士").when(r == 6, "其他").alias("degree"),
+        F.when(r.isin(3, 4), F.array(text("k", g))).otherwise(F.array().cast("array<string>")).alias("name_keys"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,8 @@ profile AS (
     CASE WHEN c_custkey%10<2 THEN concat('199000',lpad(CAST(CAST(floor(c_custkey/10) AS INT) AS VARCHAR),5,'0')) WHEN c_custkey%10 IN (5,6) THEN concat('199005',lpad(CAST(c_custkey AS VARCHAR),5,'0')) END AS phone,
     CASE WHEN c_custkey%10 IN (1,2) THEN concat('e',CAST(floor(c_custkey/10) AS INT),'@example.com') WHEN c_custkey%10 IN (5,6) THEN concat('u',c_custkey,'@example.net') END AS email,
     concat('S',CAST(floor(c_custkey/10) AS INT)%16) AS school, concat('M',CAST(floor(c_custkey/10) AS INT)%2) AS major, CAST(c_custkey%2 AS VARCHAR) AS desired,
-    CASE WHEN c_custkey%10=0 THEN '大专' WHEN c_custkey%10 IN (1,2) THEN '本科' WHEN c_custkey%10 IN (3,4) THEN '硕士' WHEN c_custkey%10=5 THEN '博士' WHEN c_custkey%10=6 THEN '其他' END AS degree
+    CASE WHEN c_custkey%10=0 THEN '大专' WHEN c_custkey%10 IN (1,2) THEN '本科' WHEN c_custkey%10 IN (3,4) THEN '硕士' WHEN c_custkey%10=5 THEN '博士' WHEN c_custkey%10=6 THEN '其他' END AS degree,
+    CASE WHEN c_custkey%10 IN (3,4) THEN concat('k',CAST(floor(c_custkey/10) AS INT)) END AS nk
   FROM customer),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
 expr AS (
@@ -71,7 +73,7 @@ span AS (SELECT pid,CAST(sum(e-s) AS BIGINT) AS n_months,round_even(sum(e-s)/12.
 #: Candidate pairs, their scores and decisions.
 PAIRS = """,
 blk AS (SELECT 'phone' AS kind, phone AS k, pid FROM profile WHERE phone IS NOT NULL UNION SELECT 'email', email, pid FROM profile WHERE email IS NOT NULL
-        UNION SELECT 'name', name, pid FROM profile UNION SELECT 'company', company, pid FROM expr),
+        UNION SELECT 'name', name, pid FROM profile UNION SELECT 'name_key', nk, pid FROM profile WHERE nk IS NOT NULL UNION SELECT 'company', company, pid FROM expr),
 pairs AS (SELECT DISTINCT x.pid AS a, y.pid AS b FROM blk x JOIN blk y ON x.kind=y.kind AND x.k=y.k AND x.pid<y.pid),
 met AS (SELECT a,b,CAST(sum(greatest(0,least(x.e,y.e)-greatest(x.s,y.s))) AS BIGINT) AS shared FROM pairs JOIN merged x ON x.pid=a JOIN merged y ON y.pid=b GROUP BY a,b),
 comp AS (SELECT pid, list_sort(list(DISTINCT company)) AS cs FROM expr GROUP BY pid),
@@ -79,7 +81,7 @@ iou AS (
   SELECT p.a,p.b,coalesce(shared,0) AS shared, CAST(coalesce(x.n_months,0)+coalesce(y.n_months,0)-coalesce(shared,0) AS BIGINT) AS total
   FROM pairs p LEFT JOIN met m ON p.a=m.a AND p.b=m.b LEFT JOIN span x ON x.pid=p.a LEFT JOIN span y ON y.pid=p.b),
 sc0 AS (
-  SELECT i.a,i.b,CASE WHEN total>0 THEN shared/total::DOUBLE ELSE 0.0::DOUBLE END AS iou, CASE WHEN x.name=y.name THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS name_score,
+  SELECT i.a,i.b,CASE WHEN total>0 THEN shared/total::DOUBLE ELSE 0.0::DOUBLE END AS iou, CASE WHEN x.name=y.name THEN 1.0::DOUBLE WHEN x.nk=y.nk THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS name_score,
     CASE WHEN len(cx.cs)>0 AND len(cy.cs)>0 THEN len(list_intersect(cx.cs,cy.cs))/len(list_distinct(list_concat(cx.cs,cy.cs)))::DOUBLE ELSE 0.0::DOUBLE END AS jaccard,
     coalesce(x.phone=y.phone,false) OR coalesce(x.email=y.email,false) AS key1,
     ((x.school=y.school)::INT+(x.major=y.major)::INT+(x.desired=y.desired)::INT)/3.0::DOUBLE AS other,

@@ -58,15 +58,18 @@ def interval_timeline_extent(spark, d):
     return intervals.extents(jobs(spark, d), ["pid", "rn"])
 
 
-@query(sql("SELECT x.pid AS a, y.pid AS b, x.name AS name FROM profile x JOIN profile y ON x.name=y.name AND x.pid<y.pid"))
+@query(sql("SELECT x.pid AS a, y.pid AS b, x.name AS name FROM profile x JOIN profile y ON x.name=y.name AND x.pid<y.pid UNION ALL SELECT x.pid, y.pid, x.nk FROM profile x JOIN profile y ON x.nk=y.nk AND x.pid<y.pid"))
 def match_name_key_block(spark, d):
-    rows = matching.blocks(profiles(spark, d), jobs(spark, d), by=None).where("kind = 'name'")
-    return rows.alias("x").join(rows.alias("y"), F.expr("x.key = y.key and x.pid < y.pid")).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b"), F.col("x.key").alias("name"))
+    rows = matching.blocks(profiles(spark, d), jobs(spark, d), by=None).where("kind in ('name', 'name_key')")
+    return rows.alias("x").join(rows.alias("y"), F.expr("x.kind = y.kind and x.key = y.key and x.pid < y.pid")).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b"), F.col("x.key").alias("name"))
 
 
-@query(sql("SELECT a, b FROM pairs", True))
+@query(sql(""", own AS (SELECT pid, array_to_string(list_sort(list(DISTINCT company)),',') AS cs FROM expr GROUP BY pid), hist AS (SELECT m.pid, concat(any_value(cs),'|',string_agg(concat(s,'-',e), ',' ORDER BY s)) AS k FROM merged m JOIN own ON own.pid=m.pid GROUP BY m.pid),
+  keys AS (SELECT 'phone' AS kind, phone AS k, pid FROM profile UNION ALL SELECT 'email', email, pid FROM profile UNION ALL SELECT 'name', name, pid FROM profile UNION ALL SELECT 'name_key', nk, pid FROM profile UNION ALL SELECT 'history', k, pid FROM hist)
+  SELECT DISTINCT x.pid AS a, y.pid AS b FROM keys x JOIN keys y ON x.kind=y.kind AND x.k=y.k AND x.pid<y.pid"""))
 def match_blocked_pairs(spark, d):
-    return matching.candidate_pairs(profiles(spark, d), jobs(spark, d), by="company")
+    """Pairs that share a contact, a name, a name key or a whole history: all that any decision needs. (Single companies make blocks that grow with the people.)"""
+    return matching.candidate_pairs(profiles(spark, d), jobs(spark, d))
 
 
 @query(sql("SELECT a, b, name_score, round(jaccard,6) AS jaccard, round(iou,6) AS iou, round(other,6) AS other, raw_score AS score FROM sc WHERE name_score>0 OR key1", True))
@@ -198,10 +201,10 @@ def search_query_topk(spark, d):
     return search.search(_candidates(spark, d), tags(spark, d), jobs(spark, d), " c1 ", limit=20).select("pid", "name", "school", "years")
 
 
-@query("""SELECT p_partkey AS part_key, c AS col FROM (SELECT p_partkey, unnest(['p_name','p_type']) AS c, unnest([p_name,p_type]) AS t FROM part) WHERE contains(lower(t),'ste')""")
+@query("""SELECT p_partkey AS part_key, c AS col FROM (SELECT p_partkey, unnest(['p_name','p_type']) AS c, unnest([p_name,p_type]) AS t FROM part) WHERE contains(lower(t),'mall')""")
 def search_trigram_index(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("part_key"), "p_name", "p_type")
-    return search.search_index(search.trigram_index(docs, ["p_name", "p_type"], "part_key"), docs, "Ste", "part_key")
+    return search.search_index(search.trigram_index(docs, ["p_name", "p_type"], "part_key"), docs, "Mall", "part_key")
 
 
 @query(sql("SELECT pid, CAST(row_number() OVER (PARTITION BY pid ORDER BY s, rn) AS INT) AS pos, rn, company, s, e FROM expr"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, masking, text
 from ..operators import evaluation, extract, generation, merging, privacy, sections
-from .common import profiles, sql, table, tags
+from .common import jobs, profiles, sql, table, tags
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,6 +21,10 @@ def query(oracle: str | None):
     return add
 
 
+#: A word that the audit looks for.
+WORD = "license"
+
+
 def _quoted(rows: list[tuple]) -> str:
     def one(v):
         return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
@@ -78,8 +82,6 @@ def text_join_wrapped(spark, d):
 
 
 SPLIT = [(1, "Java、Python、MySQL"), (2, "Java | Python"), (3, "HTML/CSS/Java"), (4, "JavaSPSSPython爬虫"), (5, "Excel，，Word·PPT"), (6, "单项"), (7, "Vue、html/css，Git")]
-SPLIT_WANT = [(1, 0, "Java"), (1, 1, "Python"), (1, 2, "MySQL"), (2, 0, "Java"), (2, 1, "Python"), (3, 0, "HTML/CSS"), (3, 1, "Java"), (4, 0, "Java"), (4, 1, "SPSS"), (4, 2, "Python爬虫"),
-              (5, 0, "Excel"), (5, 1, "Word"), (5, 2, "PPT"), (6, 0, "单项"), (7, 0, "Vue"), (7, 1, "html/css"), (7, 2, "Git")]
 _FUSED = "(" + "|".join(sorted((s for s in lexicon.SKILLS), key=len, reverse=True)).replace("+", "\\+") + ")"
 
 
@@ -120,11 +122,15 @@ def extract_emails(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({text.EMAIL})"), 1)).alias("email"))
 
 
-@query("SELECT doc_id, m AS phone FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS m FROM documents) WHERE regexp_full_match(m, '1[3-9][0-9]{9}')")
+@query(sql("""SELECT pid, regexp_replace(regexp_extract(concat(phone[:3], sep, phone[4:7], sep, phone[8:]), '1[3-9]\\d(?:[-\\s]?\\d{4}){2}'), '[-\\s]', '', 'g') AS phone
+  FROM (SELECT pid, phone, CASE pid%3 WHEN 0 THEN '-' WHEN 1 THEN ' ' ELSE '' END AS sep FROM profile WHERE phone IS NOT NULL)"""))
 def extract_phones(spark, d):
-    """Numbers of eleven digits without marks, with no digit at either side."""
-    found = F.explode(F.regexp_extract_all("text", F.lit(r"((?<!\d)1[3-9]\d{9}(?!\d))"), 1)).alias("phone")
-    return table(spark, d, "documents").select("doc_id", found)
+    """The first number of each profile's lines, as written with hyphens, spaces or neither, behind another number that is none."""
+    sep = F.when(F.col("pid") % 3 == 0, "-").when(F.col("pid") % 3 == 1, " ").otherwise("")
+    written = F.concat(F.substring("phone", 1, 3), sep, F.substring("phone", 4, 4), sep, F.substring("phone", 8, 4))
+    texts = F.array(F.lit("编号 20261005"), F.concat(F.lit("手机 "), written), F.concat(F.lit("备用 "), F.lit("19900059999")))
+    rows = profiles(spark, d).where("phone is not null").select("pid", F.posexplode(texts).alias("line_no", "text")).withColumns({"raw": F.col("text"), "location": F.lit("")})
+    return extract.first_contacts(rows, "pid").select("pid", F.col("phone.value").alias("phone"))
 
 
 RANGES = [(1, "2022-07 - 2024-08"), (2, "2022年7月至2024年8月"), (3, "2022年10月 至 2025年2月"), (4, "2022-07~至今"), (5, "2022-07 至今"), (6, "2022-13 - 2024-08"), (7, "去年"), (8, "2022 - 2024"), (9, " 2020/1-2020/12 ")]
@@ -145,27 +151,48 @@ def extract_date_range(spark, d):
     return rows.select("id", F.col("r.start").alias("start_month"), F.col("r.end").alias("end_month"))
 
 
-JOBS = [("a", 1, "工作经历"), ("a", 2, "极光数据 | Java开发工程师 | 2018-10 至今"), ("a", 3, "· 负责接口"), ("a", 4, "坏行 | 某职 | 去年"), ("a", 5, "2016-01 - 2018-09 元界 信息 高级 开发"), ("a", 6, "磐石系统"), ("a", 7, "职位：测试"), ("a", 8, "时间：2014年1月至2015年12月"),
-        ("b", 1, "实习经历"), ("b", 2, "职位：前言"), ("b", 3, "职位：实习生"), ("b", 4, "时间：去年"), ("b", 5, "时间：2020-01 - 2020-06")]
-JOBS_WANT = [("a", 1, "极光数据", "Java开发工程师", "2018-10", ""), ("a", 2, "元界", "信息 高级 开发", "2016-01", "2018-09"), ("a", 3, "磐石系统", "测试", "2014-01", "2015-12"), ("b", 1, "职位：前言", "实习生", "2020-01", "2020-06")]
+def _month_text(c: str):
+    """YYYY-MM, and the same in words, of a month index."""
+    y, m = F.floor((F.col(c) - 1) / 12).cast("string"), (F.col(c) - 1) % 12 + 1
+    return F.concat(y, F.lit("-"), F.lpad(m.cast("string"), 2, "0")), F.concat(y, F.lit("年"), m.cast("string"), F.lit("月"))
 
 
-@query(f"WITH v(f, n, c, t, a, b) AS (VALUES {_quoted(JOBS_WANT)}) SELECT f AS source_file, CAST(n AS BIGINT) AS entry, c AS company, t AS title, a AS start_month, nullif(b, '') AS end_month FROM v")
+@query(sql("""SELECT CAST(pid AS VARCHAR) AS source_file, CAST(rn AS BIGINT) AS entry, company, CASE WHEN (pid+rn)%3=1 THEN concat('T',rn,' x') ELSE concat('T',rn) END AS title,
+  concat((s-1)//12,'-',lpad(CAST((s-1)%12+1 AS VARCHAR),2,'0')) AS start_month, CASE WHEN rn%5<>0 THEN concat((e-1)//12,'-',lpad(CAST((e-1)%12+1 AS VARCHAR),2,'0')) END AS end_month FROM expr"""))
 def extract_experiences(spark, d):
-    """Three shapes of entries; the oracle states the rows, as SQL can't carry the parser's state."""
-    lines = _values(spark, JOBS, "source_file line_no text").withColumns({"raw": F.col("text"), "location": F.lit("")})
-    rows = extract.experiences(sections.with_sections(lines))
-    return rows.select("source_file", F.col("entry").cast("bigint").alias("entry"), "company", "title", F.col("start").alias("start_month"), F.col("end").alias("end_month"))
-
-
-EDUCATION = [("a", "2014年9月 - 2018年6月 南湖师范学院 信息管理与信息系统（本科）"), ("b", "鹤鸣大学通信工程（研究生）"), ("c", "2020-09 至今 东海学校"), ("d", "自学成才")]
-EDUCATION_WANT = [("a", "2018-06", "南湖师范学院", "本科", "信息管理与信息系统"), ("b", "", "鹤鸣大学", "硕士", "通信工程"), ("c", "", "东海学校", "", ""), ("d", "", "", "", "自学成才")]
-
-
-@query(f"WITH v(f, g, s, d, m) AS (VALUES {_quoted(EDUCATION_WANT)}) SELECT f AS source_file, nullif(g,'') AS graduation_date, nullif(s,'') AS school, nullif(d,'') AS degree, nullif(m,'') AS major FROM v")
+    """Resumes written from every customer's employments, in three shapes of entries, and read again; the oracle is the employments themselves."""
+    (s, s_words), (e, e_words) = _month_text("s"), _month_text("e")
+    going = F.col("rn") % 5 == 0
+    span = F.concat(s, F.when(going, F.lit(" 至今")).otherwise(F.concat(F.lit(" - "), e)))
+    words = F.concat(s_words, F.lit("至"), F.when(going, F.lit("今")).otherwise(e_words))
+    title, shape = F.concat(F.lit("T"), F.col("rn").cast("string")), (F.col("pid") + F.col("rn")) % 3
+    texts = (F.when(shape == 0, F.array(F.concat_ws(" | ", "company", title, span)))
+             .when(shape == 1, F.array(F.concat(span, F.lit(" "), F.col("company"), F.lit(" "), title, F.lit(" x"))))
+             .otherwise(F.array(F.col("company"), F.concat(F.lit("职位："), title), F.concat(F.lit("时间："), words), F.lit("· 负责接口"))))
+    rows = jobs(spark, d)
+    lines = rows.select(F.col("pid").cast("string").alias("source_file"), "rn", F.posexplode(texts).alias("i", "text")).select("source_file", (F.col("rn") * 10 + F.col("i")).alias("line_no"), "text")
+    heads = rows.select(F.col("pid").cast("string").alias("source_file")).distinct().select("source_file", F.lit(1).alias("line_no"), F.lit("工作经历").alias("text"))
+    out = extract.experiences(sections.with_sections(heads.unionByName(lines).withColumns({"raw": F.col("text"), "location": F.lit("")})))
+    return out.select("source_file", F.col("entry").cast("bigint").alias("entry"), "company", "title", F.col("start").alias("start_month"), F.col("end").alias("end_month"))
+
+
+SCHOOLS, MAJORS, DEGREES = ["南湖师范学院", "鹤鸣大学", "东海学校"], ["通信工程", "信息管理与信息系统"], ["大专", "本科", "硕士", "博士", "研究生"]
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS k, {SCHOOLS}[c_custkey%3+1] AS school, {MAJORS}[c_custkey%2+1] AS major, {DEGREES}[c_custkey%5+1] AS degree FROM customer)
+  SELECT CAST(k AS VARCHAR) AS source_file, CASE WHEN k%4=0 THEN concat(2004+k%20,'-',lpad(CAST(k%12+1 AS VARCHAR),2,'0')) END AS graduation_date, CASE WHEN k%4<3 THEN school END AS school,
+    CASE WHEN k%4<2 THEN CASE degree WHEN '研究生' THEN '硕士' ELSE degree END END AS degree, CASE WHEN k%4<2 THEN major WHEN k%4=3 THEN '自学成才' END AS major FROM p""")
 def extract_education(spark, d):
-    rows = [(f, n, t) for f, x in EDUCATION for n, t in ((1, "教育背景"), (2, x))]
-    lines = _values(spark, rows, "source_file line_no text").withColumns({"raw": F.col("text"), "location": F.lit("")})
+    """Lines of education written for every customer in four shapes, and read again; the oracle is what they were written from."""
+    k = F.col("c_custkey")
+    pick = lambda values: F.get(F.array(*(F.lit(v) for v in values)), (k % len(values)).cast("int"))
+    y, month = 2000 + k % 20, F.concat((k % 12 + 1).cast("string"), F.lit("月"))
+    span = F.concat(y.cast("string"), F.lit("年"), month, F.lit(" - "), (y + 4).cast("string"), F.lit("年"), month, F.lit(" "))
+    tail = F.concat(F.lit("（"), pick(DEGREES), F.lit("）"))
+    text_ = (F.when(k % 4 == 0, F.concat(span, pick(SCHOOLS), F.lit(" "), pick(MAJORS), tail)).when(k % 4 == 1, F.concat(pick(SCHOOLS), pick(MAJORS), tail))
+             .when(k % 4 == 2, F.concat(F.lit("2020-09 至今 "), pick(SCHOOLS))).otherwise("自学成才"))
+    lines = table(spark, d, "customer").select(k.cast("string").alias("source_file"), F.posexplode(F.array(F.lit("教育背景"), text_)).alias("line_no", "text"))
+    lines = lines.withColumns({"raw": F.col("text"), "location": F.lit("")})
     return extract.education(sections.with_sections(lines)).select("source_file", "graduation_date", "school", "degree", "major")
 
 
@@ -211,12 +238,14 @@ def mask_documents(spark, d):
     len(list_filter(regexp_extract_all(line, '{masking.AUDIT_EMAIL}'), lambda m: NOT list_contains({masking.ALLOWED_DOMAINS}, lower(split_part(m, '@', 2))))) AS email,
     len(list_filter(regexp_extract_all(line, '\\b1[3-9]\\d{{9}}\\b'), lambda m: NOT regexp_matches(m, '{masking.ALLOWED_PHONE}'))) AS phone,
     CAST(regexp_matches(line, '{masking.IDCARD}') AS INT) AS idcard, CAST(regexp_matches(line, '(?i)(?:api[_-]?key|secret|passwd|password|token)\\s*[=:]\\s*["''][^"'']{{8,}}["'']') OR regexp_matches(line, '{masking.SECRET_KEY}') AS INT) AS secret,
-    CAST(regexp_matches(line, '{masking.INTRANET_IP}') AS INT) AS ip FROM lines)
+    CAST(regexp_matches(line, '{masking.INTRANET_IP}') AS INT) AS ip, CAST(regexp_matches(line, '(?:^|[^A-Za-z0-9])[A-Za-z]:[\\\\/]+Users[\\\\/]+') AS INT) AS home,
+    CAST(regexp_matches(line, '(?:^|[^A-Za-z0-9])[A-Za-z]:[\\\\/]+') AS INT) AS drive, CAST(contains(line, 'ProgramData') AS INT) AS folder, CAST(contains(lower(line), '{WORD}') AS INT) AS word FROM lines)
   SELECT doc_id, category, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, 'EMAIL' AS category, email AS n FROM f UNION ALL SELECT doc_id, 'PHONE', phone FROM f UNION ALL SELECT doc_id, 'IDCARD', idcard FROM f
-    UNION ALL SELECT doc_id, 'SECRET', secret FROM f UNION ALL SELECT doc_id, 'INTRANET_IP', ip FROM f) WHERE n>0 GROUP BY doc_id, category""")
+    UNION ALL SELECT doc_id, 'SECRET', secret FROM f UNION ALL SELECT doc_id, 'INTRANET_IP', ip FROM f UNION ALL SELECT doc_id, 'USERPATH', home FROM f UNION ALL SELECT doc_id, 'DRIVEPATH', drive * (1 - home) FROM f
+    UNION ALL SELECT doc_id, 'PROGDATA', folder FROM f UNION ALL SELECT doc_id, 'SISTER', word FROM f) WHERE n>0 GROUP BY doc_id, category""")
 def audit_categories(spark, d):
-    """All categories. The oracle states no USERPATH, DRIVEPATH and SYSTEM_FOLDER, which only texts with paths of drives or system folders have."""
-    return privacy.audit_texts(table(spark, d, "documents"), "doc_id", "text")
+    """All categories, and one listed word."""
+    return privacy.audit_texts(table(spark, d, "documents"), "doc_id", "text", [WORD])
 
 
 @query("""WITH a AS (SELECT doc_id, CASE WHEN doc_id%3=0 THEN sha256(text) ELSE sha256('other') END AS sha FROM documents WHERE doc_id%2=0)

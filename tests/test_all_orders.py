@@ -1,12 +1,7 @@
-"""All orders of a customer are employments, whatever their number: every query over people against its SQL without the cap on rn."""
+"""All orders of a customer are employments, whatever their number."""
 
-import pytest
 from curricle import catalogue
 from curricle.queries.common import jobs, table, tags
-from test_oracles import compare, duck  # noqa: F401
-
-CAP = " WHERE rn<=2"
-CAPPED = sorted(n for n, q in catalogue.ORACLES.items() if CAP in q)
 
 
 def test_no_order_is_left_out(spark, data):
@@ -17,6 +12,5 @@ def test_no_order_is_left_out(spark, data):
     assert tags(spark, data).count() == brands.selectExpr("o_custkey", "l_linenumber % 2", "p_brand").distinct().count()
 
 
-@pytest.mark.parametrize("name", CAPPED)
-def test_query_over_all_orders(spark, data, duck, name):  # noqa: F811
-    compare(catalogue.QUERIES[name](spark, data), duck.sql(catalogue.ORACLES[name].replace(CAP, "")))
+def test_no_sql_leaves_rows_out():
+    assert not [n for n, q in catalogue.ORACLES.items() if "rn<=" in q or "doc_id%5" in q or "doc_id%7" in q]

@@ -107,3 +107,40 @@ def test_scores_against_truth(spark, tmp_path):
     assert got == {"name": (1, 0, 0), "email": (1, 0, 0), "degree": (0, 1, 1), "phone": (0, 0, 1), "graduation_date": (0, 1, 0), "experiences": (0, 0, 1), "skills": (0, 0, 1)}
     report = {r.grp: r.f1 for r in evaluation.parse_report(evaluation.card_counts(cards, truth)).collect()}
     assert len(report) == 11 and report["name"] == 1.0 and report["degree"] == 0.0
+
+
+JOBS = [("a", 1, "工作经历"), ("a", 2, "极光数据 | Java开发工程师 | 2018-10 至今"), ("a", 3, "· 负责接口"), ("a", 4, "坏行 | 某职 | 去年"), ("a", 5, "2016-01 - 2018-09 元界 信息 高级 开发"), ("a", 6, "磐石系统"), ("a", 7, "职位：测试"),
+        ("a", 8, "时间：2014年1月至2015年12月"), ("b", 1, "实习经历"), ("b", 2, "职位：前言"), ("b", 3, "职位：实习生"), ("b", 4, "时间：去年"), ("b", 5, "时间：2020-01 - 2020-06")]
+
+
+def lines_of(spark, rows):
+    from curricle.operators import sections
+
+    lines = spark.createDataFrame(rows, "source_file string, line_no int, text string").selectExpr("*", "text as raw", "'' as location")
+    return sections.with_sections(lines)
+
+
+def test_shapes_of_experiences(spark):
+    from curricle.operators import extract
+
+    got = {(r.source_file, r.entry, r.company, r.title, r.start, r.end) for r in extract.experiences(lines_of(spark, JOBS)).collect()}
+    assert got == {("a", 1, "极光数据", "Java开发工程师", "2018-10", None), ("a", 2, "元界", "信息 高级 开发", "2016-01", "2018-09"), ("a", 3, "磐石系统", "测试", "2014-01", "2015-12"),
+                   ("b", 1, "职位：前言", "实习生", "2020-01", "2020-06")}
+
+
+def test_shapes_of_education(spark):
+    from curricle.operators import extract
+
+    texts = ["2014年9月 - 2018年6月 南湖师范学院 信息管理与信息系统（本科）", "鹤鸣大学通信工程（研究生）", "2020-09 至今 东海学校", "自学成才"]
+    rows = [(str(i), n, t) for i, x in enumerate(texts) for n, t in ((1, "教育背景"), (2, x))]
+    got = {r.source_file: (r.graduation_date, r.school, r.degree, r.major) for r in extract.education(lines_of(spark, rows)).collect()}
+    assert got == {"0": ("2018-06", "南湖师范学院", "本科", "信息管理与信息系统"), "1": (None, "鹤鸣大学", "硕士", "通信工程"), "2": (None, "东海学校", None, None), "3": (None, None, None, "自学成才")}
+
+
+def test_probable_phones(spark):
+    from curricle.functions.masking import is_probable_phone
+    from pyspark.sql import functions as F
+
+    texts = {"199-0000-0003": True, " 199 0000 0003 ": True, "19900000003": True, "1990000000": False, "29900000003": False, "199.0000.0003": False, "": False}
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", is_probable_phone(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in rows} == texts

@@ -10,6 +10,10 @@ from curricle import catalogue
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries that find nothing in the smallest tables.
+NONE_IN_SMALL_DATA: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def duck(data):
     c = duckdb.connect()
@@ -40,4 +44,4 @@ def compare(df, relation):
 def test_query_equals_its_sql(spark, data, duck, name):
     df = catalogue.QUERIES[name](spark, data)
     assert name in catalogue.ORACLES
-    compare(df, duck.sql(catalogue.ORACLES[name]))
+    assert compare(df, duck.sql(catalogue.ORACLES[name])) > 0 or name in NONE_IN_SMALL_DATA

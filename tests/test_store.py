@@ -131,7 +131,7 @@ def test_event_windows_and_first_arrivals(spark, tmp_path):
 
 
 def test_audit_controls(spark):
-    hit = [("EMAIL", "contact@mail.com"), ("PHONE", "13800000000"), ("IDCARD", "1" * 17 + "X"), ("USERPATH", "C:\\Users\\someone\\doc"), ("SECRET", "sk-" + "a" * 20), ("SECRET", "token = '" + "v" * 12 + "'"), ("INTRANET_IP", "192.168.1.100"), ("WORD", "the Secret-Project")]
+    hit = [("EMAIL", "contact@mail.com"), ("PHONE", "13800000000"), ("IDCARD", "1" * 17 + "X"), ("USERPATH", "C:\\Users\\someone\\doc"), ("SECRET", "sk-" + "a" * 20), ("SECRET", "token = '" + "v" * 12 + "'"), ("INTRANET_IP", "192.168.1.100"), ("SISTER", "the Secret-Project")]
     clean = ["user@example.com", "USER@EXAMPLE.COM", "dev@users.noreply.github.com", "19900000001", "19900050007", "+@pytest.fixture", "电话 1[3-9]\\d{9}", "seed 20261005 fixed",
              "https://www.cac.gov.cn/2021-08/20/c_1631050028355286.htm", "http://schemas.openxmlformats.org/2006/relationships", '<w:panose1 w:val="02000500000000000000"/>']
     df = spark.createDataFrame([(f"hit{i}", t) for i, (_, t) in enumerate(hit)] + [(f"clean{i}", t) for i, t in enumerate(clean)], "k string, text string")

@@ -14,7 +14,7 @@ def written(spark, path, texts, sources=None):
 def test_audit_reports_paths(spark, tmp_path):
     d = written(spark, tmp_path, ["C:\\Users\\x\nsee D:/data and D:/more", "https://a.org\nmail a@corp.org", "in ProgramData", "aC:\\Users\\x", ""])
     got = {(r.doc_id, r.category, r.n) for r in catalogue.QUERIES["audit_categories"](spark, d).collect()}
-    assert got == {(0, "USERPATH", 1), (0, "DRIVEPATH", 1), (1, "EMAIL", 1), (2, "SYSTEM_FOLDER", 1)}
+    assert got == {(0, "USERPATH", 1), (0, "DRIVEPATH", 1), (1, "EMAIL", 1), (2, "PROGDATA", 1)}
 
 
 def test_import_status_reports_both_batches(spark, tmp_path):
