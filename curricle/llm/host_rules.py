@@ -50,7 +50,8 @@ def judge(df: DataFrame, id_: str = "doc_id", host: str = "source", text: str =
     """One row for each row of df: id, host, the counts, base_failed, host_rate (shrunk), host_ok.
 
     Base rules: at least `least_words` words, and at most `most_repeated` percent of them in repeated 3-word windows.
-    A null or empty text has no words and fails. Null hosts are one host. An empty table gives an empty result.
+    A null or empty text has no words and fails. Null hosts are one host. Ids must be whole numbers (or text that says one) or null; rows
+    that repeat are judged each. An empty table gives an empty result.
     """
     counted = text_statistics(df, id_, host, text).withColumn(
         "base_failed", F.expr(f"n_words < {least_words} or 100 * n_repeat_words > {most_repeated} * n_words"))

@@ -199,11 +199,13 @@ def _encoder(path: str, words: int) -> WordEncoder:
     return _encoders[path]
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, words: int = 1_000_000) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, words: int = 1_000_000, most_open: int = OPEN) -> DataFrame:
     """Pieces: doc (id), start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit, binary).
 
     A document's tokens are its text's ids and end_id; a null or empty text has end_id alone. Each token is in exactly one piece,
-    and the pieces of a sequence follow each other without gaps from offset 0. Rows that share an id are packed each.
+    and the pieces of a sequence follow each other without gaps from offset 0. Rows that share an id, or have none, are packed each; ids must be whole numbers
+    (or text that says one). Other columns don't matter, and an empty table gives an empty result.
+    A partition holds up to `most_open` windows; what it holds then, and at its end, is laid end to end.
     A worker keeps the ids of up to `words` words (about 250 bytes each); fewer take less memory and more time, for the same result.
     """
     small_batches(df.sparkSession, 1024)
@@ -211,7 +213,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path, words)
-        packer = SumOfSquares(size, TaskContext.get().partitionId() << 32)
+        packer = SumOfSquares(size, TaskContext.get().partitionId() << 32, most_open)
 
         def batch_of(found: list) -> pa.RecordBatch:
             seq, at, piece = zip(*found, strict=True)

@@ -24,10 +24,15 @@ def interleave(df: DataFrame, source: str, keys: list[str], shards: int, seed: i
     """df with `shard` (0 to shards - 1) and `slot` (its place in the shard, from 0); columns of those names are replaced.
 
     `keys` tell rows apart: the hash is taken over them and the seed, and ties go by them. Null sources are a source of
-    their own, null keys a value like others; rows equal in all keys are interchangeable. An empty table stays empty.
+    their own, null keys a value like others, columns may have any names; rows equal in all keys are interchangeable. An empty table stays empty.
     """
     df = df.drop("shard", "slot")
     kept = df.columns
+    clash = {c.lower() for c in kept} & {"__s", "__h", "__b", "__r", "__at", "__j", "__n", "__p", "__s2", "__b2", "__j2", "__of", "__all", "__before"}
+    if clash:  # under other names while the rows are dealt
+        own = dict(zip(kept, (f"column {i}" for i in range(len(kept))), strict=True))
+        out = interleave(df.withColumnsRenamed(own), own[source], [own[k] for k in keys], shards, seed, range_bits)
+        return out.withColumnsRenamed({v: k for k, v in own.items()})
     keys_ = [F.col(f"`{k}`") for k in keys]
     rows = (df.withColumn("__s", F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("-")))
             .withColumn("__h", F.xxhash64(F.lit(seed), *keys_))

@@ -127,6 +127,6 @@ def classify(df: DataFrame, labels: DataFrame, id_: str = "doc_id", host: str =
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_: str = "doc_id", **how) -> DataFrame:
-    """The rows of df that classify() keeps, all columns as they are."""
+    """The rows of df that classify() keeps, all columns as they are. Rows that share an id go together, if any of them is rejected; a null id stays."""
     verdict = stored(classify(df, labels, id_, **how).where(~F.col("kept")).select("id"), "rejected")
     return without(df, id_, verdict, "id")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 K = 128
 SHINGLE = 5
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
@@ -31,8 +33,10 @@ def sketch_of_hashes(h: Column, k: int = K, shingle: int = SHINGLE) -> Column:
 
 
 def with_sketch(df: DataFrame, text: str = "text", out: str = "sketch", k: int = K, shingle: int = SHINGLE) -> DataFrame:
-    """df with the sketch of a text column; a column of that name is replaced."""
-    return df.withColumn("__h", word_hashes(F.col(f"`{text}`"))).withColumn(out, sketch_of_hashes(F.col("__h"), k, shingle)).drop("__h")
+    """df with the sketch of a text column; a column of that name is replaced, all others stay. A null or empty text has an empty sketch,
+    rows that repeat have equal ones, and an empty table stays empty."""
+    h, = fresh(df, "h")
+    return df.withColumn(h, word_hashes(F.col(f"`{text}`"))).withColumn(out, sketch_of_hashes(F.col(h), k, shingle)).drop(h)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
@@ -61,11 +65,12 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 def merged_by(df: DataFrame, keys: list[str], sketch: str = "sketch", k: int = K, salts: int = 64) -> DataFrame:
     """One sketch for each value of keys. Hashes meet in `salts` parts of each key first, so that a hot key is spread."""
     cols = [F.col(f"`{c}`") for c in keys]
-    rows = df.select(*cols, F.explode_outer(F.col(f"`{sketch}`")).alias("__x")).distinct()
-    rows = rows.withColumn("__salt", F.pmod(F.col("__x"), F.lit(salts)))
-    near = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*cols, "__salt").orderBy("__x"))).where(F.col("__r") <= k)
-    last = near.withColumn("__r", F.row_number().over(Window.partitionBy(*cols).orderBy(F.col("__x").asc_nulls_last()))).where(F.col("__r") <= k)
-    return last.groupBy(*cols).agg(F.sort_array(F.collect_list("__x")).alias(sketch))
+    x, salt, r = fresh(df, "x", "salt", "r")
+    rows = df.select(*cols, F.explode_outer(F.col(f"`{sketch}`")).alias(x)).distinct()
+    rows = rows.withColumn(salt, F.pmod(F.col(x), F.lit(salts)))
+    near = rows.withColumn(r, F.row_number().over(Window.partitionBy(*cols, salt).orderBy(x))).where(F.col(r) <= k)
+    last = near.withColumn(r, F.row_number().over(Window.partitionBy(*cols).orderBy(F.col(x).asc_nulls_last()))).where(F.col(r) <= k)
+    return last.groupBy(*cols).agg(F.sort_array(F.collect_list(x)).alias(sketch))
 
 
 def as_text(a: Column) -> Column:
@@ -77,18 +82,19 @@ def with_next(df: DataFrame, key: str, value: Column, out: str, per_bucket: int
 
     Rows go to buckets between quantiles of the key, whose number grows with the rows; the first row of each bucket goes
     also to the bucket before it, where it ends the order. The driver sees two numbers for each bucket, at most 65,536.
-    A null key comes first; rows of one key follow each other in the order of `value`.
+    A null key comes first; rows of one key follow each other in the order of `value`. Columns may have any other names.
     """
-    keyed = df.withColumn("__k", F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(-(1 << 63)))).withColumn(out, value)
-    keys = keyed.select("__k")
+    k_, b_, to = fresh(df, "k", "b", "to")
+    keyed = df.withColumn(k_, F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(-(1 << 63)))).withColumn(out, value)
+    keys = keyed.select(k_)
     n = min(most_buckets, keys.count() // per_bucket + 1)
-    at = keys.agg(F.percentile_approx("__k", [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n)).alias("q")).first().q
+    at = keys.agg(F.percentile_approx(k_, [i / n for i in range(1, n)] or [0.5], max(10_000, 4 * n)).alias("q")).first().q
     bounds = sorted(set(at or [0]))
     listed = F.expr(f"cast(split('{','.join(map(str, bounds))}', ',') as array<bigint>)")
     steps = F.expr(f"array({', '.join(str(1 << i) for i in reversed(range(len(bounds).bit_length())))})")
     bucket = F.aggregate(steps, F.lit(0), lambda p, s: F.when(
-        (p + s <= len(bounds)) & (F.col("__k") >= F.get(listed, p + s - 1)), p + s).otherwise(p))
-    firsts = {r[0]: r[1] for r in keys.select(bucket.alias("b"), "__k").groupBy("b").agg(F.min("__k")).collect()}
+        (p + s <= len(bounds)) & (F.col(k_) >= F.get(listed, p + s - 1)), p + s).otherwise(p))
+    firsts = {r[0]: r[1] for r in keys.select(bucket.alias("b"), k_).groupBy("b").agg(F.min(k_)).collect()}
     there = sorted(firsts)
     if not there:
         return df.withColumn(out, value)
@@ -96,9 +102,9 @@ def with_next(df: DataFrame, key: str, value: Column, out: str, per_bucket: int
     text = ",".join(str(firsts.get(b, "")) for b in range(len(bounds) + 1))
     first_of = F.expr(f"transform(split('{text}', ','), x -> try_cast(x as bigint))")
     prior = F.expr(f"cast(split('{','.join(str(before.get(b, -1)) for b in range(len(bounds) + 1))}', ',') as array<int>)")
-    own = F.struct(F.col("__b").alias("b"), F.lit(0).alias("late"))
-    copy = F.struct(F.get(prior, F.col("__b")).alias("b"), F.lit(1).alias("late"))
-    keyed = keyed.withColumn("__b", bucket)
-    keyed = keyed.withColumn("__to", F.explode(F.when(F.col("__k") == F.get(first_of, F.col("__b")), F.array(own, copy)).otherwise(F.array(own))))
-    order = Window.partitionBy("__to.b").orderBy("__to.late", "__k", out)
-    return (keyed.withColumn(out, F.lead(out).over(order)).where(F.col("__to.late") == 0).drop("__k", "__b", "__to"))
+    own = F.struct(F.col(b_).alias("b"), F.lit(0).alias("late"))
+    copy = F.struct(F.get(prior, F.col(b_)).alias("b"), F.lit(1).alias("late"))
+    keyed = keyed.withColumn(b_, bucket)
+    keyed = keyed.withColumn(to, F.explode(F.when(F.col(k_) == F.get(first_of, F.col(b_)), F.array(own, copy)).otherwise(F.array(own))))
+    order = Window.partitionBy(f"{to}.b").orderBy(f"{to}.late", k_, out)
+    return (keyed.withColumn(out, F.lead(out).over(order)).where(F.col(f"{to}.late") == 0).drop(k_, b_, to))

@@ -99,7 +99,7 @@ def records_of(page: int | None, url: str | None, payload: bytes, refers_to: int
 
 def write_archives(pages: DataFrame, path: str, id_: str = "page_id", payload: str = "html", least_bytes: int = 100, segment: int = 1 << 15,
                    chunk: int = 1 << 13, records_per_file: int = 4096, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes the pages (id, url, payload) to gzip archives under path. A null payload is empty, a null url has no target;
+    """Writes the pages (id, url, payload) to gzip archives under path. Ids must be whole numbers (or text that says one). A null payload is empty, a null url has no target;
     rows that share an id (or have none) get record identifiers of their own, so that each comes back as a row. No page, no archive."""
     small_batches(pages.sparkSession)
 
