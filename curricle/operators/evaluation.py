@@ -110,6 +110,15 @@ def member_metrics(members: DataFrame, cluster: str = "cluster", truth: str = "g
     return rows.withColumn("false_merge_rate", _ratio(F.col("fp"), F.col("tp") + F.col("fp")))
 
 
+def manual_pairs(decisions: DataFrame, members: DataFrame, key: str = "pid", truth: str = "grp") -> DataFrame:
+    """One row: how many pairs are left to a reader (n_pairs), and how many of them are of the same true group (n_same) or not (n_cross)."""
+    rows = decisions.where("decision = 'manual_review'").select("a", "b").distinct()
+    for k in "ab":
+        rows = rows.join(members.select(F.col(key).alias(k), F.col(truth).alias(f"__{k}")), k)
+    same = F.count_if(F.col("__a") == F.col("__b"))
+    return rows.agg(F.count("*").alias("n_pairs"), same.alias("n_same"), (F.count("*") - same).alias("n_cross"))
+
+
 def passes(row, least: float = 0.95, most_false: float = 0.0) -> bool:
     """The gate of matching: precision and recall, and no false merge."""
     return row["precision"] >= least and row["recall"] >= least and row["false_merge_rate"] <= most_false

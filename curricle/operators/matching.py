@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..types import AUTO, MANUAL, NAME_EQUAL, NAME_KEY, WEIGHT_COMPANY, WEIGHT_EXPERIENCE, WEIGHT_NAME, WEIGHT_OTHER, WEIGHT_TIME
+from ..storage import stored
 from .graph import components
 from .intervals import merged, overlap_of_pairs
 
@@ -102,6 +103,19 @@ def decisions(profiles: DataFrame, jobs: DataFrame) -> DataFrame:
     return decided(pair_scores(candidate_pairs(profiles, jobs), profiles, jobs))
 
 
+def cluster_links(profiles: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose components are those of all automatic merges. People that share a contact are all merged, so each is linked with the least
+    of its contact alone; other pairs are those that share a name or a name key, as nothing else reaches the tier."""
+    rows = blocks(profiles, jobs, by=None)
+    least = rows.where("kind in ('phone', 'email')").groupBy("kind", "key").agg(F.min("pid").alias("a"), F.count("*").alias("n")).where("n > 1")
+    near = rows.alias("x").join(least.alias("y"), F.expr("x.kind = y.kind and x.key = y.key and x.pid != y.a"))
+    stars = near.select("y.a", F.col("x.pid").alias("b"))
+    named = rows.where("kind in ('name', 'name_key')")
+    pairs = named.alias("x").join(named.alias("y"), F.expr("x.kind = y.kind and x.key = y.key and x.pid < y.pid")).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b")).distinct()
+    merged_ = decided(pair_scores(stored(pairs, "named-pairs"), profiles, jobs)).where("decision = 'auto_merge'").select("a", "b")
+    return stars.unionByName(merged_).distinct().withColumn("decision", F.lit("auto_merge"))
+
+
 def best_matches(pairs: DataFrame) -> DataFrame:
     """For each b, the a with the highest score among those not different; of equals, the least."""
     order = Window.partitionBy("b").orderBy(F.desc("score"), "a")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..sources.documents import condition
-from ..types import DEGREE_ORDER, STATE_TEXT, WEIGHT_DEGREE, WEIGHT_SKILLS, WEIGHT_YEARS
+from ..types import DEGREE_ORDER, EVIDENCE, STATE_TEXT, WEIGHT_DEGREE, WEIGHT_SKILLS, WEIGHT_YEARS
+from .numbering import numbered
 
 HIT, MISS, UNSURE, EXCLUDED = "hit", "miss", "insufficient", "excluded"
 
@@ -27,15 +28,18 @@ def years_state(years: Column, has_jobs: Column, least: float | None, most: floa
     return F.when(~F.coalesce(has_jobs, F.lit(False)) | years.isNull(), UNSURE).when(fits, HIT).otherwise(MISS)
 
 
-def skill_cells(skills: Column, required: list[str]) -> Column:
-    """ARRAY<STRUCT<keyword, state, value>>: equality without case; nobody with no skills at all is judged."""
+def skill_cells(skills: Column, required: list[str], evidence: Column | None = None) -> Column:
+    """ARRAY<STRUCT<keyword, state, value, evidence>>: equality without case; nobody with no skills at all is judged. evidence: by
+    lower-case skill, the lines that show it (MAP<STRING, ARRAY<evidence>>); a hit's cell has them."""
+    evidence = F.lit(None).cast(f"MAP<STRING, ARRAY<{EVIDENCE}>>") if evidence is None else evidence
     labels = F.coalesce(F.filter(F.transform(skills, strip), lambda s: s != ""), F.array().cast("array<string>"))
     wanted = F.array(*(F.lit(r) for r in required)) if required else F.array().cast("array<string>")
 
     def cell(r: Column) -> Column:
         same = F.filter(labels, lambda s: F.lower(s) == F.lower(r))
         state = F.when(F.size(labels) == 0, UNSURE).when(F.size(same) > 0, HIT).otherwise(MISS)
-        return F.struct(r.alias("keyword"), state.alias("state"), F.get(same, F.lit(0)).alias("value"))
+        shown = F.when(F.size(same) > 0, F.try_element_at(evidence, F.lower(r)))
+        return F.struct(r.alias("keyword"), state.alias("state"), F.get(same, F.lit(0)).alias("value"), shown.alias("evidence"))
 
     return F.transform(wanted, cell)
 
@@ -67,7 +71,7 @@ def matrix(people: DataFrame, given: dict, key: str = "pid") -> DataFrame:
     least, most = want["years"].get("min"), want["years"].get("max")
     years = years_state(F.col("years"), F.col("has_jobs"), least, most) if want["years"] else F.lit(None).cast("string")
     rows = people.select(key, "name", "degree", "years", degree.alias("degree_state"), years.alias("years_state"),
-                         skill_cells(F.col("skills"), want["must_have_skills"]).alias("skill_cells"), exclude_cells(F.col("texts"), want["exclude_keywords"]).alias("exclude_cells"))
+                         skill_cells(F.col("skills"), want["must_have_skills"], F.col("skill_evidence") if "skill_evidence" in people.columns else None).alias("skill_cells"), exclude_cells(F.col("texts"), want["exclude_keywords"]).alias("exclude_cells"))
     states = F.concat(F.array("degree_state", "years_state"), F.col("skill_cells.state"))
     some = lambda s: F.exists(states, lambda x: F.coalesce(x == s, F.lit(False)))
     rows = rows.withColumn("excluded", F.exists("exclude_cells", lambda c: c["state"] == HIT))
@@ -80,9 +84,8 @@ def matrix(people: DataFrame, given: dict, key: str = "pid") -> DataFrame:
 
 
 def ranked(rows: DataFrame, key: str = "pid") -> DataFrame:
-    """rows of matrix() with their rank, in order. The rank is a place in the whole list, so it is for lists that one reader reads."""
-    order = [F.col("excluded").asc(), F.desc("score"), F.col(key).asc()]
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy("rank")
+    """rows of matrix() with their rank, in order: a sort over all tasks and one count for each, no single window."""
+    return numbered(rows, [F.col("excluded").asc(), F.desc("score"), F.col(key).asc()], "rank", 0).withColumn("rank", F.col("rank").cast("int")).orderBy("rank")
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -106,12 +109,21 @@ def export_rows(rows: DataFrame, key: str = "pid") -> DataFrame:
     return rows.select(*(c.alias(h) for c, h in zip(cells, EXPORT_HEADERS, strict=True)))
 
 
-def export_csv(rows: DataFrame, path: str, key: str = "pid") -> None:
-    """One CSV file with a byte order mark, written by the driver from ranked() rows as they arrive."""
+def export_folder(rows: DataFrame, path: str, key: str = "pid") -> None:
+    """A folder of CSV files with headers, in order of rank, written by all tasks."""
+    export_rows(rows, key).write.option("header", True).mode("overwrite").csv(path)
+
+
+#: Rows of one CSV file for readers; longer lists go to a folder.
+ONE_FILE = 10_000
+
+
+def export_csv(rows: DataFrame, path: str, key: str = "pid", limit: int = ONE_FILE) -> None:
+    """One CSV file with a byte order mark of the first `limit` of ranked() rows, written by the driver."""
     import csv
 
     with open(path, "w", encoding="utf-8-sig", newline="") as f:
         out = csv.writer(f)
         out.writerow(EXPORT_HEADERS)
-        for row in export_rows(rows, key).toLocalIterator():
+        for row in export_rows(rows.where(F.col("rank") <= limit), key).toLocalIterator():
             out.writerow(list(row))

@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.masking import mask_email, mask_phone
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, strip
 from ..operators import intervals, matching, merging, screening, search
 from ..operators.extract import extract_cards
 from ..operators.graph import components
+from ..operators.numbering import numbered
 from ..sources.files import read_resumes, resume_files
 from ..storage import stored
-from ..types import SCALAR_FIELDS
+from ..types import FIELD, SCALAR_FIELDS
 
 TABLES = {
     "candidates": "candidate_id BIGINT, " + ", ".join(f"{f} STRING" for f in SCALAR_FIELDS) + ", latest_resume_id BIGINT, years DOUBLE, latest INT, n_jobs INT, parsed_at STRING",
@@ -38,19 +39,6 @@ MOST_PARTS = 64
 PENDING_MERGE = "candidate_merge"
 
 
-def numbered(df: DataFrame, order: list[str], out: str, start: int = 0) -> DataFrame:
-    """df with start + 1, start + 2, ... in an order. Rows are sorted over all tasks; the driver sees one count for each."""
-    rows = stored(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), "numbered").withColumn("__p", F.shiftright("__m", 33))
-    at, before = start, {}
-    for r in sorted(rows.groupBy("__p").count().collect()):
-        before[r["__p"]] = at
-        at += r["count"]
-    if not before:
-        return rows.withColumn(out, F.lit(None).cast("bigint")).drop("__m", "__p")
-    base = F.create_map(*(F.lit(v) for kv in before.items() for v in kv))
-    return rows.withColumn(out, F.element_at(base, F.col("__p")).cast("bigint") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__m", "__p")
-
-
 class PeopleStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -269,10 +257,17 @@ class PeopleStore:
         part = lambda c: F.struct(F.lit(c).alias("field"), F.col(c).alias("text"))
         worked = jobs.groupBy("pid").agg(F.flatten(F.collect_list(F.array(part("company"), part("title")))).alias("worked"))
         own = F.array(part("school"), part("major"), F.struct(F.lit("desired_position").alias("field"), F.col("desired").alias("text")))
-        rows = people.join(skills, "pid", "left").join(worked, "pid", "left")
+        rows = people.join(skills, "pid", "left").join(worked, "pid", "left").join(self._skill_evidence(), "pid", "left")
         rows = rows.withColumn("has_jobs", F.col("worked").isNotNull()).withColumn("texts", F.concat(own, F.coalesce("worked", F.array().cast("array<struct<field:string,text:string>>"))))
         return screening.matrix(rows, condition)
 
+    def _skill_evidence(self) -> DataFrame:
+        """pid, skill_evidence: by lower-case skill, the lines of all resumes that show it."""
+        card = F.from_json("card_json", f"skills ARRAY<{FIELD}>")["skills"]
+        each = self.table("resumes").select(F.col("candidate_id").alias("pid"), F.explode(card).alias("s")).select("pid", F.lower(strip(F.col("s.value"))).alias("skill"), F.explode("s.evidence").alias("e"))
+        one = each.where("skill is not null").groupBy("pid", "skill").agg(F.array_sort(F.collect_set("e")).alias("e"))
+        return one.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("skill", "e"))).alias("skill_evidence"))
+
     # --- conflicts ---
 
     def pending_reviews(self) -> DataFrame:

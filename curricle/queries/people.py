@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, intervals, matching, merging, screening, search
-from ..storage import stored
 from .common import jobs, profiles, sql, table, tags
 
 QUERIES, ORACLES = {}, {}
@@ -105,8 +104,7 @@ def match_best(spark, d):
 def _clusters(spark, d):
     """Links don't need the company block: a pair that shares no contact and no name stays below the automatic tier."""
     p, j = profiles(spark, d), jobs(spark, d)
-    pairs = stored(matching.candidate_pairs(p, j, by=None), "pairs")
-    return matching.clusters(p, matching.decided(matching.pair_scores(pairs, p, j)))
+    return matching.clusters(p, matching.cluster_links(p, j))
 
 
 CLOSURE = """, links AS (SELECT a,b FROM dec WHERE decision='auto_merge' UNION SELECT b,a FROM dec WHERE decision='auto_merge'),

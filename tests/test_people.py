@@ -121,3 +121,20 @@ def test_screening(spark, tmp_path):
     assert body.startswith(b"\xef\xbb\xbf")
     lines = body.decode("utf-8-sig").splitlines()
     assert lines[0].split(",") == screening.EXPORT_HEADERS and lines[1] == "1,满足,1,甲,硕士,满足,3.0,满足,Java:满足；python:满足,,1.0000" and "(无名)" in lines[5] and "外包:title" in lines[5]
+
+
+def test_export_for_readers_and_by_all_tasks(spark, tmp_path):
+    people = spark.createDataFrame([(i, f"n{i}", "硕士", float(i % 7), True, ["Java"], []) for i in range(40)],
+                                   "pid int, name string, degree string, years double, has_jobs boolean, skills array<string>, texts array<struct<field: string, text: string>>")
+    out = screening.ranked(screening.matrix(people, {"must_have_skills": ["java"], "years": {"min": 2}}))
+    assert [r["rank"] for r in out.collect()] == list(range(1, 41))
+    screening.export_csv(out, str(tmp_path / "few.csv"), limit=5)
+    assert len((tmp_path / "few.csv").read_text(encoding="utf-8-sig").splitlines()) == 6
+    screening.export_folder(out, str(tmp_path / "all"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "all")).count() == 40
+
+
+def test_manual_pairs(spark):
+    decisions = spark.createDataFrame([(1, 2, "manual_review"), (1, 3, "manual_review"), (2, 3, "auto_merge")], "a bigint, b bigint, decision string")
+    members = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q")], "pid bigint, grp string")
+    assert evaluation.manual_pairs(decisions, members).first()[:] == (2, 1, 1)

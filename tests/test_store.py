@@ -44,6 +44,8 @@ def test_import_search_merge_purge(spark, tmp_path, folder):
     store.set_setting("masking", "off")
     assert store.search("张三").first().phone == "19900000001" and not store.masking()
     assert {r.pid for r in store.screen({"must_have_skills": ["mysql"]}).where("state = 'hit'").collect()} == {1}
+    cell = store.screen({"must_have_skills": ["mysql"]}).where("pid = 1").first().skill_cells[0]
+    assert cell.value == "MySQL" and [e.snippet for e in cell.evidence] == ["Java、MySQL"]
     store.merge_candidates(2, 1)
     assert store.timeline(1).first().email == "li@example.com" and store.table("candidates").where("candidate_id = 2").count() == 0
     with pytest.raises(ValueError):
