@@ -1,4 +1,4 @@
-"""Resume files as texts and lines: plain text, Word documents and glyphs of pages."""
+"""Resume files as texts and lines: plain text, Word documents, PDF files and glyphs of pages."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_line, physical_lines, strip
 from ..shipping import ship
+from . import pdf
 
 SUFFIXES = ("pdf", "docx", "txt")
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -117,19 +118,37 @@ def read_glyphs(glyphs: DataFrame) -> DataFrame:
     return each.select("source_file", F.array_join(F.col("x.raw"), "\n").alias("raw_text"), lines.cast(LINES).alias("lines"))
 
 
+def read_pdf(files: DataFrame) -> DataFrame:
+    """raw_text and lines of PDF files, each decoded where it lies; null where the bytes can't be read. A file without text has no lines."""
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts(body: bytes) -> list[dict] | None:
+            try:
+                return [{"location": f"p{page}/L{line}", "raw": raw} for page, line, raw in pdf.page_lines(pdf.glyphs(bytes(body)))]
+            except pdf.Unreadable:
+                return None
+        for batch in batches:
+            yield pd.DataFrame({"source_file": batch["source_file"], "file_type": batch["file_type"], "file_sha256": batch["file_sha256"], "parts": batch["content"].map(parts)})
+
+    rows = files.mapInPandas(decode, "source_file STRING, file_type STRING, file_sha256 STRING, parts ARRAY<STRUCT<location: STRING, raw: STRING>>")
+    lines = F.transform("parts", lambda v, i: F.struct((i + 1).cast("int").alias("line_no"), strip(v["raw"]).alias("raw"), normalize_line(v["raw"]).alias("text"), v["location"].alias("location")))
+    return rows.select("source_file", "file_type", "file_sha256", F.array_join(F.col("parts.raw"), "\n").alias("raw_text"), lines.cast(LINES).alias("lines"))
+
+
 def read_resumes(files: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
     """source_file, file_type, file_sha256, raw_text, lines, error: every file, each by its type.
 
-    Page files need their glyphs (source_file, page, top, x0, text), as no decoder of their bytes is part of this engine.
+    PDF files with glyphs from elsewhere (source_file, page, top, x0, text) are read from these, all others from their bytes.
     """
     names = ["source_file", "file_type", "file_sha256", "raw_text", "lines"]
     ship(files.sparkSession)
     out = read_txt(files.where("file_type = 'txt'")).select(names).unionByName(read_docx(files.where("file_type = 'docx'")).select(names))
-    rest = files.where("file_type not in ('txt', 'docx')").select("source_file", "file_type", "file_sha256")
-    if glyphs is None:
-        rest = rest.withColumn("raw_text", F.lit(None).cast("string")).withColumn("lines", F.lit(None).cast(LINES))
-    else:
-        rest = rest.join(read_glyphs(glyphs), "source_file", "left")
-    out = out.unionByName(rest.select(names))
+    pages = files.where("file_type = 'pdf'")
+    if glyphs is not None:
+        given = read_glyphs(glyphs)
+        out = out.unionByName(pages.select("source_file", "file_type", "file_sha256").join(given, "source_file").select(names))
+        pages = pages.join(given.select("source_file"), "source_file", "left_anti")
+    out = out.unionByName(read_pdf(pages).select(names))
     known = F.col("file_type").isin(*SUFFIXES)
+    rest = files.where(~known).select("source_file", "file_type", "file_sha256").withColumn("raw_text", F.lit(None).cast("string")).withColumn("lines", F.lit(None).cast(LINES))
+    out = out.unionByName(rest.select(names))
     return out.withColumn("error", F.when(~known, F.concat(F.lit("unsupported file type: "), "file_type")).when(F.col("raw_text").isNull(), F.lit("the file can't be read")))
