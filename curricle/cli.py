@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 import os
 import sys
 from datetime import datetime
@@ -11,8 +10,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluation, extract, generation, matching, screening
+from .operators import evaluation, extract, matching, screening
 from .operators.intervals import month_intervals
+from .plans.sample import write_sample
 from .plans.store import PeopleStore
 from .sources.documents import read_condition, read_truth
 from .sources.files import read_resumes, resume_files
@@ -115,8 +115,12 @@ def match_report(cards: DataFrame, truth: DataFrame):
 
 def _bench(spark: SparkSession, store: PeopleStore, a) -> int:
     if a.what == "gen":
-        write_sample(spark, a.data, a.persons, a.seed)
-        print(f"{a.persons} people in {a.data}")
+        if a.persons < 1:
+            print("a sample has one person at least", file=sys.stderr)
+            return 2
+        made = write_sample(spark, a.data, a.persons, a.seed)
+        print(f"{a.data}: {made['persons']} people, {made['multi_version_persons']} with several versions, {made['homonym_groups']} pairs of one name; "
+              f"{made['files']} files: " + ", ".join(f"{k} {n}" for k, n in made["by_format"].items()))
         return 0
     if not os.path.isfile(f"{a.data}/truth.json"):
         print(f"no truth.json in {a.data}", file=sys.stderr)
@@ -135,36 +139,6 @@ def _bench(spark: SparkSession, store: PeopleStore, a) -> int:
     return 0 if evaluation.passes(row) else 1
 
 
-def write_sample(spark: SparkSession, data: str, persons: int, seed: str) -> None:
-    """Text resumes of made-up people, some with a second version, and their truth file; the same for the same seed."""
-    base = spark.range(1, persons + 1).withColumnRenamed("id", "pid")
-    rows = generation.quota(base, "pid", [], 0.6, f"{seed}|multi", "multi") if persons else base.withColumn("multi", F.lit(False))
-    rows = generation.weighted_choice(rows, "pid", [("大专", 0.2), ("本科", 0.5), ("硕士", 0.3)], f"{seed}|degree", "degree")
-    rows = generation.missing_flags(rows, "pid", {"email": 0.15, "degree": 0.1, "major": 0.2}, seed)
-    rows = rows.withColumn("v", F.explode(F.when(F.col("multi"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    num = lambda w: F.lpad(F.col("pid").cast("string"), w, "0")
-    letter = lambda k: F.element_at(F.array(*(F.lit(c) for c in "甲乙丙丁戊己庚辛壬癸")), (F.floor(F.col("pid") / k) % 10 + 1).cast("int"))
-    start, y = F.lit("2018-03"), (F.lit(2019) + F.col("pid") % 4).cast("string")
-    first = F.struct(F.concat(letter(1), letter(10), F.lit("数据")).alias("company"), F.lit("开发工程师").alias("title"), start.alias("start"), F.when(F.col("v") == 2, F.concat(y, F.lit("-06"))).alias("end"))
-    second = F.struct(F.concat(letter(1), letter(10), F.lit("信息")).alias("company"), F.lit("高级工程师").alias("title"), F.concat(y, F.lit("-07")).alias("start"), F.lit(None).cast("string").alias("end"))
-    people = rows.select("pid", "v", F.concat(F.lit("张"), letter(1), letter(10)).alias("name"), F.concat(F.lit("1990000"), num(4)).alias("phone"),
-                         F.when(~F.col("no_email"), F.concat(F.lit("p"), num(4), F.lit("@example.com"))).alias("email"), F.when(~F.col("no_degree"), F.col("degree")).alias("degree"),
-                         F.concat(letter(1), letter(10), F.lit("学院")).alias("school"), F.when(~F.col("no_major"), F.lit("软件工程")).alias("major"), F.lit("后端开发工程师").alias("desired"),
-                         F.when(F.col("v") == 2, F.array(first, second)).otherwise(F.array(first)).alias("jobs"), F.array(F.lit("Java"), F.lit("MySQL"), F.lit("HTML/CSS")).alias("skills"))
-    texts = generation.resume_text(people.withColumn("pid", F.concat_ws("_", F.concat(F.lit("p"), num(4)), F.concat(F.lit("v"), F.col("v")))))
-    os.makedirs(f"{data}/resumes", exist_ok=True)
-    for r in texts.toLocalIterator():
-        with open(f"{data}/resumes/{r.pid}.txt", "w", encoding="utf-8") as f:
-            f.write(r.raw_text)
-    persons_: dict[int, list] = {}
-    for r in people.orderBy("pid", "v").toLocalIterator():
-        fields = {k: r[c] for k, c in (("name", "name"), ("phone", "phone"), ("email", "email"), ("degree", "degree"), ("school", "school"), ("major", "major"), ("desired_position", "desired")) if r[c]}
-        persons_.setdefault(r.pid, []).append({"file": f"p{r.pid:04d}_v{r.v}.txt", "format": "txt", "layout": "labeled", "noise": [], "truth_fields": fields, "truth_experiences": [j.asDict() for j in r.jobs], "truth_skills": list(r.skills), "truth_certificates": []})
-    out = {"truth_version": 1, "persons": [{"person_id": f"p{k:04d}", "same_person_group": f"p{k:04d}", "resumes": v} for k, v in persons_.items()]}
-    with open(f"{data}/truth.json", "w", encoding="utf-8") as f:
-        json.dump(out, f, ensure_ascii=False, indent=1)
-
-
 def _purge(spark: SparkSession, store: PeopleStore, a) -> int:
     for name, n in store.purge_preview().items():
         print(f"{name}: {n}")

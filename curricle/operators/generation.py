@@ -56,13 +56,50 @@ def noisy_line(text: Column, spaces: Column, wide: Column) -> Column:
     return F.when(wide, F.translate(text, "0123456789", "０１２３４５６７８９")).otherwise(text)
 
 
-def resume_text(people: DataFrame) -> DataFrame:
-    """pid and a labelled resume text of people (pid, name, phone, email, degree, school, major, desired, jobs: ARRAY<STRUCT<company, title, start, end>>, skills)."""
-    line = lambda label, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(label + "："), F.col(c)))
-    jobs = F.transform("jobs", lambda j: F.concat_ws(" | ", j["company"], j["title"], F.concat(j["start"], F.when(j["end"].isNull(), " 至今").otherwise(F.concat(F.lit(" - "), j["end"])))))
-    parts = F.array(line("姓名", "name"), line("电话", "phone"), line("邮箱", "email"), line("学历", "degree"), line("毕业院校", "school"), line("专业", "major"), line("期望职位", "desired"))
-    body = F.concat(F.array_compact(parts), F.array(F.lit("工作经历")), jobs, F.array(F.lit("技能"), F.array_join("skills", "、")))
-    return people.select("pid", F.array_join(body, "\n").alias("raw_text"))
+def resume_lines(seed: str, bullets: list[str]) -> Column:
+    """ARRAY<STRING>: the lines of a resume (key, name, phone, email, degree, school, major, graduation, desired, jobs: ARRAY<STRUCT<company, title,
+    start, end>>, skills, certificates, fresh, layout, chinese: dates with ideographs, noise). Null fields and empty lists have no line.
+
+    Layout `labeled` has a label before each field, `sectioned` has headed sections and one line for the education. A job stands as three
+    lines, or as one with its dates first or last.
+    """
+    def day(x: Column) -> Column:
+        return F.when(F.col("chinese"), F.concat(F.substring(x, 1, 4), F.lit("年"), F.substring(x, 6, 2).cast("int").cast("string"), F.lit("月"))).otherwise(x)
+
+    def between(a: Column, b: Column) -> Column:
+        return F.concat(day(a), F.when(b.isNull(), " 至今").otherwise(F.concat(F.when(F.col("chinese"), "至").otherwise(" - "), day(b))))
+
+    def label(name: str, c: str, value: Column | None = None) -> Column:
+        return F.when(F.col(c).isNotNull(), F.concat(F.lit(name + "："), F.col(c) if value is None else value))
+
+    def one(j: Column, i: Column) -> Column:
+        time, r = between(j["start"], j["end"]), fraction(f"{seed}|shape", F.col("key"), i)
+        three = F.array(j["company"], F.concat(F.lit("职位："), j["title"]), F.concat(F.lit("时间："), time))
+        single = F.when(r < 0.5, F.concat_ws("  ", time, j["company"], j["title"])).otherwise(F.concat_ws(" | ", j["company"], j["title"], time))
+        told = F.element_at(F.array(*map(F.lit, bullets)), (F.floor(r * len(bullets)) + 1).cast("int"))
+        return F.concat(F.when(F.array_contains("noise", "multiline_experience"), three).otherwise(F.array(single)), F.array(told))
+
+    header, jobs = F.when(F.col("fresh"), "实习经历").otherwise("工作经历"), F.flatten(F.transform("jobs", one))
+    skills, shown = F.array_join("skills", "、"), F.size("certificates") > 0
+    certificates = F.when(shown, F.array_join("certificates", "、"))
+    fields = F.array(label("姓名", "name"), label("电话", "phone"), label("邮箱", "email"), label("学历", "degree"), label("毕业院校", "school"), label("专业", "major"), label("毕业时间", "graduation", day(F.col("graduation"))), label("期望职位", "desired"))
+    labelled = F.concat(fields, F.array(F.lit("技能"), skills, header), jobs, F.array(F.when(shown, "证书"), certificates))
+    head = lambda name, there: F.when(there, F.concat(F.lit("【"), name if isinstance(name, Column) else F.lit(name), F.lit("】")))
+    contact = F.concat_ws(" | ", "phone", "email")
+    begun = F.concat((F.substring("graduation", 1, 4).cast("int") - 4).cast("string"), F.lit("-09"))
+    taught = F.concat_ws("  ", F.when(F.col("graduation").isNotNull(), between(begun, F.col("graduation"))), "school", "major")
+    learnt = F.col("school").isNotNull() | F.col("major").isNotNull() | F.col("graduation").isNotNull()
+    education = F.when(learnt, F.concat(taught, F.coalesce(F.concat(F.lit("（"), F.col("degree"), F.lit("）")), F.lit(""))))
+    some, wish = F.lit(True), F.col("desired").isNotNull()
+    sectioned = F.concat(F.array(F.col("name"), F.when(contact != "", contact), head("基本信息", F.col("degree").isNotNull()), label("学历", "degree"), head("教育背景", learnt), education, head("技能特长", some), skills, head(header, some)), jobs,
+                         F.array(head("证书", shown), certificates, head("求职意向", wish), F.col("desired")))
+    lines = F.array_compact(F.when(F.col("layout") == "labeled", labelled).otherwise(sectioned))
+
+    def noisy(x: Column, i: Column) -> Column:
+        r = fraction(f"{seed}|noise", F.col("key"), i)
+        spaced = F.array_contains("noise", "pseudo_space") & (r < 0.3) & x.rlike("^..[\\x{4E00}-\\x{9FFF}]{2}")
+        return noisy_line(x, spaced, F.array_contains("noise", "fullwidth_digit") & (r < 0.7) & ~x.contains("@"))
+    return F.transform(lines, noisy)
 
 
 def homonyms(people: DataFrame, key: str, pairs: list[tuple[int, int]], name: str = "name") -> DataFrame:

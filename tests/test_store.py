@@ -171,7 +171,9 @@ def test_command_line(spark, tmp_path, folder, capsys, monkeypatch):
     assert cli.main([*store, "purge"]) == 1 and cli.main([*store, "purge", "--confirm", "DELETE"]) == 0
     data = str(tmp_path / "made")
     assert cli.main(["bench", "parse", "--data", data]) == 2
-    assert cli.main(["bench", "gen", "--data", data, "--persons", "12"]) == 0
+    assert cli.main(["bench", "gen", "--data", data, "--persons", "0"]) == 2
+    capsys.readouterr()
+    assert cli.main(["bench", "gen", "--data", data, "--persons", "12"]) == 0 and "12 people, 7 with several versions, 2 pairs of one name" in capsys.readouterr().out
     first = sorted((p.name, p.read_bytes()) for p in (tmp_path / "made" / "resumes").iterdir())
     assert cli.main(["bench", "gen", "--data", data, "--persons", "12"]) == 0
     assert first == sorted((p.name, p.read_bytes()) for p in (tmp_path / "made" / "resumes").iterdir())
