@@ -131,7 +131,8 @@ def _schema(df: DataFrame, columns: list[str]) -> str:
 def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, ids: str = "ids") -> DataFrame:
     """The array of ids of each text beside the columns in `keep` (all others than text; one named like `ids` is replaced).
 
-    A null or empty text has no ids; repeated rows are encoded each. Long texts are held whole, one Arrow batch at a time.
+    A null or empty text has no ids; repeated rows are encoded each. Long texts are held whole, one Arrow batch at a time. Columns may have any names;
+    an empty table gives an empty result.
     """
     small_batches(df.sparkSession)
     keep = _kept(df, text, ids) if keep is None else keep
@@ -147,7 +148,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", kee
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", keep: list[str] | None = None, out: str = "decoded") -> DataFrame:
-    """The bytes that the ids stand for (null: none) beside the columns in `keep` (all others than ids)."""
+    """The bytes that the ids stand for (null: none) beside the columns in `keep` (all others than ids). Columns may have any names; an empty table gives an empty result."""
     small_batches(df.sparkSession)
     keep = _kept(df, ids, out) if keep is None else keep
 

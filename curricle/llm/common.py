@@ -116,12 +116,12 @@ def pieces(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]
 
 
 def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow of a function on one batch."""
+    """mapInArrow of a function on one batch, which finds columns by their place: df's names may repeat and hold any character."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
 
 
 def lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:

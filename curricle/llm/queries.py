@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, host_rules, line_dedup, minhash, packing, sharding, site_quality, sketches, suffixes, warc
+from . import byte_bpe, divergence, fill_middle, host_rules, line_dedup, minhash, packing, prefix_tokens, sharding, site_quality, sketches, suffixes, warc
 from .common import scratch, table
 
 
@@ -98,6 +98,25 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines cut in three and put in another order, and the text rebuilt from that, as digests."""
+    out = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), grammar=fill_middle.LINES, seed=7, rate=100, spm_share=50)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", F.char_length("prefix").cast("long").alias("prefix_chars"), F.char_length("middle").cast("long").alias("middle_chars"),
+                      F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source is from the others of its language, and the terms that set it apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, and how many characters of it 4096 tokens hold."""
+    out = prefix_tokens.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], budget=4096)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "fit_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_warc": op2_warc,
@@ -109,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_rules": op8_host_rules,
     "op9_suffix_array": op9_suffix_array,
     "op10_site_quality": op10_site_quality,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_divergence": op12_divergence,
+    "op13_prefix_tokens": op13_prefix_tokens,
 }
 
 _WORDS = r"list_filter(string_split_regex({}, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
@@ -146,4 +168,34 @@ ORACLES: dict[str, str] = {
         e AS (SELECT m, least(1e6::DOUBLE, greatest(1::DOUBLE, m * (1 - m) / greatest((q - 2 * m * g + m * m * t - (h - 1) * m * (1 - m)) / greatest(t, 1), 1e-9::DOUBLE) - 1)) AS s FROM p),
         r AS (SELECT site, round((bad + m * s) / (n + s), 6) AS rate FROM h, e)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept, rate AS host_rate FROM b JOIN r ON r.site = b.site""",
+    "op11_fill_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+            CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+        c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST(least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS BIGINT) AS b,
+            CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a+1:b], '') AS m, array_to_string(u[b+1:n], '') AS s FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+          sha256(CASE WHEN form = 'plain' THEN text ELSE p || m || s END) AS restored_sha256 FROM p""",
+    "op12_divergence": rf"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+        t AS (SELECT doc_id, lang, source, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+        v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+        n AS (SELECT g.lang, g.source, coalesce(sum(n), 0) + coalesce(max(v), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source LEFT JOIN v ON v.lang = g.lang GROUP BY ALL),
+        p AS (SELECT n.lang, n.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // n.total AS BIGINT) AS p
+          FROM n JOIN k ON k.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+        lc AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term),
+        ln AS (SELECT lang, sum(n) AS n FROM lc GROUP BY lang),
+        q AS (SELECT lc.lang, lc.term, CAST(1 + (1000000000::HUGEINT * (lc.n + 1)) // (ln.n + v.v) AS BIGINT) AS q FROM lc JOIN ln ON ln.lang = lc.lang JOIN v ON v.lang = lc.lang),
+        x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p)::HUGEINT * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+          UNION ALL SELECT p.lang, source, 'term', p.term, CAST((p - q)::HUGEINT * (p - q) // q AS BIGINT) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p > q),
+        o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+        SELECT * FROM o WHERE part = 'pair' OR rank <= 200""",
 }

@@ -40,9 +40,18 @@ def test_odd_tables(odd, nothing):
     assert out.columns.count("ids") == 1 and "text" not in out.columns
     rows = out.collect()
     assert len(rows) == 5 and sum(len(r.ids) == 0 for r in rows) == 2
+    named = odd.selectExpr("*", "1 as `__text`", "2 as `__ids`", "3 as `a.b`", "4 as `c0`")
+    back = byte_bpe.decode(byte_bpe.encode(named, PATH, PATTERN), PATH, PATTERN)
+    assert all((r["__text"], r["__ids"], r["a.b"], r.c0) == (1, 2, 3, 4) for r in back.collect()) and back.where("decoded != ''").count() == 3
     assert byte_bpe.decode(byte_bpe.encode(nothing, PATH, PATTERN), PATH, PATTERN).count() == 0
 
 
+def test_very_long_text(spark):
+    text = "one two three four " * 100_000 + "x" * 100_000
+    row = byte_bpe.encode(spark.createDataFrame([(text,)], "text string"), PATH, PATTERN).first()
+    assert row.ids == reference().encode_ordinary(text)
+
+
 def test_query(spark, data):
     from curricle.llm.queries import op1_byte_bpe
 
