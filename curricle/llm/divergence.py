@@ -1,7 +1,7 @@
 """How far the sources of a language differ in their terms.
 
 Terms are counted by group (language and source) within each task first. Terms that enough documents of their language hold are kept, and
-range-partitioned by language and term: each partition is a chunk of a language's sorted array of kept terms, and the ids of terms, found
+range-partitioned by language and term: neighbouring partitions are a chunk of a language's sorted array of kept terms, and the ids of terms, found
 in it by binary search, keep the order of their bytes over all chunks. By chunk, counts go into dense vectors, one for each group, by
 their ids; probabilities and divergences of all pairs of groups and of all terms are sums and sorts of such vectors, a tile at a time.
 All arithmetic is of whole numbers.
@@ -157,6 +157,16 @@ class Chunk:
         return sums, [(k, *best[k]) for k in range(groups)]
 
 
+def _chunked(kept: DataFrame) -> DataFrame:
+    """kept with the chunk of each row: neighbouring range partitions of a language that have about ROWS rows together, however finely they are dealt."""
+    parts = kept.count() // ROWS + 1
+    kept = stored(kept.repartitionByRange(parts, "lang", "term").withColumn("part", F.spark_partition_id()), "term-parts")
+    before = F.sum("n").over(Window.partitionBy("l2").orderBy("p2").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = kept.groupBy(F.col("lang").alias("l2"), F.col("part").alias("p2")).agg(F.count("*").alias("n"))
+    chunks = sizes.select("l2", "p2", F.floor(F.coalesce(before, F.lit(0)) / ROWS).cast("int").alias("chunk"))
+    return kept.join(chunks, F.expr("lang = l2 and part = p2")).select("lang", "source", "term", "n", "chunk")
+
+
 def audit(df: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least: int = 3, most: int = 200) -> DataFrame:
     """lang, source, part, item, value, rank: by group of a language and a source
 
@@ -170,9 +180,7 @@ def audit(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
     A task holds one chunk: about ROWS counts, and the groups of one language, whose pairs are the result.
     """
     docs = df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))))
-    kept = stored(kept_terms(term_counts(df, lang, source, text), least), "kept-terms")
-    chunks = kept.count() // ROWS + 1
-    kept = stored(kept.repartitionByRange(chunks, "lang", "term").withColumn("chunk", F.spark_partition_id()), "term-chunks")
+    kept = _chunked(stored(kept_terms(term_counts(df, lang, source, text), least), "kept-terms"))
     seen = kept.groupBy("lang", "chunk").agg(F.count_distinct("term").alias("terms"))
     sizes = seen.groupBy("lang").agg(F.sum("terms").alias("kept"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
