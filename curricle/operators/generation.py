@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def fraction(seed: str, *keys: Column) -> Column:
     """A number in [0, 1) from an MD5 of the seed and the keys."""
@@ -24,6 +26,46 @@ def weighted_choice(rows: DataFrame, key: str, weights: list[tuple[str, float]],
     return rows.withColumn(out, last if choice is None else choice.otherwise(last))
 
 
+def cumulative(weights: DataFrame, value: str = "value", weight: str = "weight") -> tuple[DataFrame, int]:
+    """value, lo, hi: whole weights of distinct values laid end to end in the order of the values, and their sum. Values without weight are left out.
+
+    Values are sorted over all tasks; each task sums its own, and the driver sees one sum for each, at most.
+    """
+    own = weights.groupBy(F.col(value).alias("value")).agg(F.sum(F.col(weight).cast("bigint")).alias("w")).where("w > 0 and value is not null")
+    rows = stored(own.orderBy("value").withColumn("__p", F.shiftright(F.monotonically_increasing_id(), 33)), "weights")
+    before, total = {}, 0
+    for r in sorted(rows.groupBy("__p").agg(F.sum("w").alias("w")).collect()):
+        before[r["__p"]] = total
+        total += r["w"]
+    if not before:
+        return rows.select("value", F.col("w").alias("lo"), F.col("w").alias("hi")), 0
+    base = F.element_at(F.create_map(*(F.lit(v) for kv in before.items() for v in kv)), F.col("__p")).cast("bigint")
+    hi = base + F.sum("w").over(Window.partitionBy("__p").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select("value", (hi - F.col("w")).alias("lo"), hi.alias("hi")), total
+
+
+def draw(seed: str, key: Column, total: int) -> Column:
+    """A whole number in [0, total) from 60 bits of an MD5 of the seed and the key."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), key.cast("string"))), 1, 15), 16, 10).cast("decimal(19,0)")
+    return F.call_function("div", h * F.lit(total).cast("decimal(18,0)"), F.lit(1 << 60).cast("decimal(19,0)"))
+
+
+def drawn(rows: DataFrame, key: str, weights: DataFrame, seed: str, value: str = "value", weight: str = "weight", out: str = "choice", places: int = 1 << 20) -> DataFrame:
+    """rows with one of the values of a table of whole weights, each by its weight; null where no value has any.
+
+    The weights lie end to end on a line that is cut in equal places, as many as there are values (at most `places`). A draw is joined with the intervals
+    that its place touches and keeps the one that holds it. A heavy value lies over many places, so no join key is hot.
+    """
+    spans, total = cumulative(weights, value, weight)
+    if not total:
+        return rows.withColumn(out, F.lit(None).cast(weights.schema[value].dataType))
+    width = max(1, -(-total // max(1, min(places, spans.count()))))
+    spans = spans.withColumn("__place", F.explode(F.expr(f"sequence(lo div {width}L, (hi - 1) div {width}L)")))
+    at = rows.withColumn("__x", draw(seed, F.col(key), total)).withColumn("__at", F.expr(f"__x div {width}L"))
+    met = at.join(spans, F.expr("__at = __place and __x >= lo and __x < hi"))
+    return met.select(*(F.col(f"`{c}`") for c in rows.columns), F.col("value").alias(out))
+
+
 def quota(rows: DataFrame, key: str, strata: list[str], share: float, seed: str, out: str = "chosen") -> DataFrame:
     """rows with a boolean: of each stratum of n rows, exactly round(n * share) are true, those of the least hashes.
 

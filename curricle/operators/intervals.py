@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import month_index
@@ -31,18 +31,30 @@ def spans(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return merged(intervals, keys).groupBy(*keys).agg(months.cast("bigint").alias("n_months"), F.bround(months / F.lit(12.0), 1).alias("years"))
 
 
+def covered(parts: Column) -> Column:
+    """The months that an array of intervals STRUCT<s, e>, sorted by start, covers: one pass over it."""
+    start = F.struct(F.lit(None).cast("int").alias("hi"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda done, p: F.struct(F.greatest(done["hi"], p["e"]).alias("hi"), (done["n"] + F.greatest(F.lit(0), p["e"] - F.greatest(p["s"], done["hi"]))).alias("n"))
+    return F.aggregate(parts, start, step, lambda done: done["n"])
+
+
 def overlap_of_pairs(pairs: DataFrame, intervals: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
-    """pairs with shared and total months and their ratio `iou` (0 where both are empty) of the unions of intervals of a and b."""
-    parts = merged(intervals, [key])
-    total = parts.groupBy(key).agg(F.sum(F.col("e") - F.col("s")).cast("bigint").alias("n"))
-    each = {k: parts.select(F.col(key).alias(f"__{k}"), F.col("s").alias(f"s{k}"), F.col("e").alias(f"e{k}")) for k in "xy"}
-    met = (pairs.select(a, b).join(each["x"], F.col(a) == F.col("__x")).join(each["y"], F.col(b) == F.col("__y"))
-           .groupBy(a, b).agg(F.sum(F.greatest(F.lit(0), F.least("ex", "ey") - F.greatest("sx", "sy"))).cast("bigint").alias("shared")))
-    out = pairs.join(met, [a, b], "left")
-    for k, c in ((a, "na"), (b, "nb")):
-        out = out.join(total.select(F.col(key).alias("__k"), F.col("n").alias(c)), F.col(k) == F.col("__k"), "left").drop("__k")
-    out = out.withColumn("shared", F.coalesce("shared", F.lit(0).cast("bigint")))
-    out = out.withColumn("total", F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0)) - F.col("shared")).drop("na", "nb")
+    """pairs with shared and total months and their ratio `iou` (0 where both are empty) of the unions of intervals of a and b.
+
+    A pair takes one row with both sorted lists of parts, and one pass over the two together: what the union covers, of which the shared months follow.
+    """
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    parts = merged(intervals, [key]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("p"))
+    parts = parts.select(F.col(key).alias("__k"), "p", covered(F.col("p")).alias("n"))
+    out = pairs
+    for k in (a, b):
+        held = parts.select("__k", F.struct("p", "n").alias(f"__of_{k}"))
+        out = out.join(held, F.col(k) == F.col("__k"), "left").drop("__k")
+    x, y = F.col(f"__of_{a}"), F.col(f"__of_{b}")
+    out = out.withColumn("total", covered(F.array_sort(F.concat(F.coalesce(x["p"], none), F.coalesce(y["p"], none)))))
+    zero = F.lit(0).cast("bigint")
+    out = out.withColumn("shared", F.coalesce(x["n"], zero) + F.coalesce(y["n"], zero) - F.col("total")).drop(f"__of_{a}", f"__of_{b}")
+    out = out.select(*pairs.columns, "shared", "total")
     return out.withColumn("iou", F.when(F.col("total") > 0, F.col("shared") / F.col("total").cast("double")).otherwise(0.0))
 
 

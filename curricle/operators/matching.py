@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..types import AUTO, MANUAL, NAME_EQUAL, NAME_KEY, WEIGHT_COMPANY, WEIGHT_EXPERIENCE, WEIGHT_NAME, WEIGHT_OTHER, WEIGHT_TIME
 from ..storage import stored
+from .blocking import pairs_within
 from .graph import components
 from .intervals import merged, overlap_of_pairs
 
@@ -55,10 +56,8 @@ def blocks(profiles: DataFrame, jobs: DataFrame, by: str | None = "history") ->
 
 
 def candidate_pairs(profiles: DataFrame, jobs: DataFrame, by: str | None = "history") -> DataFrame:
-    """(a, b) with a < b of all pairs that share a block."""
-    rows = blocks(profiles, jobs, by)
-    x, y = rows.alias("x"), rows.alias("y")
-    return x.join(y, F.expr("x.kind = y.kind and x.key = y.key and x.pid < y.pid")).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b")).distinct()
+    """(a, b) with a < b of all pairs that share a block. The pairs of a common name are dealt over all tasks."""
+    return pairs_within(blocks(profiles, jobs, by), ["kind", "key"]).select("a", "b").distinct()
 
 
 def rounded4(x: Column) -> Column:
@@ -110,8 +109,7 @@ def cluster_links(profiles: DataFrame, jobs: DataFrame) -> DataFrame:
     least = rows.where("kind in ('phone', 'email')").groupBy("kind", "key").agg(F.min("pid").alias("a"), F.count("*").alias("n")).where("n > 1")
     near = rows.alias("x").join(least.alias("y"), F.expr("x.kind = y.kind and x.key = y.key and x.pid != y.a"))
     stars = near.select("y.a", F.col("x.pid").alias("b"))
-    named = rows.where("kind in ('name', 'name_key')")
-    pairs = named.alias("x").join(named.alias("y"), F.expr("x.kind = y.kind and x.key = y.key and x.pid < y.pid")).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b")).distinct()
+    pairs = pairs_within(rows.where("kind in ('name', 'name_key')"), ["kind", "key"]).select("a", "b").distinct()
     merged_ = decided(pair_scores(stored(pairs, "named-pairs"), profiles, jobs)).where("decision = 'auto_merge'").select("a", "b")
     return stars.unionByName(merged_).distinct().withColumn("decision", F.lit("auto_merge"))
 
@@ -126,3 +124,32 @@ def clusters(profiles: DataFrame, pairs: DataFrame) -> DataFrame:
     """pid and cluster: the least pid that automatic merges lead to."""
     group = components(pairs.where("decision = 'auto_merge'").select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")))
     return profiles.select("pid").join(group, F.col("pid") == F.col("id"), "left").select("pid", F.coalesce("component", "pid").alias("cluster"))
+
+
+def name_keys(names: DataFrame, readings: DataFrame, most: int = 16) -> DataFrame:
+    """name, keys: of each distinct name of a column `name`, its full readings and their initials, each once, sorted.
+
+    readings: char, reading, place (0: the usual one). A character without readings stands for itself. All readings of all characters are
+    multiplied out while that makes at most `most` full readings; from there on, characters take their usual one. A table of readings
+    has no more rows than Unicode has characters and their readings, but it is joined as its size says.
+    """
+    own = names.select(strip(F.col("name")).alias("name")).where("name is not null and name != ''").distinct()
+    each = own.select("name", F.posexplode(F.expr("sequence(1, length(name))")).alias("at", "i")).select("name", "at", F.expr("substring(name, i, 1)").alias("c"))
+    known = readings.where("reading is not null and reading != ''").groupBy("char").agg(
+        F.transform(F.array_sort(F.collect_set(F.struct("place", "reading"))), lambda r: r["reading"]).alias("r"))
+    told = each.join(known, F.col("c") == F.col("char"), "left").select("name", "at", F.array_distinct(F.coalesce("r", F.array("c"))).alias("r"))
+    letters = told.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "r"))), lambda x: x["r"]).alias("of"))
+    start = F.array(F.struct(F.lit("").alias("full"), F.lit("").alias("initials")))
+
+    def longer(done: Column, r: Column) -> Column:
+        r = F.when(F.size(done) * F.size(r) <= most, r).otherwise(F.slice(r, 1, 1))
+        return F.flatten(F.transform(done, lambda d: F.transform(r, lambda x: F.struct(F.concat(d["full"], x).alias("full"), F.concat(d["initials"], F.substring(x, 1, 1)).alias("initials")))))
+
+    full = F.aggregate("of", start, longer)
+    return letters.select("name", F.array_sort(F.array_distinct(F.concat(F.transform(full, lambda x: x["full"]), F.transform(full, lambda x: x["initials"])))).alias("keys"))
+
+
+def with_name_keys(profiles: DataFrame, readings: DataFrame, most: int = 16) -> DataFrame:
+    """profiles with the column name_keys that blocks() and pair_scores() read."""
+    keys = name_keys(profiles.select("name"), readings, most).select(F.col("name").alias("__name"), F.col("keys").alias("name_keys"))
+    return profiles.drop("name_keys").join(keys, strip(F.col("name")) == F.col("__name"), "left").drop("__name")

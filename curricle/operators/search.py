@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 50
+#: What full-text search looks at, and the folders that postings fall into by their gram.
+COLUMNS = ["name", "skills", "school", "major", "company"]
+BUCKETS = 64
 
 
 def search_documents(candidates: DataFrame, tags: DataFrame, jobs: DataFrame, key: str = "pid") -> DataFrame:
@@ -23,7 +26,7 @@ def contains_phrase(columns: list[str], query: str) -> Column:
 
 def full_text(documents: DataFrame, query: str, key: str = "pid") -> DataFrame:
     """Keys whose document has the phrase within one column."""
-    return documents.where(contains_phrase(["name", "skills", "school", "major", "company"], query)).select(key)
+    return documents.where(contains_phrase(COLUMNS, query)).select(key)
 
 
 def short_query(candidates: DataFrame, tags: DataFrame, jobs: DataFrame, query: str, key: str = "pid") -> DataFrame:
@@ -34,10 +37,15 @@ def short_query(candidates: DataFrame, tags: DataFrame, jobs: DataFrame, query:
 
 
 def search(candidates: DataFrame, tags: DataFrame, jobs: DataFrame, query: str = "", degree: str | None = None, skill: str | None = None,
-           min_years: float | None = None, limit: int | None = LIMIT, key: str = "pid") -> DataFrame:
-    """Candidates that match, by years of work (most first) and key; three characters or more search the full text, fewer by LIKE, none take all."""
+           min_years: float | None = None, limit: int | None = LIMIT, key: str = "pid", found: DataFrame | None = None) -> DataFrame:
+    """Candidates that match, by years of work (most first) and key; three characters or more search the full text, fewer by LIKE, none take all.
+
+    Full text is searched in `found`, the keys that an index has for the query, where that is given, else by a scan.
+    """
     q, rows = (query or "").strip(), candidates
-    if len(q) >= 3:
+    if len(q) >= 3 and found is not None:
+        rows = rows.join(found.select(key).distinct(), key, "left_semi")
+    elif len(q) >= 3:
         rows = rows.join(full_text(search_documents(candidates, tags, jobs, key), q, key), key, "left_semi")
     elif q:
         rows = rows.join(short_query(candidates, tags, jobs, q, key), key, "left_semi")
@@ -62,11 +70,47 @@ def trigram_index(documents: DataFrame, columns: list[str], key: str) -> DataFra
     return rows.select(F.explode(trigrams(F.col("text"))).alias("gram"), key, "col")
 
 
+def _grams(query: str) -> list[str]:
+    q = query.lower()
+    if len(q) < 3:
+        raise ValueError("an index of trigrams needs three characters")
+    return sorted({q[i: i + 3] for i in range(len(q) - 2)})
+
+
+def bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
+def postings(documents: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """(gram, col, key, version, bucket) of documents (key, version, columns): the rows that an index kept on disk gains by them."""
+    rows = trigram_index(documents.withColumn(key, F.struct(key, "version")), columns, key)
+    return rows.select("gram", "col", F.col(key)[key].alias(key), F.col(key)["version"].alias("version"), bucket(F.col("gram")).alias("bucket"))
+
+
+def latest(documents: DataFrame, key: str) -> DataFrame:
+    """The last version of each document: key, version, and the columns as a struct `text` (all null: the document is gone)."""
+    columns = [F.col(c) for c in documents.columns if c not in (key, "version")]
+    return documents.groupBy(key).agg(F.max("version").alias("version"), F.max_by(F.struct(*columns), "version").alias("text"))
+
+
+def find(index: DataFrame, documents: DataFrame, query: str, key: str) -> DataFrame:
+    """(key, col) that have the phrase, by a kept index of postings() and all versions of documents (key, version, columns).
+
+    Only the folders of the query's grams are read. Postings of versions that a newer one has replaced count for nothing: a change
+    of a document is deleted and inserted by adding its new version alone.
+    """
+    grams, phrase = _grams(query), query.lower()
+    at = index.where(F.col("bucket").isin(*(bucket(F.lit(g)) for g in grams)) & F.col("gram").isin(grams))
+    near = at.groupBy(key, "version", "col").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select(key, "version", "col")
+    now = latest(documents.join(near.select(key).distinct(), key, "left_semi"), key)
+    columns = [c for c in documents.columns if c not in (key, "version")]
+    text = F.coalesce(*(F.when(F.col("col") == c, F.col("text")[c].cast("string")) for c in columns))
+    return near.join(now, [key, "version"]).where(F.lower(text).contains(phrase)).select(key, "col")
+
+
 def search_index(index: DataFrame, documents: DataFrame, query: str, key: str) -> DataFrame:
     """(key, col) that have the phrase: those with all of its trigrams, verified on the text."""
-    grams = sorted({query.lower()[i: i + 3] for i in range(len(query) - 2)})
-    if not grams:
-        raise ValueError("an index of trigrams needs three characters")
+    grams = _grams(query)
     near = index.where(F.col("gram").isin(grams)).groupBy(key, "col").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select(key, "col")
     columns = [c for c in documents.columns if c != key]
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("text")) for c in columns))).alias("x")

@@ -8,6 +8,7 @@ components, not one after the other, so that the result doesn't depend on the or
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
@@ -21,6 +22,7 @@ from ..operators.extract import extract_cards
 from ..operators.graph import components
 from ..operators.numbering import numbered
 from ..sources.files import read_resumes, resume_files
+from .. import storage
 from ..storage import stored
 from ..types import FIELD, SCALAR_FIELDS
 
@@ -32,8 +34,12 @@ TABLES = {
     "conflicts": "conflict_id STRING, candidate_id BIGINT, field STRING, option_a STRING, option_b STRING, chosen STRING, status STRING",
     "originals": "file_sha256 STRING, source_file STRING, content BINARY",
     "settings": "k STRING, v STRING",
+    "documents": "candidate_id BIGINT, version BIGINT, " + ", ".join(f"{c} STRING" for c in search.COLUMNS),
+    "postings": "gram STRING, col STRING, candidate_id BIGINT, version BIGINT, bucket INT",
 }
-PEOPLE = ("candidates", "resumes", "experiences", "tags", "conflicts", "originals")
+PEOPLE = ("candidates", "resumes", "experiences", "tags", "conflicts", "originals", "documents", "postings")
+#: Columns that make folders.
+FOLDERS = {"postings": ["bucket"]}
 #: Folders that a table is made of before an append writes it anew as one.
 MOST_PARTS = 64
 PENDING_MERGE = "candidate_merge"
@@ -42,6 +48,7 @@ PENDING_MERGE = "candidate_merge"
 class PeopleStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._results: list[str] = []
 
     # --- tables ---
 
@@ -68,7 +75,8 @@ class PeopleStore:
         parts = self._now().get(name, [])
         if not parts:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{name}/{p}" for p in parts))
+        read, paths = self.spark.read.schema(TABLES[name]).parquet, [f"{self.root}/{name}/{p}" for p in parts]
+        return functools.reduce(DataFrame.unionByName, map(read, paths)) if name in FOLDERS else read(*paths)
 
     def commit(self, replaced: dict[str, DataFrame] | None = None, added: dict[str, DataFrame] | None = None, emptied: tuple[str, ...] = ()) -> None:
         """Replaces tables, adds rows to tables and empties tables, all at once."""
@@ -80,7 +88,7 @@ class PeopleStore:
             parts[name] = [self._written(name, rows)]
         for name, rows in (added or {}).items():
             if len(parts[name]) >= MOST_PARTS:
-                parts[name] = [self._written(name, self.table(name).unionByName(rows.select(*self.table(name).columns)))]
+                parts[name] = [self._written(name, self._live(name, self.table(name).unionByName(rows.select(*self.table(name).columns)), added))]
             else:
                 parts[name].append(self._written(name, rows))
         self._publish(parts)
@@ -88,9 +96,16 @@ class PeopleStore:
 
     def _written(self, name: str, rows: DataFrame) -> str:
         part = f"p{uuid.uuid4().hex}"
-        rows.select(*(x.split()[0] for x in TABLES[name].split(", "))).write.parquet(f"{self.root}/{name}/{part}")
+        rows.select(*(x.split()[0] for x in TABLES[name].split(", "))).write.partitionBy(*FOLDERS.get(name, [])).parquet(f"{self.root}/{name}/{part}")
         return part
 
+    def _live(self, name: str, rows: DataFrame, added: dict[str, DataFrame]) -> DataFrame:
+        """rows of a table that is written anew; of the search index, only what the last version of each person has."""
+        if name not in ("documents", "postings"):
+            return rows
+        last = search.latest(self.table("documents").unionByName(added["documents"]), "candidate_id").where(F.coalesce(*(F.col("text")[c] for c in search.COLUMNS)).isNotNull())
+        return rows.join(last.select("candidate_id", "version"), ["candidate_id", "version"], "left_semi")
+
     def _publish(self, parts: dict[str, list[str]]) -> None:
         """The one step that makes a change visible: a finished file gets its name."""
         known = self._manifests()
@@ -127,11 +142,25 @@ class PeopleStore:
     def import_files(self, path: str, parsed_at: str, glyphs: DataFrame | None = None) -> DataFrame:
         """Imports the files under path: source_file, status (new, merged, manual_review, duplicate, failed), candidate_id, error."""
         found = resume_files(self.spark, path)
-        files = stored(read_resumes(found, glyphs).withColumn("parsed_at", F.lit(parsed_at)), "files")
-        return self.import_parsed(files, found.select("source_file", "content"))
+        with storage.scope() as paths:
+            files = stored(read_resumes(found, glyphs).withColumn("parsed_at", F.lit(parsed_at)), "files")
+            out = self.import_parsed(files, found.select("source_file", "content"))
+            self._let_go(paths)
+        return out
+
+    def _let_go(self, paths: list[str]) -> None:
+        """Deletes the scratch tables of a change that is done; the last table, what an import reports, stays until the people are purged."""
+        storage.release(self.spark, [p for p in paths if p not in self._results])
 
     def import_parsed(self, files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
         """The same for files as read_resumes() gives them, with parsed_at. Of contents (source_file, content), the store keeps those of the files it takes."""
+        with storage.scope() as paths:
+            out = stored(self._imported(files, contents), "imported")
+            self._results.append(paths[-1])
+            self._let_go(paths)
+        return out
+
+    def _imported(self, files: DataFrame, contents: DataFrame | None) -> DataFrame:
         good = files.where("error is null")
         marked = merging.first_by_hash(good.select("source_file", "file_sha256"), "file_sha256", ["source_file"], self.table("resumes"))
         marked = stored(marked, "marked")
@@ -193,7 +222,17 @@ class PeopleStore:
         added = {"resumes": resumes, "experiences": jobs, "tags": self._tags(rows), "conflicts": self._conflicts(placed)}
         if contents is not None:
             added["originals"] = contents.join(placed.select("source_file", "file_sha256"), "source_file")
-        self.commit({"candidates": stored(self._candidates(placed, jobs), "candidates")}, {n: stored(df, n) for n, df in added.items()})
+        candidates, added = stored(self._candidates(placed, jobs), "candidates"), {n: stored(df, n) for n, df in added.items()}
+        added |= self._indexed(placed.select("candidate_id").distinct(), candidates, *(self.table(n).unionByName(added[n]) for n in ("tags", "experiences")))
+        self.commit({"candidates": candidates}, added)
+
+    def _indexed(self, ids: DataFrame, candidates: DataFrame, tags: DataFrame, jobs: DataFrame) -> dict[str, DataFrame]:
+        """What the search index gains by a change of the people of ids: a new version of their documents (empty for who is gone) and its postings."""
+        known = self._manifests()
+        own = [t.join(ids, "candidate_id", "left_semi") for t in (candidates, tags, jobs)]
+        docs = ids.join(search.search_documents(*own, key="candidate_id"), "candidate_id", "left").withColumn("version", F.lit((known[-1] if known else 0) + 1).cast("bigint"))
+        docs = stored(docs.select(*(x.split()[0] for x in TABLES["documents"].split(", "))), "documents")
+        return {"documents": docs, "postings": search.postings(docs, search.COLUMNS, "candidate_id")}
 
     def _tags(self, rows: DataFrame) -> DataFrame:
         """New tags of people. A tag's name is there once: the kind that brought it first is its kind for all."""
@@ -237,8 +276,12 @@ class PeopleStore:
         return people, self.table("tags").withColumnRenamed("candidate_id", "pid"), self.table("experiences").withColumnRenamed("candidate_id", "pid")
 
     def search(self, query: str = "", masked: bool | None = None, **filters) -> DataFrame:
+        """Candidates that match; a query of three characters or more reads the kept index."""
         people, tags, jobs = self._as_people()
-        found = search.search(people, tags, jobs, query, **filters)
+        q, keys = (query or "").strip(), None
+        if len(q) >= 3:
+            keys = search.find(self.table("postings"), self.table("documents"), q, "candidate_id").withColumnRenamed("candidate_id", "pid")
+        found = search.search(people, tags, jobs, query, found=keys, **filters)
         if masked if masked is not None else self.masking():
             found = found.withColumn("phone", mask_phone(F.col("phone"))).withColumn("email", mask_email(F.col("email")))
         return found
@@ -287,7 +330,10 @@ class PeopleStore:
         now = F.col("conflict_id") == conflict_id
         rows = self.table("conflicts")
         changed["conflicts"] = rows.withColumn("chosen", F.when(now, F.lit(chosen)).otherwise(F.col("chosen"))).withColumn("status", F.when(now, "resolved").otherwise(F.col("status")))
-        self.commit(changed)
+        with storage.scope() as paths:
+            ids = self.table("candidates").where(F.col("candidate_id") == row.candidate_id).select("candidate_id")
+            self.commit(changed, self._indexed(ids, changed["candidates"], self.table("tags"), self.table("experiences")) if "candidates" in changed else None)
+            self._let_go(paths)
         return True
 
     def merge_candidates(self, source: int, target: int) -> None:
@@ -295,6 +341,11 @@ class PeopleStore:
         ids = {r[0] for r in self.table("candidates").where(F.col("candidate_id").isin(source, target)).select("candidate_id").collect()}
         if ids != {source, target} or source == target:
             raise ValueError("two candidates of the store are merged")
+        with storage.scope() as paths:
+            self._merge(source, target)
+            self._let_go(paths)
+
+    def _merge(self, source: int, target: int) -> None:
         mapping = self.spark.createDataFrame([(source, target)], "source bigint, target bigint")
         values = merging.remap(self.table("candidates"), "candidate_id", mapping)
         f = F.struct("latest", "n_jobs", "parsed_at", "latest_resume_id")
@@ -307,7 +358,8 @@ class PeopleStore:
         over = (F.col("field") == PENDING_MERGE) & pair & (F.col("status") == "pending")
         moved["conflicts"] = moved["conflicts"].withColumn("chosen", F.when(over, "merge").otherwise(F.col("chosen"))).withColumn("status", F.when(over, "resolved").otherwise(F.col("status")))
         moved["tags"] = moved["tags"].distinct()
-        self.commit(moved | {"candidates": candidates})
+        ids = self.spark.createDataFrame([(source,), (target,)], "candidate_id bigint")
+        self.commit(moved | {"candidates": candidates}, self._indexed(ids, candidates, moved["tags"], moved["experiences"]))
 
     # --- settings and purge ---
 
@@ -325,8 +377,10 @@ class PeopleStore:
         return {name: self.table(name).count() for name in PEOPLE}
 
     def purge(self) -> dict[str, int]:
-        """Removes all people and what belongs to them; settings stay. Returns what was removed."""
+        """Removes all people and what belongs to them, reports of imports and scratch tables included; settings stay. Returns what was removed."""
         removed = self.purge_preview()
         for _ in range(2):  # the second manifest lets go of the folders that the first one's predecessor names
             self.commit(emptied=PEOPLE)
+        storage.release(self.spark, self._results)
+        self._results.clear()
         return removed

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+#: What the scope that is open in this thread has written.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +36,23 @@ def written() -> list[str]:
     return list(_written)
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """The list of scratch paths that this thread makes within; those that are still there at its end belong to the scope around it."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield paths
+    finally:
+        _scope.reset(token)
+        around = _scope.get()
+        if around is not None:
+            around += [p for p in paths if p in _written]
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Deletes scratch tables that nothing reads any more."""
-    for path in paths:
+    for path in list(paths):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         if path in _written:
@@ -62,6 +81,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the driver exits."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
+    held = _scope.get()
+    if held is not None:
+        held.append(path)
     return path
 
 
