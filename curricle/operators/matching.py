@@ -37,9 +37,9 @@ def prepared(profiles: DataFrame) -> DataFrame:
 
 
 def histories(jobs: DataFrame) -> DataFrame:
-    """(pid, key): the set of companies and the merged months of people who have both."""
+    """(pid, key): the set of companies and the merged months of people who have both. A part that has no month overlaps nothing and doesn't count."""
     companies = jobs.groupBy("pid").agg(F.array_sort(F.filter(F.collect_set(strip(F.col("company"))), lambda c: c != "")).alias("c")).where("size(c) > 0")
-    months = merged(jobs.where("s is not null").select("pid", "s", "e"), ["pid"]).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("m"))
+    months = merged(jobs.where("s is not null").select("pid", "s", "e"), ["pid"]).where("e > s").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("m"))
     return companies.join(months, "pid").select("pid", F.to_json(F.struct("c", "m")).alias("key"))
 
 
