@@ -1,8 +1,8 @@
 """Texts cut by a dictionary that is a table: entries of any number meet the places of texts by equi-joins.
 
 A text is all entries or it isn't cut: at each place the longest entry goes, with the white space around it. Places of texts are keyed by their
-next characters, in each length that entries have, so that a match is equality of keys; texts that don't begin with an entry have
-left before places are made.
+next characters, in each length that entries have, so that a match is equality of keys; texts that have a character of no entry, or don't begin
+with an entry, have left before places are made.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.text import SEPARATOR, strip
 from ..storage import stored
 
+#: A dictionary of at most so many bytes is broadcast.
+SMALL = 16 << 20
 _LEAD = r"(?U)^\s+"
 _SPACE = r"(?U)^\s$"
 
@@ -27,6 +29,11 @@ def _lengths(known: DataFrame) -> list[int]:
     return sorted(r.n for r in known.select(F.length("entry").alias("n")).distinct().collect())
 
 
+def _letters(known: DataFrame) -> str:
+    """The characters that entries are made of: a text that has others isn't made of entries. There are as many as Unicode has, at most."""
+    return "".join(sorted(r.c for r in known.select(F.explode(F.split("__e", "")).alias("c")).distinct().collect() if r.c))
+
+
 def _starts(text: Column, at: Column | int, lengths: list[int]) -> Column:
     """ARRAY<STRING>: the next characters of a text from a place on, in each length that the text has room for."""
     at = F.lit(at) if isinstance(at, int) else at
@@ -41,16 +48,19 @@ def segmented(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFr
     lengths = _lengths(known)
     if not lengths:
         return texts.select(F.col(f"`{key}`").alias(key), F.array().cast("array<string>").alias("items")).where("false")
-    known = known.select(F.col("entry").alias("__e"))
+    known = stored(known.select(F.col("entry").alias("__e")), "entries")
+    rows_of = known.count() * (max(lengths) * 3 + 64)  # bytes, at most
+    meets = F.broadcast(known) if rows_of <= SMALL else known.hint("merge")
     rows = texts.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"), F.lower(F.col(f"`{text}`")).alias("__low")).where(F.length("__low") == F.length("__text"))
+    rows = rows.where((F.col("__low") != "") & (F.translate("__low", _letters(known), "").rlike(r"(?U)^\s*$")))
     first = rows.select("__key", F.explode(F.array_distinct(_starts(F.regexp_replace("__low", _LEAD, ""), 1, lengths))).alias("__s"))
-    begun = first.join(known, F.col("__s") == F.col("__e"), "left_semi").select(F.col("__key").alias("__begun")).distinct()
+    begun = first.join(meets, F.col("__s") == F.col("__e"), "left_semi").select(F.col("__key").alias("__begun")).distinct()
     rows = stored(rows.join(begun, F.col("__key") == F.col("__begun"), "left_semi"), "begun")
     # a place has the longest entry that begins there: n; white space has none, 0
     window = F.expr(f"substring(__low, __at, {max(lengths)})")
     places = rows.where("length(__low) > 0").select("__key", "__low", F.explode(F.expr("sequence(1, length(__low))")).alias("__at")).select("__key", "__at", window.alias("__w"))
     space = F.substring("__w", 1, 1).rlike(_SPACE)
-    met = places.where(~space).select("__key", "__at", F.explode(_starts(F.col("__w"), 1, lengths)).alias("__s")).join(known, F.col("__s") == F.col("__e"))
+    met = places.where(~space).select("__key", "__at", F.explode(_starts(F.col("__w"), 1, lengths)).alias("__s")).join(meets, F.col("__s") == F.col("__e"))
     found = met.groupBy("__key", "__at").agg(F.max(F.length("__s")).alias("__n")).unionByName(places.where(space).select("__key", "__at", F.lit(0).alias("__n")))
     walked = found.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__at", "__n"))).alias("__m"))
 
@@ -60,7 +70,8 @@ def segmented(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFr
                         F.when(here & (m["__n"] > 0), F.concat(done["at"], F.array(m["__at"]))).otherwise(done["at"]).alias("at"))
 
     walk = F.aggregate("__m", F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at")), step)
-    whole = rows.join(walked.select(F.col("__key").alias("__of"), walk.alias("__walk")), F.col("__key") == F.col("__of"))
+    walked = stored(walked.select(F.col("__key").alias("__of"), walk.alias("__walk")), "walks")
+    whole = rows.join(walked, F.col("__key") == F.col("__of"))
     whole = whole.where("__walk.next = length(__low) + 1 and size(__walk.at) >= 2").withColumn("__at", F.concat(F.array(F.lit(1)), F.expr("slice(__walk.at, 2, size(__walk.at))"), F.array(F.expr("length(__text) + 1"))))
     items = F.expr("transform(sequence(1, size(__at) - 1), i -> substring(__text, element_at(__at, i), element_at(__at, i + 1) - element_at(__at, i)))")
     return whole.select(F.col("__key").alias(key), items.alias("items"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, intervals, matching, merging, screening, search
+from ..operators import blocking, evaluation, intervals, matching, merging, screening, search, sequential
+from ..storage import scratch
 from .common import jobs, profiles, sql, table, tags
 
 QUERIES, ORACLES = {}, {}
@@ -46,8 +47,7 @@ def interval_work_span(spark, d):
   SELECT q.a, q.b, CAST(coalesce(n,0) AS BIGINT) AS shared, CAST(coalesce(x.n_months,0)+coalesce(y.n_months,0)-coalesce(n,0) AS BIGINT) AS total
   FROM q LEFT JOIN m ON q.a=m.a AND q.b=m.b LEFT JOIN span x ON x.pid=q.a LEFT JOIN span y ON y.pid=q.b"""))
 def interval_iou(spark, d):
-    p = profiles(spark, d).select("pid", "name")
-    pairs = p.alias("x").join(p.alias("y"), F.expr("x.name = y.name and x.pid < y.pid")).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b"))
+    pairs = blocking.pairs_within(profiles(spark, d).select("name", "pid"), ["name"]).select("a", "b")
     return intervals.overlap_of_pairs(pairs, jobs(spark, d).select("pid", "s", "e"), "pid").select("a", "b", "shared", "total")
 
 
@@ -60,7 +60,7 @@ def interval_timeline_extent(spark, d):
 @query(sql("SELECT x.pid AS a, y.pid AS b, x.name AS name FROM profile x JOIN profile y ON x.name=y.name AND x.pid<y.pid UNION ALL SELECT x.pid, y.pid, x.nk FROM profile x JOIN profile y ON x.nk=y.nk AND x.pid<y.pid"))
 def match_name_key_block(spark, d):
     rows = matching.blocks(profiles(spark, d), jobs(spark, d), by=None).where("kind in ('name', 'name_key')")
-    return rows.alias("x").join(rows.alias("y"), F.expr("x.kind = y.kind and x.key = y.key and x.pid < y.pid")).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b"), F.col("x.key").alias("name"))
+    return blocking.pairs_within(rows, ["kind", "key"]).select("a", "b", F.col("key").alias("name"))
 
 
 @query(sql(""", own AS (SELECT pid, array_to_string(list_sort(list(DISTINCT company)),',') AS cs FROM expr GROUP BY pid), hist AS (SELECT m.pid, concat(any_value(cs),'|',string_agg(concat(s,'-',e), ',' ORDER BY s)) AS k FROM merged m JOIN own ON own.pid=m.pid GROUP BY m.pid),
@@ -101,6 +101,14 @@ def match_best(spark, d):
     return matching.best_matches(matching.decisions(profiles(spark, d), jobs(spark, d))).select("b", "a", "score", "decision")
 
 
+@query(None)
+def match_sequential(spark, d):
+    """All customers imported one after the other, by key, each against the profiles as they are by then."""
+    month = lambda c: F.concat_ws("-", F.floor((F.col(c) - 1) / 12).cast("string"), F.lpad(((F.col(c) - 1) % 12 + 1).cast("string"), 2, "0"))
+    people = profiles(spark, d).withColumns({"place": F.col("pid"), "parsed_at": F.lit("2026-01-01")})
+    return sequential.sequential(people, jobs(spark, d).select("pid", "company", month("s").alias("start"), month("e").alias("end")))
+
+
 def _clusters(spark, d):
     """Links don't need the company block: a pair that shares no contact and no name stays below the automatic tier."""
     p, j = profiles(spark, d), jobs(spark, d)
@@ -205,6 +213,19 @@ def search_trigram_index(spark, d):
     return search.search_index(search.trigram_index(docs, ["p_name", "p_type"], "part_key"), docs, "Mall", "part_key")
 
 
+@query("""WITH r AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag='R'), t AS (SELECT p_partkey, p_name, CASE WHEN l_partkey IS NULL THEN p_type ELSE 'RETURNED' END AS p_type FROM part LEFT JOIN r ON l_partkey=p_partkey)
+  SELECT p_partkey AS part_key, c AS col FROM (SELECT p_partkey, unnest(['p_name','p_type']) AS c, unnest([p_name,p_type]) AS t FROM t) WHERE contains(lower(t),'mall')""")
+def search_kept_index(spark, d):
+    """An index kept on disk by gram, to which the parts that customers returned are added again with another text: what they said before isn't found any more."""
+    first = table(spark, d, "part").select(F.col("p_partkey").alias("part_key"), F.lit(1).cast("bigint").alias("version"), "p_name", "p_type")
+    back = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey").distinct()
+    again = first.join(back, F.expr("part_key = l_partkey"), "left_semi").withColumns({"version": F.lit(2).cast("bigint"), "p_type": F.lit("RETURNED")})
+    path = scratch(spark, "postings")
+    for docs in (first, again):
+        search.postings(docs, ["p_name", "p_type"], "part_key").write.mode("append").partitionBy("bucket").parquet(path)
+    return search.find(spark.read.schema("gram string, col string, part_key bigint, version bigint, bucket int").parquet(path), first.unionByName(again), "Mall", "part_key")
+
+
 @query(sql("SELECT pid, CAST(row_number() OVER (PARTITION BY pid ORDER BY s, rn) AS INT) AS pos, rn, company, s, e FROM expr"))
 def timeline_view(spark, d):
     each = jobs(spark, d).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("s", "rn", "company", "e"))).alias("x"))

@@ -1,12 +1,12 @@
-"""Text normalisation, extraction, privacy, evaluation, generation and import over the shared tables and small literal ones."""
+"""Text normalisation, extraction, privacy, evaluation, generation and import over the shared tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lexicon, masking, text
-from ..operators import evaluation, extract, generation, merging, privacy, sections
+from ..functions import masking, text
+from ..operators import evaluation, extract, generation, merging, privacy, sections, segment
 from .common import jobs, profiles, sql, table, tags
 
 QUERIES, ORACLES = {}, {}
@@ -25,17 +25,6 @@ def query(oracle: str | None):
 WORD = "license"
 
 
-def _quoted(rows: list[tuple]) -> str:
-    def one(v):
-        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(one(v) for v in r) + ")" for r in rows)
-
-
-def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    kinds = ["bigint" if isinstance(v, int) else "string" for v in rows[0]]
-    return spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names.split(), kinds, strict=True)))
-
-
 LINES = "lines AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
 
@@ -45,7 +34,9 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", (F.col("i") + 1).alias("line_no"), F.length("line").alias("n_chars"), F.md5("line").alias("line_md5"))
 
 
-NORMALISE = [(1, "电话：１９９０－０６"), (2, "ＣＥＴ－６"), (3, "（本科）"), (4, "姓 名：毛丹妮"), (5, "鹤鸣师范 学院 通信工程"), (6, "2025年3月  元界信息  Java开发实习生"), (7, "磐石系统 | Java开发实习生"), (8, "· 配合运维完成服务升级"), (9, "Spring Boot"), (10, "ａｂｃ ＸＹＺ　")]
+_WIDE = f"translate({{}}, '{text.HALF[:10]}', '{text.FULL[:10]}')"
+#: Lines of customers as they are typed: full-width digits, spaces within words and around.
+TYPED = "CASE c_custkey%3 WHEN 0 THEN concat('电话：', " + _WIDE.format("CAST(c_custkey AS VARCHAR)") + ", '－０１') WHEN 1 THEN concat('姓 名：', c_name, '  （本科） ') ELSE concat('　鹤鸣师范 学院  | ＣＥＴ－６ ', c_mktsegment) END"
 
 
 def _normal_sql(x: str) -> str:
@@ -55,9 +46,10 @@ def _normal_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, ' {{2,}}', ' ', 'g'), '^[\\s\\x{{3000}}\\x{{a0}}]+|[\\s\\x{{3000}}\\x{{a0}}]+$', '', 'g')"
 
 
-@query(f"WITH v(id, x) AS (VALUES {_quoted(NORMALISE)}) SELECT CAST(id AS BIGINT) AS id, {_normal_sql('x')} AS line FROM v")
+@query(f"WITH v AS (SELECT c_custkey AS id, {TYPED} AS x FROM customer) SELECT id, {_normal_sql('x')} AS line FROM v")
 def text_normalize_cases(spark, d):
-    return _values(spark, NORMALISE, "id x").select("id", text.normalize_line(F.col("x")).alias("line"))
+    """Lines of all customers with the noise that typing and conversion leave."""
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.expr(TYPED.replace("VARCHAR", "STRING")).alias("x")).select("id", text.normalize_line(F.col("x")).alias("line"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, CAST(i+1 AS INT) AS line_no, md5({_normal_sql('line')}) AS line_md5 FROM lines")
@@ -66,12 +58,18 @@ def text_normalize(spark, d):
     return rows.select("doc_id", (F.col("i") + 1).alias("line_no"), F.md5(text.normalize_line(F.col("line"))).alias("line_md5"))
 
 
-@query("""WITH l AS (SELECT conv_id, turn, text, CASE WHEN role='user' THEN '技能' ELSE text END AS t FROM conversations),
-  k AS (SELECT conv_id, turn, t, CASE WHEN t='技能' THEN 'skills' END AS h FROM l WHERE t<>''),
-  s AS (SELECT conv_id, turn, h, count(h) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section_no FROM k)
-  SELECT conv_id, turn, CAST(section_no AS BIGINT) AS section_no, CASE WHEN section_no>0 THEN 'skills' END AS section FROM s WHERE h IS NULL""")
+_HEADS = list(sections.HEADERS)
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, text, role='user' AS own, {_HEADS}[(conv_id+turn)%{len(_HEADS)}+1] AS head, {list(sections.HEADERS.values())}[(conv_id+turn)%{len(_HEADS)}+1] AS name FROM conversations),
+  k AS (SELECT conv_id, turn, CASE WHEN own THEN name END AS h, (conv_id+turn)%4 AS r, own FROM l WHERE own OR text<>''),
+  s AS (SELECT conv_id, turn, h, count(h) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section_no, max(CASE WHEN h IS NOT NULL THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS opened FROM k)
+  SELECT s.conv_id, s.turn, CAST(s.section_no AS BIGINT) AS section_no, o.h AS section FROM s LEFT JOIN k o ON o.conv_id=s.conv_id AND o.turn=s.opened WHERE s.h IS NULL""")
 def text_sections(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("line_no"), F.when(F.col("role") == "user", "技能").otherwise(F.col("text")).alias("text"))
+    """Conversations in which every user's turn is one of all headers, bare or in brackets."""
+    at = F.get(F.array(*map(F.lit, _HEADS)), ((F.col("conv_id") + F.col("turn")) % len(_HEADS)).cast("int"))
+    head = F.when((F.col("conv_id") + F.col("turn")) % 4 < 2, at).otherwise(F.concat(F.lit("【"), at, F.lit("】")))
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("line_no"), F.when(F.col("role") == "user", head).otherwise(F.col("text")).alias("text"))
     return sections.with_sections(rows, "conv_id").select("conv_id", F.col("line_no").alias("turn"), F.col("section_no").cast("bigint").alias("section_no"), "section")
 
 
@@ -81,39 +79,56 @@ def text_join_wrapped(spark, d):
     return sections.joined(rows, ["doc_id"]).select("doc_id", F.md5("text").alias("joined_md5"))
 
 
-SPLIT = [(1, "Java、Python、MySQL"), (2, "Java | Python"), (3, "HTML/CSS/Java"), (4, "JavaSPSSPython爬虫"), (5, "Excel，，Word·PPT"), (6, "单项"), (7, "Vue、html/css，Git")]
-_FUSED = "(" + "|".join(sorted((s for s in lexicon.SKILLS), key=len, reverse=True)).replace("+", "\\+") + ")"
+def _line_parts(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand"), F.expr("l_partkey = p_partkey"))
 
 
-@query(f"""WITH v(id, x) AS (VALUES {_quoted(SPLIT)}),
-  i AS (SELECT id, CASE WHEN regexp_full_match(x, '(?i)(?:{_FUSED})+') AND len(regexp_extract_all(x, '(?i){_FUSED}'))>=2 THEN regexp_extract_all(x, '(?i){_FUSED}')
-    ELSE list_filter(list_transform(string_split_regex(regexp_replace(x, '(?i)(html)/(css)', '\\1' || chr(1) || '\\2', 'g'), '[、，,/·|]'), lambda p: trim(replace(p, chr(1), '/'))), lambda p: p<>'') END AS items FROM v)
-  SELECT CAST(id AS BIGINT) AS id, CAST(unnest(range(0, len(items))) AS INT) AS pos, unnest(items) AS item FROM i""")
+@query("""WITH lex AS (SELECT DISTINCT lower(concat(p_type,'/',p_brand)) AS e FROM part WHERE p_size>45),
+  i AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_type, p_brand) AS n, p_type AS t, p_brand AS b, lower(concat(p_type,'/',p_brand)) IN (SELECT e FROM lex) AS known FROM lineitem JOIN part ON l_partkey=p_partkey),
+  r AS (SELECT k, n, t, b, 0 AS j, CASE WHEN known THEN concat(t,'/',b) ELSE t END AS item FROM i UNION ALL SELECT k, n, t, b, 1, b FROM i WHERE NOT known)
+  SELECT k AS order_key, CAST(row_number() OVER (PARTITION BY k ORDER BY n, j)-1 AS INT) AS pos, item FROM r""")
 def text_split_content(spark, d):
-    return _values(spark, SPLIT, "id x").select("id", F.posexplode(text.split_content(F.col("x"), lexicon.SKILLS)).alias("pos", "item"))
-
+    """Labels of every order, split at separators; a dictionary of all large parts' labels says which hold a separator themselves."""
+    label = F.concat_ws("/", "p_type", "p_brand")
+    known = segment.entries(table(spark, d, "part").where("p_size > 45").select(label.alias("entry")))
+    each = _line_parts(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_type", "p_brand"))).alias("x"))
+    texts = each.select(F.col("l_orderkey").alias("order_key"), F.array_join(F.transform("x", lambda v: F.concat_ws("/", v["p_type"], v["p_brand"])), "、").alias("x"))
+    return segment.split_labels(texts, "order_key", "x", known).select("order_key", F.posexplode("items").alias("pos", "item"))
 
-FUSED = [(1, "JavaSPSSPython爬虫"), (2, "JavaScriptJava"), (3, "Java与Python"), (4, "Java"), (5, "MySQLRedisSpring BootSpring Cloud"), (6, "初级会计职称CET-6CET-4")]
 
-
-@query(f"""WITH v(id, x) AS (VALUES {_quoted(FUSED)}) SELECT CAST(id AS BIGINT) AS id,
-  CASE WHEN regexp_full_match(x, '(?i)(?:{_FUSED})+') AND len(regexp_extract_all(x, '(?i){_FUSED}'))>=2 THEN array_to_string(regexp_extract_all(x, '(?i){_FUSED}'), ';') END AS items FROM v""")
+@query("""WITH i AS (SELECT l_orderkey AS k, l_linenumber AS n, p_name, concat(CASE WHEN l_linenumber%2=0 THEN upper(p_name) ELSE p_name END, CASE WHEN l_linenumber%3=0 THEN '  ' ELSE '' END) AS item, p_name NOT LIKE '%gizmo' AS known FROM lineitem JOIN part ON l_partkey=p_partkey),
+  o AS (SELECT k FROM i GROUP BY k HAVING bool_and(known) AND count(*)>=2)
+  SELECT i.k AS order_key, CAST(row_number() OVER (PARTITION BY i.k ORDER BY n, p_name)-1 AS INT) AS pos, item FROM i JOIN o ON o.k=i.k""")
 def text_lexicon_segment(spark, d):
-    return _values(spark, FUSED, "id x").select("id", F.array_join(text.lexicon_segment(F.col("x"), lexicon.SKILLS), ";").alias("items"))
-
-
-LABELLED = [("a", 1, "姓名："), ("a", 2, "姓名：毛丹妮"), ("a", 3, "姓名：别人"), ("a", 4, "学历：博士后"), ("a", 5, "学历：研究生"), ("a", 6, "电话：无"), ("a", 7, "电话：199-0000-0001"), ("b", 1, "邮箱： x.y@example.com 备用"), ("b", 2, "毕业时间：2018年2月"), ("b", 3, "毕业时间：2018-13"), ("b", 4, "期望职位：工程师")]
-
-
-@query(f"""WITH v(f, n, x) AS (VALUES {_quoted(LABELLED)}), l(field, label) AS (VALUES ('name','姓名'),('phone','电话'),('email','邮箱'),('degree','学历'),('graduation_date','毕业时间'),('desired_position','期望职位')),
-  r AS (SELECT f, n, field, trim(substr(x, length(label)+2)) AS raw FROM v JOIN l ON starts_with(x, label || '：') AND length(x)>length(label)+1),
-  c AS (SELECT f, n, field, CASE field WHEN 'degree' THEN CASE WHEN raw='研究生' THEN '硕士' WHEN raw IN ('大专','本科','硕士','博士','其他') THEN raw END
-     WHEN 'phone' THEN nullif(regexp_replace(regexp_extract(raw, '1[3-9]\\d(?:[-\\s]?\\d{{4}}){{2}}'), '[-\\s]', '', 'g'), '') WHEN 'email' THEN nullif(regexp_extract(raw, '{text.EMAIL}'), '')
-     WHEN 'graduation_date' THEN CASE WHEN regexp_full_match(raw, '\\d{{4}}[-/年]\\d{{1,2}}月?') AND CAST(regexp_extract(raw, '[-/年](\\d{{1,2}})', 1) AS INT) BETWEEN 1 AND 12
-       THEN concat(raw[:4], '-', lpad(regexp_extract(raw, '[-/年](\\d{{1,2}})', 1), 2, '0')) END ELSE nullif(raw, '') END AS value FROM r)
-  SELECT f AS source_file, field, arg_min(value, n) AS value FROM c WHERE value IS NOT NULL GROUP BY f, field""")
+    """The parts of every order written without anything between, cut by a dictionary of all parts but gizmos."""
+    known = segment.entries(table(spark, d, "part").where("p_name not like '%gizmo'").select(F.col("p_name").alias("entry")))
+    each = _line_parts(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("x"))
+    written = lambda v: F.concat(F.when(v["l_linenumber"] % 2 == 0, F.upper(v["p_name"])).otherwise(v["p_name"]), F.when(v["l_linenumber"] % 3 == 0, "  ").otherwise(""))
+    texts = each.select(F.col("l_orderkey").alias("order_key"), F.array_join(F.transform("x", written), "").alias("x"))
+    return segment.segmented(texts, "order_key", "x", known).select("order_key", F.posexplode("items").alias("pos", "item"))
+
+
+@query(f"""WITH {LINES}, i AS (SELECT doc_id, i, list_filter(list_transform(string_split_regex(line, '{text.SEPARATOR}'), lambda p: regexp_replace(p, '^[\\s\\x{{3000}}\\x{{a0}}]+|[\\s\\x{{3000}}\\x{{a0}}]+$', '', 'g')), lambda p: p<>'') AS items FROM lines)
+  SELECT doc_id, CAST(i+1 AS INT) AS line_no, CAST(len(items) AS INT) AS n_items, md5(array_to_string(items, '|')) AS items_md5 FROM i""")
+def text_split_documents(spark, d):
+    """Every line of every document as labels, by a dictionary of all parts' names and labels; the oracle is the plain split, as no line is made of them."""
+    known = segment.entries(table(spark, d, "part").select(F.explode(F.array("p_name", "p_type", F.concat_ws("/", "p_type", "p_brand"))).alias("entry")))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(text.physical_lines(F.col("text"))).alias("i", "line")).withColumn("at", F.struct("doc_id", "i"))
+    out = segment.split_labels(lines, "at", "line", known)
+    return out.select("at.doc_id", (F.col("at.i") + 1).alias("line_no"), F.size("items").alias("n_items"), F.md5(F.array_join("items", "|")).alias("items_md5"))
+
+
+@query(sql("""SELECT CAST(pid AS VARCHAR) AS source_file, f.field AS field, f.value AS value FROM (SELECT pid, unnest([{'field':'name','value':name},{'field':'phone','value':phone},{'field':'email','value':email},
+  {'field':'degree','value':CASE WHEN degree='硕士' AND pid%3=0 THEN '硕士' ELSE degree END},{'field':'graduation_date','value':concat(2000+pid%20,'-',lpad(CAST(pid%12+1 AS VARCHAR),2,'0'))}]) AS f FROM profile) WHERE f.value IS NOT NULL"""))
 def extract_label_fields(spark, d):
-    rows = _values(spark, LABELLED, "source_file line_no text").withColumns({"raw": F.col("text"), "location": F.lit("")})
+    """Labelled lines written for every customer, among others without a valid value, and read again; the oracle is what they were written from."""
+    p, no = F.col("pid"), F.lit(None).cast("string")
+    digits = F.concat_ws("-", F.substring("phone", 1, 3), F.substring("phone", 4, 4), F.substring("phone", 8, 4))
+    degree = F.when((F.col("degree") == "硕士") & (p % 3 == 0), "研究生").otherwise(F.col("degree"))
+    label = lambda name, value: F.concat(F.lit(name + "："), value)
+    lines = F.array(F.lit("姓名："), label("姓名", F.col("name")), F.lit("姓名：别人"), F.lit("学历：博士后"), label("学历", degree), F.lit("电话：无"), F.when(F.col("phone").isNotNull(), label("电话", digits)).otherwise(no),
+                    label("邮箱", F.concat(F.lit(" "), F.col("email"), F.lit(" 备用"))), F.lit("毕业时间：2018年13月"), label("毕业时间", F.concat((2000 + p % 20).cast("string"), F.lit("年"), (p % 12 + 1).cast("string"), F.lit("月"))))
+    rows = profiles(spark, d).select(p.cast("string").alias("source_file"), F.posexplode(lines).alias("line_no", "text")).where("text is not null").withColumns({"raw": F.col("text"), "location": F.lit("")})
     return extract.labelled_fields(rows).select("source_file", "field", "value")
 
 
@@ -133,30 +148,24 @@ def extract_phones(spark, d):
     return extract.first_contacts(rows, "pid").select("pid", F.col("phone.value").alias("phone"))
 
 
-RANGES = [(1, "2022-07 - 2024-08"), (2, "2022年7月至2024年8月"), (3, "2022年10月 至 2025年2月"), (4, "2022-07~至今"), (5, "2022-07 至今"), (6, "2022-13 - 2024-08"), (7, "去年"), (8, "2022 - 2024"), (9, " 2020/1-2020/12 ")]
-_POINT = r"\d{4}(?:[-/年]\d{1,2}月?)?"
-_SQLRANGE = rf"^\s*({_POINT})\s*(?:(?:(?:[-~至]\s*)?(至今))|[-~至]\s*({_POINT}))\s*$"
-
-
-def _point_sql(x: str) -> str:
-    m = f"TRY_CAST(regexp_extract({x}, '^(\\d{{4}})[-/年](\\d{{1,2}})月?$', 2) AS INT)"
-    return f"CASE WHEN {m} BETWEEN 1 AND 12 THEN concat({x}[:4], '-', lpad(CAST({m} AS VARCHAR), 2, '0')) END"
-
-
-@query(f"""WITH v(id, x) AS (VALUES {_quoted(RANGES)}), g AS (SELECT id, regexp_extract(x, '{_SQLRANGE}', 1) AS a, regexp_extract(x, '{_SQLRANGE}', 2) AS o, regexp_extract(x, '{_SQLRANGE}', 3) AS b FROM v),
-  p AS (SELECT id, {_point_sql('a')} AS a, o, {_point_sql('b')} AS b FROM g)
-  SELECT CAST(id AS BIGINT) AS id, a AS start_month, CASE WHEN o='' THEN b END AS end_month FROM p WHERE a IS NOT NULL AND (o<>'' OR b IS NOT NULL)""")
-def extract_date_range(spark, d):
-    rows = _values(spark, RANGES, "id x").select("id", text.parse_range(F.col("x")).alias("r")).where("r is not null")
-    return rows.select("id", F.col("r.start").alias("start_month"), F.col("r.end").alias("end_month"))
-
-
 def _month_text(c: str):
     """YYYY-MM, and the same in words, of a month index."""
     y, m = F.floor((F.col(c) - 1) / 12).cast("string"), (F.col(c) - 1) % 12 + 1
     return F.concat(y, F.lit("-"), F.lpad(m.cast("string"), 2, "0")), F.concat(y, F.lit("年"), m.cast("string"), F.lit("月"))
 
 
+@query(sql("""SELECT pid, rn, concat((s-1)//12,'-',lpad(CAST((s-1)%12+1 AS VARCHAR),2,'0')) AS start_month, CASE WHEN (pid+rn)%5<>2 THEN concat((e-1)//12,'-',lpad(CAST((e-1)%12+1 AS VARCHAR),2,'0')) END AS end_month
+  FROM expr WHERE (pid+rn)%5<3"""))
+def extract_date_range(spark, d):
+    """The time of every employment as people write it: numbers, words, open ends, and (no row) a month that isn't one and text that is no range."""
+    (s, s_words), (e, e_words) = _month_text("s"), _month_text("e")
+    shape = (F.col("pid") + F.col("rn")) % 5
+    written = (F.when(shape == 0, F.concat(F.lit(" "), s, F.lit(" - "), e, F.lit(" "))).when(shape == 1, F.concat(s_words, F.lit(" 至 "), e_words)).when(shape == 2, F.concat(s, F.lit("~至今")))
+               .when(shape == 3, F.concat(F.substring(s, 1, 5), F.lit("13 - "), e)).otherwise(F.concat(F.lit("自 "), s)))
+    rows = jobs(spark, d).select("pid", "rn", text.parse_range(written).alias("r")).where("r is not null")
+    return rows.select("pid", "rn", F.col("r.start").alias("start_month"), F.col("r.end").alias("end_month"))
+
+
 @query(sql("""SELECT CAST(pid AS VARCHAR) AS source_file, CAST(rn AS BIGINT) AS entry, company, CASE WHEN (pid+rn)%3=1 THEN concat('T',rn,' x') ELSE concat('T',rn) END AS title,
   concat((s-1)//12,'-',lpad(CAST((s-1)%12+1 AS VARCHAR),2,'0')) AS start_month, CASE WHEN rn%5<>0 THEN concat((e-1)//12,'-',lpad(CAST((e-1)%12+1 AS VARCHAR),2,'0')) END AS end_month FROM expr"""))
 def extract_experiences(spark, d):
@@ -333,12 +342,25 @@ def gen_missing_flags(spark, d):
     return generation.missing_flags(rows, "cust_key", {"phone": 0.1, "email": 0.15}, "s")
 
 
-SETTINGS, CHANGES = [("limit", "20"), ("masking", "on"), ("theme", "light")], [("masking", "off"), ("lang", "zh")]
-
-
-@query(f"WITH a(k, v) AS (VALUES {_quoted(SETTINGS)}), b(k, v) AS (VALUES {_quoted(CHANGES)}) SELECT k, v FROM b UNION ALL SELECT k, v FROM a WHERE k NOT IN (SELECT k FROM b)")
+@query("""WITH a AS (SELECT n_name AS k, r_name AS v FROM nation JOIN region ON r_regionkey=n_regionkey),
+  b AS (SELECT n_name AS k, concat('suppliers ', count(*)) AS v FROM supplier JOIN nation ON n_nationkey=s_nationkey GROUP BY n_name UNION ALL SELECT c_mktsegment, concat('customers ', count(*)) FROM customer GROUP BY c_mktsegment)
+  SELECT k, v FROM b UNION ALL SELECT k, v FROM a WHERE k NOT IN (SELECT k FROM b)""")
 def settings_upsert(spark, d):
-    return merging.upsert(_values(spark, SETTINGS, "k v"), _values(spark, CHANGES, "k v"), ["k"])
+    """What is known of each nation, replaced where it has suppliers, and segments added."""
+    nation = table(spark, d, "nation")
+    held = nation.join(table(spark, d, "region"), F.expr("r_regionkey = n_regionkey")).select(F.col("n_name").alias("k"), F.col("r_name").alias("v"))
+    said = lambda rows, k, what: rows.groupBy(F.col(k).alias("k")).agg(F.concat(F.lit(f"{what} "), F.count("*").cast("string")).alias("v"))
+    changes = said(table(spark, d, "supplier").join(nation, F.expr("n_nationkey = s_nationkey")), "n_name", "suppliers").unionByName(said(table(spark, d, "customer"), "c_mktsegment", "customers"))
+    return merging.upsert(held, changes, ["k"])
+
+
+@query("""WITH w AS (SELECT p_partkey AS v, CAST(sum(p_size) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi, CAST(p_size AS BIGINT) AS w FROM part WHERE p_size>0),
+  o AS (SELECT o_orderkey AS k, CAST(CAST(('0x' || md5(concat('parts|', o_orderkey))[:15]) AS BIGINT)::HUGEINT * (SELECT max(hi) FROM w) // 1152921504606846976 AS BIGINT) AS x FROM orders)
+  SELECT k AS order_key, v AS part_key FROM o JOIN w ON x>=hi-w AND x<hi""")
+def gen_weighted_from_parts(spark, d):
+    """One part for every order, drawn by the sizes of all parts."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("order_key"))
+    return generation.drawn(rows, "order_key", table(spark, d, "part").select("p_partkey", "p_size"), "parts", value="p_partkey", weight="p_size", out="part_key")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, concat('{\"k\":', json_extract(props, '$.k'), '}') AS again FROM events")

@@ -120,3 +120,15 @@ def test_matching_agrees_on_two_records(spark):
     for r in matching.decided(matching.pair_scores(every, profiles, work)).collect():
         sides = [{"name": p[2], "phone": p[3], "email": p[4], "school": p[5], "major": p[6], "desired": p[7], "keys": p[8], "jobs": [j[1:] for j in jobs if j[0] == p[0] and j[2]]} for p in (by[r.a], by[r.b])]
         assert (r.score, r.decision.split("_")[0]) == pair(*sides)
+
+
+def test_query(spark, data):
+    """All customers: the registered query against the plain loop."""
+    from curricle import catalogue
+    from curricle.queries import common
+
+    people = [(r.pid, r.pid, r.name, r.phone, r.email, r.school, r.major, r.desired, r.name_keys, "2026-01-01") for r in common.profiles(spark, data).collect()]
+    text = lambda m: f"{(m - 1) // 12}-{(m - 1) % 12 + 1:02d}"
+    jobs = [(r.pid, r.company, text(r.s), text(r.e)) for r in common.jobs(spark, data).collect()]
+    got = {r.pid: (r.cluster, r.status, r.matched, r.score) for r in catalogue.QUERIES["match_sequential"](spark, data).collect()}
+    assert got == plain(people, jobs) and {s for _, s, _, _ in got.values()} >= {"new", "merged"}
