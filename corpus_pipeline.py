@@ -1,11 +1,16 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. run() writes each stage's result as Parquet
-in the shared folder and reads it again as the next one's docs; a stage's result must be written before the next stage begins.
+in the shared folder and reads it again as the next one's docs; a stage's result must be written before the next stage of the thread begins.
+
+All stages take nulls in any column, empty and very long texts, rows that repeat, empty tables and extra columns of any names, which they keep
+(but for the last, whose rows are pieces): a null or empty text has no line, no shingle and no repeat, so it stays as it is, and is one token when packed; rows
+without an id stay, lose no line and are near-duplicates of nothing; rows that share an id are judged by their own text, but lose lines and go as duplicates together.
 """
 
 from __future__ import annotations
 
+import contextvars
 import functools
 
 import public_tokenizers
@@ -20,17 +25,18 @@ from curricle.llm.common import fresh, stored, table, without
 #: A passage of fifty words takes about 320 bytes in the languages of the corpus, and hardly ever fewer than these.
 PASSAGE = 240
 
-_left: list[str] = []
+#: What the stage before wrote for itself, of the run in this thread.
+_left: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("left", default=())
 
 
 def _stage(f):
-    """A stage that first deletes what the stage before it wrote for itself: its result has been written, so nothing reads that any more."""
+    """A stage that first deletes what the stage before it in this thread wrote for itself: its result has been written, so nothing reads that any more."""
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        storage.release(spark, _left)
-        before = set(storage.written())
-        out = f(spark, docs, sf_dir)
-        _left[:] = [p for p in storage.written() if p not in before]
+        storage.release(spark, _left.get())
+        with storage.scope() as paths:
+            out = f(spark, docs, sf_dir)
+            _left.set(tuple(paths))
         return out
     return run_stage
 
@@ -71,8 +77,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """n_chars as the text is now."""
-    return docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    """n_chars as the text is now; that of a null text stays."""
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("repeats", repeats), ("packing", pack)]
