@@ -15,6 +15,8 @@ LABELS = {"name": "姓名", "phone": "电话", "email": "邮箱", "degree": "学
 #: Characters that a major doesn't start or end with, and the pattern of school names.
 EDGE = " 　\t.-~至|·、，,/（）()"
 SCHOOL = rf"(?<![{CJK}])([{CJK}]{{2,}}?(?:大学|学院|学校))"
+#: Patterns of an employment on one line, with bars between its parts or with its dates first.
+PIPE, DATED = r"^([^|]+?)\s*\|\s*([^|]+?)\s*\|\s*(.+)$", rf"^({RANGE})\s+(\S.*)$"
 DEGREE = "（(大专|本科|硕士|博士|研究生)）"
 
 
@@ -65,11 +67,10 @@ def experiences(sections: DataFrame, key: str = "source_file") -> DataFrame:
     """
     rows = sections.where("section = 'exp'")
     text, order = F.col("text"), Window.partitionBy(key, "section_no").orderBy("line_no")
-    pipe, dated = r"^([^|]+?)\s*\|\s*([^|]+?)\s*\|\s*(.+)$", rf"^({RANGE})\s+(\S.*)$"
     rows = (rows.withColumn("next", F.coalesce(F.lead("text").over(order), F.lit("")))
-            .withColumn("is_pipe", text.rlike(pipe)).withColumn("pipe_span", parse_range(F.regexp_extract(text, pipe, 3)))
-            .withColumn("dated_span", F.when(~text.rlike(pipe), parse_range(F.regexp_extract(text, dated, 1))))
-            .withColumn("words", F.split(strip(F.regexp_extract(text, dated, 5)), r"(?U)\s+"))
+            .withColumn("is_pipe", text.rlike(PIPE)).withColumn("pipe_span", parse_range(F.regexp_extract(text, PIPE, 3)))
+            .withColumn("dated_span", F.when(~text.rlike(PIPE), parse_range(F.regexp_extract(text, DATED, 1))))
+            .withColumn("words", F.split(strip(F.regexp_extract(text, DATED, 5)), r"(?U)\s+"))
             .withColumn("is_title", text.startswith("职位："))
             .withColumn("time_span", F.when(text.startswith("时间："), parse_range(F.regexp_replace(text, "^时间：", "")))))
     plain = ~F.col("is_pipe") & F.col("dated_span").isNull()
@@ -81,8 +82,8 @@ def experiences(sections: DataFrame, key: str = "source_file") -> DataFrame:
     rows = rows.withColumn("opens", F.col("opens") | (F.col("maybe") & (F.coalesce(F.count_if("maybe").over(earlier), F.lit(0)) == 0)))
     rows = rows.withColumn("entry", F.count_if("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("entry > 0")
     rows = rows.withColumn("span", F.when(F.col("opens"), F.coalesce("pipe_span", "dated_span")).when(F.col("detail"), F.col("time_span")))
-    company = F.when(F.col("is_pipe"), strip(F.regexp_extract(text, pipe, 1))).when(F.col("dated_span").isNotNull(), F.get("words", F.lit(0))).otherwise(text)
-    title = (F.when(F.col("opens") & F.col("is_pipe"), strip(F.regexp_extract(text, pipe, 2)))
+    company = F.when(F.col("is_pipe"), strip(F.regexp_extract(text, PIPE, 1))).when(F.col("dated_span").isNotNull(), F.get("words", F.lit(0))).otherwise(text)
+    title = (F.when(F.col("opens") & F.col("is_pipe"), strip(F.regexp_extract(text, PIPE, 2)))
              .when(F.col("opens") & F.col("dated_span").isNotNull(), F.nullif(F.array_join(F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), " "), F.lit("")))
              .when(~F.col("opens") & F.col("detail") & F.col("is_title"), strip(F.regexp_replace(text, "^职位：", ""))))
     used = F.col("opens") | (F.col("detail") & (F.col("is_title") | F.col("span").isNotNull()))

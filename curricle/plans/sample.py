@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -123,7 +122,6 @@ def write_sample(spark: SparkSession, data: str, persons: int, seed: str) -> dic
         with open(f"{data}/resumes/{r.file}", "wb") as f:
             f.write(r.content)
     people: dict[int, dict] = {}
-    formats: Counter = Counter()
     for r in files.drop("lines").orderBy("pid", "v").toLocalIterator():
         fields = {k: r[c] for k, c in (("name", "name"), ("phone", "phone"), ("email", "email"), ("degree", "degree"), ("school", "school"), ("major", "major"), ("graduation_date", "graduation"), ("desired_position", "desired")) if r[c]}
         entry = {"file": r.file, "format": r.format, "layout": r.layout, "noise": list(r.noise), "truth_fields": fields, "truth_experiences": [j.asDict() for j in r.jobs], "truth_skills": list(r.skills), "truth_certificates": list(r.certificates)}
@@ -131,9 +129,15 @@ def write_sample(spark: SparkSession, data: str, persons: int, seed: str) -> dic
             entry["encoding"] = "gbk" if "gbk_encoding_txt" in r.noise else "utf-8"
         id_ = f"p{r.pid:03d}"
         people.setdefault(r.pid, {"person_id": id_, "same_person_group": id_, "template": "fresh" if r.fresh else "working", "name": r.name, "resumes": []})["resumes"].append(entry)
-        formats[r.format] += 1
     alike = [[f"p{k:03d}" for k in p] for p in HOMONYMS if p[1] <= persons]
     relations = {"same_person_groups": [[p["person_id"]] for p in people.values()], "homonym_groups": alike}
     with open(f"{data}/truth.json", "w", encoding="utf-8") as f:
         json.dump({"truth_version": 1, "seed": seed, "persons": list(people.values()), "relations": relations}, f, ensure_ascii=False, indent=1)
-    return {"persons": len(people), "files": sum(formats.values()), "by_format": dict(sorted(formats.items())), "multi_version_persons": sum(len(p["resumes"]) > 1 for p in people.values()), "homonym_groups": len(alike)}
+    return counted(files) | {"homonym_groups": len(alike)}
+
+
+def counted(files: DataFrame) -> dict:
+    """persons, files, by_format and multi_version_persons of files (pid, format)."""
+    formats = {r.format: r["count"] for r in files.groupBy("format").count().collect()}  # as many rows as there are formats
+    own = files.groupBy("pid").agg(F.count("*").alias("n")).agg(F.count("*").alias("persons"), F.count_if(F.col("n") > 1).alias("several")).first()
+    return {"persons": own.persons, "files": sum(formats.values()), "by_format": dict(sorted(formats.items())), "multi_version_persons": own.several}

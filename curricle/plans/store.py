@@ -46,8 +46,9 @@ PENDING_MERGE = "candidate_merge"
 
 
 class PeopleStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, readings: DataFrame | None = None):
+        """readings (char, reading, place): how characters of names are read, for names that sound alike; without it names match by equality."""
+        self.spark, self.root, self.readings = spark, root.rstrip("/"), readings
         self._results: list[str] = []
 
     # --- tables ---
@@ -183,7 +184,10 @@ class PeopleStore:
         jobs = jobs.unionByName(self.table("experiences").select(F.col("candidate_id").alias("pid"), "company", "start", "end"))
         months = intervals.month_intervals(jobs, ["pid", "company"])
         lost = jobs.join(months.select("pid", "company").distinct(), ["pid", "company"], "left_anti").select("pid", "company", F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"))
-        return new.unionByName(old), months.unionByName(lost)
+        people = new.unionByName(old)
+        if self.readings is not None:
+            people = matching.with_name_keys(people, self.readings)
+        return people, months.unionByName(lost)
 
     def _place(self, cards: DataFrame) -> DataFrame:
         """cards with resume_id, candidate_id, status, and the person that a manual review would merge with (review_id)."""
