@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import generation
 from ..operators.generation import fraction
 from ..shipping import ship
+from ..storage import stored
 from ..sources import rendering
 
 #: Shares and rates of the sample.
@@ -116,7 +117,7 @@ def write_sample(spark: SparkSession, data: str, persons: int, seed: str) -> dic
     """Writes resumes/ and truth.json under data and returns a summary; a sample is small, so the driver writes its files."""
     if persons < 1:
         raise ValueError("a sample has one person at least")
-    files = as_files(versions(spark, persons, seed), seed)
+    files = stored(as_files(versions(spark, persons, seed), seed), "sample")
     os.makedirs(f"{data}/resumes", exist_ok=True)
     for r in rendered(files).toLocalIterator():
         with open(f"{data}/resumes/{r.file}", "wb") as f:
