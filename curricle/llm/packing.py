@@ -1,9 +1,11 @@
-"""Sum-of-squares online packing of token sequences.
+"""Sum-of-squares online packing of token sequences, in two passes.
 
 Each document's last piece (what is left after whole windows) goes to the fill level that leaves the least sum of squared
 counts of partly filled windows by level; a level array holds the counts. Every partition packs what it reads, one document
-at a time, and holds only its open windows: at most OPEN of them. What is open then, or at the end, is laid end to end and cut
-into whole windows, so that each partition pads one window.
+at a time. A piece leaves at once, with the number of its window and its place there, so a task holds a number for each open window and no ids.
+
+The windows that are open at the end of a partition stay as they are and are packed once more, each as one piece, by the same rule over few tasks.
+Only what that second pass leaves open is laid end to end and cut into whole windows, so that each of its tasks pads one window.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_characters
-from .common import binaries, small_batches
+from .common import binaries, flagged, small_batches, stored
 
-OPEN = 512
+#: Open windows that a task of the second pass packs; more make more tasks.
+BLOCKS = 100_000
+#: Sequences that the second pass makes are numbered from here on, those of the first from its partition's number, shifted likewise.
+SECOND = 1 << 62
 #: Marks that make one pre-token when they follow a word together, and a letter whose lower case depends on its place.
 MARKS, CAPITAL_SIGMA = ".,;:!?#*$%&|()\"", "Σ"
 
@@ -116,13 +121,12 @@ class WordEncoder:
 
 
 class SumOfSquares:
-    """The open windows by fill level. place() returns the pieces of the windows that it fills."""
+    """Numbers of the open windows by fill level. place() says where a piece goes."""
 
-    def __init__(self, size: int, first_id: int, most_open: int = OPEN):
-        self.size, self.next_id, self.most = size, first_id, most_open
+    def __init__(self, size: int, first_id: int):
+        self.size, self.next_id = size, first_id
         self.count = np.zeros(size + 1, np.int64)
-        self.open: list[list[list]] = [[] for _ in range(size)]  # by level: windows, lists of pieces
-        self.n_open = 0
+        self.open: list[list[int]] = [[] for _ in range(size)]
 
     def level_for(self, s: int) -> int:
         """The level that a piece of s goes to, 0 for a new window: where the sum of squared counts grows least."""
@@ -136,56 +140,45 @@ class SumOfSquares:
                 return best + 1
         return 0
 
-    def place(self, piece: tuple, s: int) -> Iterator[tuple[int, int, tuple]]:
-        if s == self.size:
-            yield from self._close([(piece, s)])
-            return
+    def place(self, s: int) -> tuple[int, int]:
+        """The window that a piece of s goes to, and its place there."""
         level = self.level_for(s)
         if level:
             window = self.open[level].pop()
             self.count[level] -= 1
         else:
-            window = []
-            self.n_open += 1
-        window.append((piece, s))
-        level += s
-        if level == self.size:
-            self.n_open -= 1
-            yield from self._close(window)
-        else:
-            self.open[level].append(window)
-            self.count[level] += 1
-            if self.n_open > self.most:
-                yield from self.flush(last=False)
-
-    def _close(self, window: list) -> Iterator[tuple[int, int, tuple]]:
-        at = 0
-        for piece, s in window:
-            yield self.next_id, at, piece
-            at += s
-        self.next_id += 1
-
-    def flush(self, last: bool) -> Iterator[tuple[int, int, tuple]]:
-        """Cuts all that is open into whole windows; the rest stays open, or is closed short if it is the last."""
-        pieces = [x for level in self.open for window in level for x in window]
-        self.open, self.n_open = [[] for _ in range(self.size)], 0
-        self.count[:] = 0
-        window, fill = [], 0
-        for piece, s in pieces:
-            while fill + s >= self.size:
-                doc, start, whole, ids = piece
-                n = self.size - fill
-                window.append(((doc, start, whole, ids[: 4 * n]), n))
-                yield from self._close(window)
-                piece, s, window, fill = (doc, start + n, whole, ids[4 * n:]), s - n, [], 0
-            if s:
-                window.append((piece, s))
-                fill += s
-        if window and last:
-            yield from self._close(window)
-        elif window:
-            self.open[fill].append(window)
-            self.count[fill], self.n_open = 1, 1
+            window = self.next_id
+            self.next_id += 1
+        if level + s < self.size:
+            self.open[level + s].append(window)
+            self.count[level + s] += 1
+        return window, level
+
+    def left(self) -> Iterator[tuple[int, int]]:
+        """The windows that are open and how full each is."""
+        return ((window, level) for level, windows in enumerate(self.open) for window in windows)
+
+
+def settled(blocks: list[tuple[int, int]], size: int, first_id: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The second pass over open windows (number, fill): (window, begin, end, sequence, offset) says where its places from begin to end go.
+
+    A window goes whole wherever the rule puts it; those of sequences that aren't full in the end are laid end to end and may be cut once.
+    """
+    packer = SumOfSquares(size, first_id)
+    placed = [(window, s, *packer.place(s)) for window, s in blocks]
+    at, laid = 0, {}
+    for sequence, fill in packer.left():
+        laid[sequence] = at
+        at += fill
+    for window, s, sequence, offset in placed:
+        if sequence not in laid:
+            yield window, 0, s, sequence, offset
+            continue
+        p = laid[sequence] + offset
+        n = min(s, size - p % size)
+        yield window, 0, n, packer.next_id + p // size, p % size
+        if n < s:
+            yield window, n, s, packer.next_id + (p + n) // size, 0
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -199,28 +192,14 @@ def _encoder(path: str, words: int) -> WordEncoder:
     return _encoders[path]
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, words: int = 1_000_000, most_open: int = OPEN) -> DataFrame:
-    """Pieces: doc (id), start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit, binary).
-
-    A document's tokens are its text's ids and end_id; a null or empty text has end_id alone. Each token is in exactly one piece,
-    and the pieces of a sequence follow each other without gaps from offset 0. Rows that share an id, or have none, are packed each; ids must be whole numbers
-    (or text that says one). Other columns don't matter, and an empty table gives an empty result.
-    A partition holds up to `most_open` windows; what it holds then, and at its end, is laid end to end.
-    A worker keeps the ids of up to `words` words (about 250 bytes each); fewer take less memory and more time, for the same result.
-    """
-    small_batches(df.sparkSession, 1024)
+def _first(df: DataFrame, tokenizer_path: str, size: int, end_id: int, words: int) -> DataFrame:
+    """The first pass: pieces with their window and place there (at), and a row for each window that stays open: its number and fill."""
     closing = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path, words)
-        packer = SumOfSquares(size, TaskContext.get().partitionId() << 32, most_open)
-
-        def batch_of(found: list) -> pa.RecordBatch:
-            seq, at, piece = zip(*found, strict=True)
-            doc, start, whole, ids = zip(*piece, strict=True)
-            long = lambda x: pa.array(x, pa.int64())
-            return pa.RecordBatch.from_arrays([long(doc), long(start), long([len(x) // 4 for x in ids]), long(whole), long(seq), long(at), binaries(list(ids))],
-                                              ["doc", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        packer = SumOfSquares(size, TaskContext.get().partitionId() << 32)
+        long = lambda x: pa.array(x, pa.int64())
 
         for batch in batches:
             found = []
@@ -230,11 +209,53 @@ def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "t
                 whole = len(ids) // 4
                 for start in range(0, whole, size):
                     part = ids[4 * start: 4 * (start + size)]
-                    found.extend(packer.place((doc, start, whole, part), len(part) // 4))
+                    found.append((*packer.place(len(part) // 4), doc, start, whole, part))
             if found:
-                yield batch_of(found)
-        if rest := list(packer.flush(last=True)):
-            yield batch_of(rest)
+                *numbers, ids = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([*map(long, numbers), binaries(list(ids)), pa.nulls(len(ids), pa.int64())], ["window", "at", "doc", "start", "doc_tokens", "ids", "fill"])
+        left = list(packer.left())
+        for k in range(0, len(left), 10_000):
+            window, fill = zip(*left[k: k + 10_000], strict=True)
+            none = pa.nulls(len(fill), pa.int64())
+            yield pa.RecordBatch.from_arrays([long(window), none, none, none, none, pa.nulls(len(fill), pa.binary()), long(fill)], ["window", "at", "doc", "start", "doc_tokens", "ids", "fill"])
+
+    return df.mapInArrow(run, "window bigint, at bigint, doc bigint, start bigint, doc_tokens bigint, ids binary, fill bigint")
+
+
+def _second(left: DataFrame, size: int, blocks: int) -> DataFrame:
+    """The second pass: where the places of each open window go (settled())."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        out = list(settled(held, size, SECOND + (TaskContext.get().partitionId() << 32)))
+        for k in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[k: k + 10_000], strict=True)], ["block", "begin", "end", "sequence", "offset"])
+
+    tasks = -(-left.count() // blocks) or 1
+    rows = left.repartition(tasks, "window").sortWithinPartitions("window")
+    return rows.mapInArrow(run, "block bigint, begin bigint, end bigint, sequence bigint, offset bigint")
 
+
+def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, words: int = 1_000_000, blocks: int = BLOCKS) -> DataFrame:
+    """Pieces: doc (id), start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit, binary).
+
+    A document's tokens are its text's ids and end_id; a null or empty text has end_id alone. Each token is in exactly one piece,
+    and the pieces of a sequence follow each other without gaps from offset 0. Rows that share an id, or have none, are packed each; ids must be whole numbers
+    (or text that says one). Other columns don't matter, and an empty table gives an empty result.
+    A task of the second pass takes about `blocks` open windows and pads one sequence. The pieces of the first pass are stored, so a lost executor changes no place.
+    A worker keeps the ids of up to `words` words (about 250 bytes each); fewer take less memory and more time, for the same result.
+    """
+    small_batches(df.sparkSession, 1024)
     rows = df.select(F.col(f"`{id_}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "doc bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    first = stored(_first(rows, tokenizer_path, size, end_id, words), "pieces")
+    second = stored(_second(first.where("fill is not null").select("window", "fill"), size, blocks), "settled")
+    marked = flagged(first.where("fill is null").drop("fill"), "window", second, "block", out="open")
+    n = F.expr("octet_length(ids) div 4")
+    result = ["doc", "start", F.expr("octet_length(ids) div 4").alias("length"), "doc_tokens", "sequence_id", "offset", "ids"]
+    closed = marked.where("not open").withColumnsRenamed({"window": "sequence_id", "at": "offset"}).select(result)
+    moved = (marked.where("open").withColumn("n", n).join(second, F.expr("window = block and at < end and at + n > begin"), "left")
+             .withColumn("skip", F.greatest(F.lit(0), F.expr("begin - at")))  # tokens of the piece before the part that goes here
+             .withColumn("ids", F.when(F.col("block").isNull(), F.col("ids")).otherwise(F.expr("substring(ids, int(4 * skip + 1), int(4 * (least(at + n, end) - at - skip)))")))
+             .withColumn("sequence_id", F.coalesce("sequence", "window"))
+             .withColumn("offset", F.coalesce(F.expr("offset + at + skip - begin"), "at"))
+             .withColumn("start", F.expr("start + skip")).select(result))
+    return closed.unionByName(moved)

@@ -58,19 +58,59 @@ def test_levels_follow_the_least_sum_of_squares():
             return int((d[:20] ** 2).sum())
         best = min(squares(h) for h in range(0, 21 - s) if h == 0 or c[h])
         assert squares(packer.level_for(s)) == best
-        list(packer.place((0, 0, s, b"0000" * s), s))
-
-
-def test_open_windows_are_bounded():
-    packer = packing.SumOfSquares(100, 7, most_open=5)
-    placed = []
-    for k in range(300):
-        n = 51 + k % 40
-        placed += packer.place((k, 0, n, b"0000" * n), n)
-        assert packer.n_open <= 5
-    placed += packer.flush(last=True)
-    assert sum(len(p[3]) // 4 for _, _, p in placed) == sum(51 + k % 40 for k in range(300))
-    assert len({s for s, _, _ in placed}) <= sum(51 + k % 40 for k in range(300)) // 100 + 2
+        packer.place(s)
+
+
+def test_second_pass_cuts_only_what_it_leaves_open():
+    rng = np.random.default_rng(2)
+    first = packing.SumOfSquares(100, 7)
+    for s in rng.integers(1, 100, 3000):
+        first.place(int(s))
+    blocks = list(first.left())
+    again = packing.SumOfSquares(100, 0)
+    for _, s in blocks:
+        again.place(s)
+    open_ = len(list(again.left()))
+    rows = list(packing.settled(blocks, 100, 1000))
+    parts, sequences = defaultdict(list), defaultdict(list)
+    for window, begin, end, sequence, offset in rows:
+        assert begin < end
+        parts[window].append((begin, end))
+        sequences[sequence].append((offset, offset + end - begin))
+    for window, s in blocks:
+        ends = sorted(parts[window])
+        assert ends[0][0] == 0 and ends[-1][1] == s and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    for ends in sequences.values():
+        ends.sort()
+        assert ends[0][0] == 0 and ends[-1][1] <= 100 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    assert sum(max(e)[1] < 100 for e in sequences.values()) <= 1  # one sequence is padded
+    assert sum(len(p) > 1 for p in parts.values()) < open_  # at each seam of the sequences that were open in the end, one window is cut at most
+
+
+def test_pieces_that_never_fill_a_window(spark):
+    """Pieces of 60 of 100 that share no window: all are open after the first pass, and hold no ids there."""
+    packer = packing.SumOfSquares(100, 0)
+    assert [packer.place(60) for _ in range(500)] == [(k, 0) for k in range(500)]
+    rows = list(packing.settled(list(packer.left()), 100, 1000))
+    assert len({r[3] for r in rows}) == 300 and sum(r[2] - r[1] for r in rows) == 30_000
+    texts = {k: " ".join(["word"] * 59) for k in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    for blocks, tasks in ((1000, 1), (100, 4)):
+        n, total = check(packing.pack(docs, PATH, size=100, blocks=blocks).collect(), texts, 100)
+        assert total == 24_000 and n <= 240 + tasks
+
+
+def test_sequences_cut_depend_on_the_last_pass_alone(spark, data):
+    """However many partitions there are, the first pass cuts nothing, and the second cuts at seams of what it leaves open."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    shares = []
+    for partitions in (1, 6):
+        rows = packing.pack(docs.repartition(partitions, "doc_id"), PATH).drop("ids").collect()
+        second = {r.sequence_id for r in rows if r.sequence_id >= packing.SECOND}
+        cut = {r.sequence_id for r in rows if r.start % 2048}  # a piece begins inside a window of its document only where it was cut
+        assert cut <= second
+        shares.append(len(cut) / len({r.sequence_id for r in rows}))
+    assert shares[1] <= shares[0] + 0.15
 
 
 def test_odd_tables(odd, nothing):
