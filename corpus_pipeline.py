@@ -30,13 +30,14 @@ _left: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("left",
 
 
 def _stage(f):
-    """A stage that first deletes what the stage before it in this thread wrote for itself: its result has been written, so nothing reads that any more."""
+    """A stage that first deletes what the stage before it in this thread wrote for itself: its result has been written, so nothing reads that any more.
+    No stage follows the last one, so what it wrote stays for its result until the driver exits."""
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         storage.release(spark, _left.get())
         with storage.scope() as paths:
             out = f(spark, docs, sf_dir)
-            _left.set(tuple(paths))
+            _left.set(() if f.__name__ == "pack" else tuple(paths))
         return out
     return run_stage
 
