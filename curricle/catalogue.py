@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import people, texts
+from .queries import people, records, texts
 
-QUERIES = people.QUERIES | texts.QUERIES
-ORACLES = people.ORACLES | texts.ORACLES
+QUERIES = people.QUERIES | texts.QUERIES | records.QUERIES
+ORACLES = people.ORACLES | texts.ORACLES | records.ORACLES

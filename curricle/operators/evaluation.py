@@ -124,6 +124,11 @@ def passes(row, least: float = 0.95, most_false: float = 0.0) -> bool:
     return row["precision"] >= least and row["recall"] >= least and row["false_merge_rate"] <= most_false
 
 
+def gated(metrics: DataFrame, least: float = 0.95, most_false: float = 0.0) -> DataFrame:
+    """metrics with `passed`, the same gate as a column."""
+    return metrics.withColumn("passed", (F.col("precision") >= least) & (F.col("recall") >= least) & (F.col("false_merge_rate") <= most_false))
+
+
 def markdown(scores: DataFrame, columns: list[str]) -> DataFrame:
     """Lines of a table in Markdown, in the order of the first column."""
     cells = F.concat_ws(" | ", *(F.coalesce(F.format_string("%.4f", c) if scores.schema[c].dataType.simpleString() == "double" else F.col(c).cast("string"), F.lit("")) for c in columns))

@@ -145,11 +145,11 @@ def resume_lines(seed: str, bullets: list[str]) -> Column:
 
 
 def homonyms(people: DataFrame, key: str, pairs: list[tuple[int, int]], name: str = "name") -> DataFrame:
-    """people, in which the second of each pair bears the name of the first. Pairs are a fixed list, so they are broadcast."""
+    """people, in which the second of each pair bears the name of the first. Pairs are a fixed list, so they are broadcast; what is found by them isn't."""
     spark = people.sparkSession
     given = spark.createDataFrame(pairs, "__first bigint, __second bigint")
     named = people.join(F.broadcast(given), F.col(key) == F.col("__first")).select(F.col("__second"), F.col(name).alias("__name"))
-    return people.join(F.broadcast(named), F.col(key) == F.col("__second"), "left").withColumn(name, F.coalesce("__name", name)).drop("__second", "__name")
+    return people.join(named, F.col(key) == F.col("__second"), "left").withColumn(name, F.coalesce("__name", name)).drop("__second", "__name")
 
 
 def independent(jobs: DataFrame, key: str, pairs: list[tuple[int, int]], company: str = "company") -> DataFrame:
