@@ -73,7 +73,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: the texts' tokens in sequences of at most 2048."""
-    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words=200_000)  # workers also hold what earlier stages loaded
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words=50_000)  # workers also hold what earlier stages loaded
     return out.select(F.col("doc").alias("doc_id"), "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
 
 

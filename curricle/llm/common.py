@@ -22,11 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of at most so many rows and 4 MB, so that long texts don't fill a Python worker; sees to it that workers have this package."""
+def small_batches(spark: SparkSession, rows: int = 256, mb: int = 4) -> None:
+    """Arrow batches of at most so many rows and MB, so that long texts don't fill a Python worker; sees to it that workers have this package."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -197,6 +197,7 @@ def _first(df: DataFrame, tokenizer_path: str, size: int, end_id: int, words: in
     closing = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what other stages left in this worker
         encoder = _encoder(tokenizer_path, words)
         packer = SumOfSquares(size, TaskContext.get().partitionId() << 32)
         long = lambda x: pa.array(x, pa.int64())
@@ -244,7 +245,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_: str = "doc_id", text: str = "t
     A task of the second pass takes about `blocks` open windows and pads one sequence. The pieces of the first pass are stored, so a lost executor changes no place.
     A worker keeps the ids of up to `words` words (about 250 bytes each); fewer take less memory and more time, for the same result.
     """
-    small_batches(df.sparkSession, 1024)
+    small_batches(df.sparkSession, 256, mb=1)  # encoding takes some twenty times a batch's bytes for a moment
     rows = df.select(F.col(f"`{id_}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text"))
     first = stored(_first(rows, tokenizer_path, size, end_id, words), "pieces")
     second = stored(_second(first.where("fill is not null").select("window", "fill"), size, blocks), "settled")
