@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one task takes of a small file whose rows grow into many: Parquet's splits go by bytes.
+EACH_TASK = 10_000
+
+
+def spread(rows: DataFrame, key: str, each_task: int = EACH_TASK) -> DataFrame:
+    """rows over as many tasks as their number asks for: what a task makes of them doesn't grow with the table."""
+    return rows.repartition(-(-rows.count() // each_task) or 1, key)
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pid, grp (true person), name, phone, email, school, major, desired, degree, name_keys of each customer."""
     grp, r = F.floor(F.col("c_custkey") / 10).cast("int"), F.col("c_custkey") % 10
