@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocking, evaluation, intervals, matching, merging, screening, search, sequential
 from ..storage import scratch
-from .common import jobs, profiles, sql, table, tags
+from .common import jobs, profiles, spread, sql, table, tags
 
 QUERIES, ORACLES = {}, {}
 
@@ -222,7 +222,7 @@ def search_kept_index(spark, d):
     again = first.join(back, F.expr("part_key = l_partkey"), "left_semi").withColumns({"version": F.lit(2).cast("bigint"), "p_type": F.lit("RETURNED")})
     path = scratch(spark, "postings")
     for docs in (first, again):
-        search.postings(docs, ["p_name", "p_type"], "part_key").write.mode("append").partitionBy("bucket").parquet(path)
+        search.postings(spread(docs, "part_key", 50_000), ["p_name", "p_type"], "part_key").write.mode("append").partitionBy("bucket").parquet(path)
     return search.find(spark.read.schema("gram string, col string, part_key bigint, version bigint, bucket int").parquet(path), first.unionByName(again), "Mall", "part_key")
 
 
