@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.text import CJK, RANGE, blank_to_null, date_point, first_email, first_phone, normalize_degree, parse_range, split_content, strip
+from ..storage import stored
 from ..types import CARD, EXPERIENCE, FIELD, SCHEMA_VERSION
 from .sections import HEADERS, joined, with_sections
 
@@ -112,31 +113,29 @@ def extract_cards(files: DataFrame) -> DataFrame:
     """
     key = "source_file"
     lines = files.select(key, F.explode("lines").alias("l")).select(key, "l.*").where(F.col("text") != "")
-    sections = with_sections(lines)
+    sections = stored(with_sections(lines), "sections")  # read by every part below; headers hold no value
     file = _name(F.col(key))
     proof = lambda raw, location: F.array(F.struct(file.alias("source_file"), raw.alias("snippet"), location.alias("location")))
 
-    def field(rank: int, name: Column, value: Column, confidence: float, raw: Column, location: Column, warning: Column | None = None) -> list[Column]:
+    def field(rank: int, name: Column, value: Column, confidence: float, raw: Column, location: Column, warning: Column | None = None) -> Column:
         warning = F.lit(None).cast("string") if warning is None else warning
-        return [F.col(key), name.alias("field"), F.lit(rank).alias("rank"), value.alias("value"), F.lit(confidence).alias("confidence"), proof(raw, location).alias("evidence"), warning.alias("warning")]
+        return F.struct(name.alias("field"), F.lit(rank).alias("rank"), value.alias("value"), F.lit(confidence).alias("confidence"), proof(raw, location).alias("evidence"), warning.alias("warning"))
+
+    def each(rows: DataFrame, *fields: Column) -> DataFrame:
+        """One row for each field that has a value."""
+        return rows.select(key, F.explode(F.filter(F.array(*fields), lambda f: f["value"].isNotNull())).alias("f")).select(key, "f.*")
 
     degree_note = lambda written, value: F.when(written != value, F.concat(F.lit("degree 原文「"), written, F.lit("」按枚举归一为「"), value, F.lit("」")))
     raw, location = F.col("raw"), F.col("location")
-    labels = labelled_fields(lines)
+    labels = labelled_fields(sections)
     note = F.when(F.col("field") == "degree", degree_note(F.col("as_written"), F.col("value")))
-    found = [labels.select(*field(0, F.col("field"), F.col("value"), 0.95, raw, location, note))]
-    contacts = first_contacts(lines)
-    for name, confidence in (("name", 0.9), ("phone", 0.95), ("email", 0.95)):
-        x = F.col(name)
-        found.append(contacts.where(x.isNotNull()).select(*field(1, F.lit(name), x["value"], confidence, x["raw"], x["location"])))
-    edu = education(sections)
-    graduated = F.lit("graduation_date 取教育区间终点（推断）")
-    for name, confidence in (("graduation_date", 0.8), ("school", 0.85), ("degree", 0.85), ("major", 0.8)):
-        x = F.col(name)
-        warning = {"graduation_date": graduated, "degree": degree_note(F.col("degree_written"), x)}.get(name)
-        found.append(edu.where(x.isNotNull()).select(*field(2, F.lit(name), x, confidence, raw, location, warning)).withColumn("rank", F.lit(2)))
+    found = [each(labels, field(0, F.col("field"), F.col("value"), 0.95, raw, location, note))]
+    place = lambda n: (F.col(n)["value"], F.col(n)["raw"], F.col(n)["location"])
+    found.append(each(first_contacts(sections), *(field(1, F.lit(n), v, c, r, at) for n, c in (("name", 0.9), ("phone", 0.95), ("email", 0.95)) for v, r, at in [place(n)])))
+    warnings = {"graduation_date": F.lit("graduation_date 取教育区间终点（推断）"), "degree": degree_note(F.col("degree_written"), F.col("degree"))}
+    found.append(each(education(sections), *(field(2, F.lit(n), F.col(n), c, raw, location, warnings.get(n)) for n, c in (("graduation_date", 0.8), ("school", 0.85), ("degree", 0.85), ("major", 0.8)))))
     wanted = sections.where("section = 'desired'").groupBy(key).agg(F.min(F.struct("line_no", "text", "raw", "location")).alias("x"))
-    found.append(wanted.select(*field(2, F.lit("desired_position"), F.col("x.text"), 0.9, F.col("x.raw"), F.col("x.location"))))
+    found.append(each(wanted, field(2, F.lit("desired_position"), F.col("x.text"), 0.9, F.col("x.raw"), F.col("x.location"))))
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
@@ -148,11 +147,11 @@ def extract_cards(files: DataFrame) -> DataFrame:
     jobs = experiences(sections).select(key, F.struct("section_no", "entry", F.struct(
         "company", "title", "start", "end", "confidence",
         F.transform("lines", lambda l: F.struct(file.alias("source_file"), l["raw"].alias("snippet"), l["location"].alias("location"))).alias("evidence")).alias("e")).alias("x"))
-    jobs = jobs.groupBy(key).agg(F.array_sort(F.collect_list("x"), lambda a, b: F.when(F.struct(a["section_no"], a["entry"]) < F.struct(b["section_no"], b["entry"]), -1).otherwise(1))["e"].alias("experiences"))
+    jobs = jobs.groupBy(key).agg(F.sort_array(F.collect_list("x"))["e"].alias("experiences"))
 
     def items(section: str, pool: list[str], out: str) -> DataFrame:
         x = content_items(sections, section, pool).select(key, F.struct("section_no", "pos", F.struct("value", F.lit(0.85).alias("confidence"), proof(raw, location).alias("evidence")).alias("v")).alias("x"))
-        return x.groupBy(key).agg(F.array_sort(F.collect_list("x"), lambda a, b: F.when(F.struct(a["section_no"], a["pos"]) < F.struct(b["section_no"], b["pos"]), -1).otherwise(1))["v"].alias(out))
+        return x.groupBy(key).agg(F.sort_array(F.collect_list("x"))["v"].alias(out))
 
     cards = files.select(key, "file_type", "file_sha256", "parsed_at")
     for part in (fields, jobs, items("skills", lexicon.SKILLS, "skills"), items("certs", lexicon.CERTIFICATES, "certificates")):
