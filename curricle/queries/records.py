@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import masking
 from ..operators import evaluation, extract, generation, matching, merging, privacy, screening
 from ..sources.documents import card_from_json, card_to_json
+from ..storage import stored
 from . import people as people_, texts
 from .common import jobs, profiles, sql, table, tags
 
@@ -49,8 +50,10 @@ def resumes(spark: SparkSession, d: str) -> DataFrame:
     listed = lambda title, c: F.when(F.col(c).isNotNull(), F.array(F.lit(title), F.array_join(c, "、"))).otherwise(F.array(no))
     lines = F.array_compact(F.concat(head, worked, listed("技能特长", "skills"), listed("证书", "certs"), F.array(F.lit("求职意向"), after("岗位 ", F.col("desired")))))
     own = jobs(spark, d).select("pid", F.struct("rn", "company", _month("s").alias("start"), _month("e").alias("end")).alias("x")).groupBy("pid").agg(F.array_sort(F.collect_list("x")).alias("worked"))
-    of = lambda kind, c: tags(spark, d).where(F.col("kind") == kind).groupBy("pid").agg(F.array_sort(F.collect_list("tag")).alias(c))
-    rows = profiles(spark, d).join(own, "pid", "left").join(of("skill", "skills"), "pid", "left").join(of("certificate", "certs"), "pid", "left")
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("tag"))))
+    tagged = tags(spark, d).groupBy("pid").agg(of("skill").alias("skills"), of("certificate").alias("certs"))
+    tagged = tagged.select("pid", *(F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("skills", "certs")))
+    rows = profiles(spark, d).join(own, "pid", "left").join(tagged, "pid", "left")
     rows = rows.select("pid", lines.alias("texts"))
     line = lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("raw"), x.alias("text"), F.concat(F.lit("L"), (i + 1).cast("string")).alias("location"))
     return rows.select("pid", F.concat(F.lit("in/"), p.cast("string"), F.lit(".txt")).alias("source_file"), F.lit("txt").alias("file_type"), F.sha2(F.array_join("texts", "\n"), 256).alias("file_sha256"),
@@ -102,7 +105,8 @@ def card_json(spark, d):
 @query(sql(_FIELDS + f", n AS ({_COUNTS}) SELECT {_FILE}, CAST(nf+ne+ni AS BIGINT) AS n_snippets, CAST(0 AS BIGINT) AS n_unsupported FROM n"))
 def card_evidence(spark, d):
     """How many snippets show each card's values, and how many of them aren't in the resume (none may be)."""
-    cards, raw = _cards(spark, d), resumes(spark, d).select("source_file", "raw_text")
+    files = stored(resumes(spark, d), "resumes")
+    cards, raw = stored(extract.extract_cards(files.drop("pid", "raw_text")), "cards"), files.select("source_file", "raw_text")
     shown = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["evidence"]))
     n = (shown(F.map_values("fields")) + shown("experiences") + shown("skills") + shown("certificates")).cast("bigint")
     wrong = extract.unsupported_evidence(cards, raw).groupBy("source_file").agg(F.count("*").alias("__wrong"))
