@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from ..types import CARD, SCHEMA_VERSION
 
 TRUTH_EXPERIENCE = "STRUCT<company: STRING, title: STRING, start: STRING, end: STRING>"
@@ -43,9 +44,13 @@ def card_to_json(cards: DataFrame, out: str = "card_json") -> DataFrame:
 
 def card_from_json(text: Column) -> Column:
     """A card of the schema version that this engine writes; other versions raise, text that isn't JSON is null."""
-    card = F.from_json(text, CARD)
-    other = card["schema_version"].isNotNull() & (card["schema_version"] != SCHEMA_VERSION)
-    return F.when(other, F.raise_error(F.concat(F.lit("card schema version "), card["schema_version"].cast("string"))).cast(f"STRUCT<{', '.join(x.replace(' ', ': ', 1) for x in _split(CARD))}>")).otherwise(card)
+    kind = f"STRUCT<{', '.join(x.replace(' ', ': ', 1) for x in _split(CARD))}>"
+
+    def checked(card: Column) -> Column:
+        other = card["schema_version"].isNotNull() & (card["schema_version"] != SCHEMA_VERSION)
+        return F.when(other, F.raise_error(F.concat(F.lit("card schema version "), card["schema_version"].cast("string"))).cast(kind)).otherwise(card)
+
+    return once(F.from_json(text, CARD), checked)
 
 
 def _split(ddl: str) -> list[str]:
