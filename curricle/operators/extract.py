@@ -30,7 +30,7 @@ def label_value(field: str, text: Column) -> Column:
 def labelled_fields(lines: DataFrame, key: str = "source_file") -> DataFrame:
     """key, field, value, raw, location, as_written: of each field, the first line with a valid value."""
     found = F.filter(F.array(*(F.struct(F.lit(f).alias("field"), label_value(f, F.col("text")).alias("value")) for f in LABELS)), lambda x: x["value"].isNotNull())
-    rows = lines.where(F.col("text").contains("：")).select(key, "line_no", "raw", "location", "text", F.explode(found).alias("f"))
+    rows = lines.where(F.col("text").contains("：")).select(key, "line_no", "raw", "location", "text", F.explode_outer(found).alias("f")).where("f is not null")
     first = rows.groupBy(key, F.col("f.field").alias("field")).agg(F.min(F.struct("line_no", F.col("f.value").alias("value"), "raw", "location", "text")).alias("x"))
     return first.select(key, "field", "x.value", "x.raw", "x.location", strip(F.substring_index("x.text", "：", -1)).alias("as_written"))
 
@@ -100,7 +100,8 @@ def experiences(sections: DataFrame, key: str = "source_file") -> DataFrame:
 def content_items(sections: DataFrame, section: str, pool: list[str], key: str = "source_file") -> DataFrame:
     """key, section_no, pos, value, raw, location of the items of skill or certificate sections."""
     rows = joined(sections.where(F.col("section") == section), [key, "section_no"])
-    return rows.select(key, "section_no", F.posexplode(split_content(F.col("text"), pool)).alias("pos", "value"), "raw", "location")
+    # an explode that isn't an outer one would split each text three times: Spark infers two conditions on its array and pushes these down
+    return rows.select(key, "section_no", F.posexplode_outer(split_content(F.col("text"), pool)).alias("pos", "value"), "raw", "location").where("pos is not null")
 
 
 def _name(path: Column) -> Column:
