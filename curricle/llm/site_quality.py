@@ -5,13 +5,13 @@
    paths towards their host, by beta priors whose strengths are estimated from how much sites differ (empirical Bayes).
 3. The document's log-odds move by what its path's posterior differs from the global mean.
 
-The model is fitted on at most LABELLED labelled documents, taken in the order of a hash of their id; all else covers
-all documents.
+The model is fitted on all labelled documents: each Newton step is a job that adds up gradient and curvature over them, of which
+the driver sees one vector of fixed size for each task. All else covers all documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,6 @@ from .common import looked_up, mapped, maybe_in, pieces, raw, small_batches, sto
 from .host_rules import beta_prior
 from .textstats import FEATURES, features
 
-LABELLED = 20_000
-
 
 def _features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns in keep and `x`, the features of a text as doubles."""
@@ -41,23 +39,46 @@ def _features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return mapped(rows, f, f"{schema}x array<double>")
 
 
+#: A vector of sums over some rows: their features (a row each) and labels.
+Sums = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 class Logistic:
     """Ridge logistic regression over standardised features and their squares, by Newton steps."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30):
-        x = self._wide(x)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        x = np.hstack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))])
-        w = np.zeros(x.shape[1])
+        self._fit(lambda f: f(x, y), ridge, steps)
+
+    @classmethod
+    def over(cls, total: Callable[[Sums], np.ndarray], ridge: float = 1.0, steps: int = 30) -> Logistic:
+        """The model of rows that are in many places: total(f) adds up f over all of them."""
+        out = cls.__new__(cls)
+        out._fit(total, ridge, steps)
+        return out
+
+    def _fit(self, total: Callable[[Sums], np.ndarray], ridge: float, steps: int) -> None:
+        wide = self._wide
+        n, *sums = total(lambda x, y: np.concatenate([[len(x)], wide(x).sum(axis=0)]))
+        mean = np.array(sums) / n
+        scale = np.sqrt(total(lambda x, y: ((wide(x) - mean) ** 2).sum(axis=0)) / n) + 1e-9
+        w = np.zeros(len(mean) + 1)
         penalty = np.full(len(w), ridge)
         penalty[-1] = 1e-6
+
+        def slopes(w: np.ndarray) -> Sums:
+            def f(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                x = np.hstack([np.clip((wide(x) - mean) / scale, -8, 8), np.ones((len(x), 1))])
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                return np.concatenate([x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+            return f
+
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-            w += step
+            all_ = total(slopes(w))
+            step = np.linalg.solve(all_[len(w):].reshape(len(w), len(w)) + np.diag(penalty), all_[: len(w)] - penalty * w)
+            w = w + step
             if np.abs(step).max() < 1e-8:
                 break
-        self.weights = w
+        self.mean, self.scale, self.weights = mean, scale, w
 
     @staticmethod
     def _wide(x: np.ndarray) -> np.ndarray:
@@ -69,16 +90,33 @@ class Logistic:
         return np.clip((x * self.weights[:-1]).sum(axis=1) + self.weights[-1], -30, 30)
 
 
-def fit(df: DataFrame, labels: DataFrame, id_: str, text: str, label: str, most: int = LABELLED) -> Logistic:
-    """The model from labelled rows of df (labels: id_ and a 0/1 column). Without both kinds of labels it says nothing (log-odds 0)."""
-    known = labels.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).dropna().dropDuplicates(["id"])
-    known = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    docs = df.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = maybe_in(docs, "id", known, "id").join(known.withColumnRenamed("id", "i2"), F.expr("id = i2")).select("id", "y", "text")
-    held = _features(rows, "text", ["id", "y"]).toPandas().sort_values(["id", "y"])  # at most `most` labels
-    if held["y"].nunique() < 2:
+def _total(rows: DataFrame) -> Callable[[Sums], np.ndarray]:
+    """What adds up a function over all rows (x, y): each task gives one vector, added in the order of the tasks."""
+    def total(f: Sums) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = None
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+                    more = f(x, batch.column(1).to_numpy())
+                    sums = more if sums is None else sums + more
+            if sums is not None:
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(sums)], pa.int32()), pa.array(sums))], ["v"])
+
+        parts = rows.mapInArrow(run, "v array<double>").withColumn("at", F.spark_partition_id()).collect()
+        return np.sum([r["v"] for r in sorted(parts, key=lambda r: r["at"])], axis=0)
+
+    return total
+
+
+def fit(rows: DataFrame, labels: DataFrame, id_: str, label: str) -> Logistic:
+    """The model from all labelled rows (id, x: features; labels: id_ and a 0/1 column). Without both kinds of labels it says nothing (log-odds 0)."""
+    known = labels.select(F.col(f"`{id_}`").alias("i2"), F.col(f"`{label}`").cast("double").alias("y")).dropna().dropDuplicates(["i2"])
+    held = stored(maybe_in(rows.select("id", "x"), "id", known, "i2").join(known, F.expr("id = i2")).select("x", "y"), "labelled")
+    ends = held.agg(F.min("y").alias("a"), F.max("y").alias("b")).first()
+    if ends["a"] == ends["b"]:
         return Logistic(np.zeros((2, len(FEATURES))), np.array([0.0, 1.0]))
-    return Logistic(np.stack(held["x"].to_numpy()), held["y"].to_numpy())
+    return Logistic.over(_total(held))
 
 
 def _logit(p: Column) -> Column:
@@ -103,25 +141,22 @@ def posterior(scores: DataFrame) -> DataFrame:
 
 
 def classify(df: DataFrame, labels: DataFrame, id_: str = "doc_id", host: str = "source", path: str = "lang", text: str = "text",
-             label: str = "quality", least: float = 0.5, most: int = LABELLED) -> DataFrame:
+             label: str = "quality", least: float = 0.5) -> DataFrame:
     """One row for each row of df: id, log_odds, host_posterior, path_posterior, quality, kept.
 
     A document is kept if its quality is `least` or more. Null hosts and paths are sites of their own; a null or empty text
     has zero features; rows are scored each, so repeated rows have equal results. An empty table gives an empty result.
     """
-    model = fit(df, labels, id_, text, label, most)
     site = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("-"))
-    rows = df.select(F.col(f"`{id_}`").alias("id"), site(host).alias("site"), site(path).alias("path"), F.col(f"`{text}`").cast("binary").alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, site string, path string, log_odds double"
-    small_batches(df.sparkSession)
+    rows = df.select(F.col(f"`{id_}`").alias("id"), site(host).alias("site"), site(path).alias("path"), F.col(f"`{text}`").alias("text"))
+    rows = stored(_features(rows, "text", ["id", "site", "path"]), "features")
+    model = fit(rows, labels, id_, label)
 
     def f(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        data, at = raw(batch.column(3))
-        for i, j in pieces(at):
-            x = features(data[at[i]: at[j]], at[i: j + 1] - at[i])
-            yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:3]), pa.array(model.log_odds(x))], ["id", "site", "path", "log_odds"])
+        x = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(model.log_odds(x))], ["id", "site", "path", "log_odds"])
 
-    scores = stored(mapped(rows, f, schema), "scores")
+    scores = stored(mapped(rows, f, f"id {rows.schema['id'].dataType.simpleString()}, site string, path string, log_odds double"), "scores")
     out = posterior(scores)
     return out.select("id", "log_odds", "host_posterior", "path_posterior", "quality", (F.col("quality") >= least).alias("kept"))
 

@@ -99,3 +99,14 @@ def test_held_out_accuracy(spark):
     good = [r.kept for r in held if r.y == 1]
     bad = [r.kept for r in held if r.y == 0]
     assert len(bad) > 15 and sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.15
+
+
+def test_all_labels_count(spark):
+    """The model is that of all labelled rows at once, here 20,500 over several tasks."""
+    texts = [f"word{i % 97} " * (i % 13 + 1) + "!" * (i % 5) for i in range(20_500)]
+    y = [int(i * 7919 % 101 < 30 + 9 * (i % 5)) for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id bigint, quality int")
+    got = [r.log_odds for r in site_quality.classify(docs, labels).orderBy("id").collect()]
+    x = site_quality.features(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    np.testing.assert_allclose(got, site_quality.Logistic(x, np.array(y, float)).log_odds(x), rtol=1e-6, atol=1e-8)
