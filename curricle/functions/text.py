@@ -56,8 +56,7 @@ def normalize_line(x: Column, clean_spaces: bool = True) -> Column:
 
 def physical_lines(text: Column) -> Column:
     """The lines of a text in order; a line end at the very end opens no further line."""
-    lines = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return once(F.split(text, LINE_END, -1), lambda lines: F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines))
 
 
 def _parts(x: Column, pattern: str, n: int) -> Column:

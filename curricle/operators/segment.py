@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SEPARATOR, strip
+from ..functions.text import SEPARATOR, once, strip
 from ..storage import stored
 
-#: A dictionary of at most so many bytes is broadcast.
+#: A dictionary, or what is found of texts, of at most so many bytes is broadcast.
 SMALL = 16 << 20
+#: Characters that are looked at first, before a whole text is.
+AHEAD = 32
 _LEAD = r"(?U)^\s+"
 _SPACE = r"(?U)^\s$"
 
@@ -52,7 +54,9 @@ def segmented(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFr
     rows_of = known.count() * (max(lengths) * 3 + 64)  # bytes, at most
     meets = F.broadcast(known) if rows_of <= SMALL else known.hint("merge")
     rows = texts.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"), F.lower(F.col(f"`{text}`")).alias("__low")).where(F.length("__low") == F.length("__text"))
-    rows = rows.where((F.col("__low") != "") & (F.translate("__low", _letters(known), "").rlike(r"(?U)^\s*$")))
+    letters = _letters(known)
+    of_letters = lambda x: F.translate(x, letters, "").rlike(r"(?U)^\s*$")
+    rows = stored(rows.where((F.col("__low") != "") & of_letters(F.substring("__low", 1, AHEAD)) & of_letters(F.col("__low"))), "made-of")
     first = rows.select("__key", F.explode(F.array_distinct(_starts(F.regexp_replace("__low", _LEAD, ""), 1, lengths))).alias("__s"))
     begun = first.join(meets, F.col("__s") == F.col("__e"), "left_semi").select(F.col("__key").alias("__begun")).distinct()
     rows = stored(rows.join(begun, F.col("__key") == F.col("__begun"), "left_semi"), "begun")
@@ -77,34 +81,46 @@ def segmented(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFr
     return whole.select(F.col("__key").alias(key), items.alias("items"))
 
 
+def _with(rows: DataFrame, found: DataFrame, of: str) -> DataFrame:
+    """rows with what was found of some of them, by the key `of`. If that is little, it goes to the rows, which aren't shuffled then."""
+    found = stored(found, "found")
+    size = found.agg(F.sum(F.octet_length(F.to_json(F.struct(*found.columns)))).cast("bigint")).first()[0] or 0
+    return rows.join(F.broadcast(found) if size <= SMALL else found.hint("merge"), F.col("__key") == F.col(of), "left").drop(of)
+
+
 def split_labels(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
     """key, items: every text's labels. A text of nothing but entries is cut between them; others are cut at separators, where neighbours that make
     an entry together (the text between them included) join again, from left to right. Keys are distinct; null texts have no labels.
     """
     cut = segmented(texts, key, text, known).select(F.col(key).alias("__cut"), F.col("items").alias("__items"))
-    rows = texts.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).withColumn("__pieces", F.split("__text", SEPARATOR, -1)).withColumn(
-        "__marks", F.regexp_extract_all("__text", F.lit(f"({SEPARATOR})"), 1))
+    rows = texts.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
+    pieces, marks = F.split("__text", SEPARATOR, -1), F.regexp_extract_all("__text", F.lit(f"({SEPARATOR})"), 1)
+    parted = F.struct(pieces.alias("pieces"), marks.alias("marks"))
     marked = stored(known.withColumn("__m", F.size(F.regexp_extract_all("entry", F.lit(f"({SEPARATOR})"), 1))).where("__m > 0"), "marked-entries")
-    most = marked.agg(F.max("__m")).first()[0]
+    most, longest = marked.agg(F.max("__m"), F.max(F.length("entry"))).first()
+    none = F.array().cast("array<string>")
     if most is None:
-        rows = rows.withColumn("__known", F.array().cast("array<string>"))
+        out = rows.withColumn("__known", none)
     else:
-        # runs of neighbours, up to as many as any entry has parts, that make an entry
-        tokens = F.expr("flatten(transform(__pieces, (p, i) -> array(p, coalesce(get(__marks, i), ''))))")
-        starts = rows.where("size(__marks) > 0").select("__key", tokens.alias("__t"), F.expr("explode(sequence(0, size(__marks) - 1))").alias("__i"))
-        runs = starts.select("__key", F.expr(f"explode(sequence(2, least({most} + 1, size(__t) div 2 - __i)))").alias("__l"), "__i", "__t")
-        runs = runs.select("__key", F.lower(strip(F.array_join(F.expr("slice(__t, 2 * __i + 1, 2 * __l - 1)"), ""))).alias("__run"))
-        met = runs.join(marked.select("entry"), F.col("__run") == F.col("entry"), "left_semi").groupBy("__key").agg(F.collect_set("__run").alias("__known"))
-        rows = rows.join(met.withColumnRenamed("__key", "__of"), F.col("__key") == F.col("__of"), "left").withColumn("__known", F.coalesce("__known", F.array().cast("array<string>")))
-
-    def step(done: Column, i: Column) -> Column:
-        piece = F.get("__pieces", i)
-        joined = F.concat(F.element_at(done, -1), F.get("__marks", i - 1), piece)
-        again = (F.size(done) > 0) & F.array_contains("__known", F.lower(strip(joined)))
-        return F.when(again, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(piece)))
-
-    folded = F.aggregate(F.sequence(F.lit(0), F.size("__pieces") - 1), F.array().cast("array<string>"), step)
-    plain = F.when(F.size("__known") == 0, F.col("__pieces")).otherwise(folded)
+        # runs of neighbours, up to as many as any entry has parts, that make an entry; lower case is never shorter
+        tokens = once(parted, lambda c: F.flatten(F.transform(c["pieces"], lambda p, i: F.array(p, F.coalesce(F.get(c["marks"], i), F.lit(""))))))
+        run = lambda t, i, n: strip(F.array_join(F.slice(t, 2 * i + 1, 2 * n - 1), ""))
+        runs_at = lambda t, i: F.transform(F.sequence(F.lit(2), F.least(F.lit(most + 1), (F.size(t) / 2).cast("int") - i)), lambda n: run(t, i, n))
+        runs = once(tokens, lambda t: F.flatten(F.transform(F.sequence(F.lit(0), (F.size(t) / 2).cast("int") - 2), lambda i: runs_at(t, i))))
+        runs = F.transform(F.filter(runs, lambda r: F.length(r) <= longest), F.lower)
+        # an explode that isn't an outer one would make all runs again for the conditions that Spark infers
+        each = rows.where(F.col("__text").rlike(SEPARATOR)).select("__key", F.explode_outer(runs).alias("__run")).where("__run is not null")
+        met = each.join(marked.select("entry"), F.col("__run") == F.col("entry"), "left_semi").groupBy(F.col("__key").alias("__of")).agg(F.collect_set("__run").alias("__known"))
+        out = _with(rows, met, "__of").withColumn("__known", F.coalesce("__known", none))
+
+    def folded(c: Column) -> Column:
+        def step(done: Column, i: Column) -> Column:
+            piece = F.get(c["pieces"], i)
+            joined = F.concat(F.element_at(done, -1), F.get(c["marks"], i - 1), piece)
+            again = (F.size(done) > 0) & F.array_contains("__known", F.lower(strip(joined)))
+            return F.when(again, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(piece)))
+        return F.aggregate(F.sequence(F.lit(0), F.size(c["pieces"]) - 1), none, step)
+
+    plain = F.when(F.size("__known") == 0, pieces).otherwise(once(parted, folded))
     parts = F.filter(F.transform(plain, strip), lambda v: v != "")
-    out = rows.join(cut, F.col("__key") == F.col("__cut"), "left")
-    return out.select(F.col("__key").alias(key), F.coalesce("__items", parts, F.array().cast("array<string>")).alias("items"))
+    return _with(out, cut, "__cut").select(F.col("__key").alias(key), F.coalesce("__items", parts, none).alias("items"))
