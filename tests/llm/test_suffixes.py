@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from curricle.llm import suffixes
 
@@ -78,6 +79,40 @@ def test_intervals_are_those_of_the_suffix_tree():
         assert got == want
 
 
+def _covered_by_pairs(rights, lefts, length, group):
+    before, after = [0] * len(rights), [0] * len(rights)
+    for i in range(len(rights)):
+        for j in range(len(rights)):
+            if i != j and group[i] == group[j]:
+                right, left = suffixes.common(rights[i], rights[j]), suffixes.common(lefts[i], lefts[j])
+                if right + left >= length:
+                    before[i], after[i] = max(before[i], left), max(after[i], right)
+    return before, after
+
+
+@pytest.mark.parametrize("steps", [0, 1, 2, 500])
+def test_many_groups_are_scanned_together(monkeypatch, steps):
+    rng = random.Random(11)
+    monkeypatch.setattr(suffixes, "STEPS", steps)
+    for _ in range(200):
+        letters, n = rng.choice([b"a", b"ab", b"\0a"]), rng.randrange(1, 25)
+        rights, lefts = ([bytes(rng.choice(letters) for _ in range(rng.randrange(9))) for _ in range(n)] for _ in range(2))
+        group, length = np.sort([rng.randrange(3) for _ in range(n)]), rng.randrange(3, 12)
+        got = suffixes.covered(rights, lefts, length, group)
+        assert tuple(x.tolist() for x in got) == _covered_by_pairs(rights, lefts, length, group)
+
+
+def test_groups_need_no_scan_of_each_repeat(monkeypatch):
+    """A group of many near copies, whose scan cost some ten numpy calls for each of its intervals, is settled by neighbours."""
+    rng = random.Random(12)
+    monkeypatch.setattr(suffixes.SuffixGroup, "groups", lambda *_: pytest.fail("scanned by maximal repeats"))
+    whole = [bytes(rng.choice(b"abcdefgh") for _ in range(200)) for _ in range(2)]
+    edit = lambda b: b[: (k := rng.randrange(60, len(b)))] + b"#%d" % rng.randrange(999) + b[k:]
+    rights, lefts = ([edit(b) for _ in range(150)] for b in whole)
+    before, after = suffixes.covered(rights, lefts, 250)
+    assert (before.tolist(), after.tolist()) == _covered_by_pairs(rights, lefts, 250, [0] * 150)
+
+
 def check_groups(rows, found, length):
     """Every repeated window lies in a group that has all of its occurrences; the members of a group are equal and can't all be extended within reach."""
     bodies = {i: (t or "").encode() for i, t in rows}
