@@ -1,5 +1,10 @@
 """Registered queries over texts report everything that their operators find."""
 
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import pytest
 from curricle import catalogue
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -34,3 +39,23 @@ def test_every_document_is_predicted(spark, tmp_path):
     f1 = [2 * p * r / (p + r) for p, r in ((6 / 7, 6 / 8), (1 / 7, 1 / 8))]
     row = catalogue.QUERIES["eval_macro_f1"](spark, d).first()
     assert row.n_groups == 2 and abs(row.macro_f1 - sum(f1) / 2) < 1e-6
+
+
+#: Texts whose lines may be read in two ways: none, blank ones, newlines at the end, other line ends, white space of other scripts.
+ODD = ["", None, "\n", "\n\n", "a\n", "a@b.org\n", "x\r\ny@z.org\r\n", "p\x0bq, r", "a b@c.de", "u\x85v、w", "\r", "one , two\n\x0b, three", "中 文 字|  x ", "  ", "l1\x1cl2", "x ,　y ", "a\x0cb", "\tq\t", "A@B.c0m a@b.com\nc@d.net"]
+
+
+def differing(spark, d, name):
+    """Rows that a query and its SQL don't share."""
+    duck = duckdb.connect()
+    for t in Path(d).glob("*.parquet"):
+        duck.execute(f"CREATE VIEW {t.stem} AS SELECT * FROM read_parquet('{t}{'/*.parquet' if t.is_dir() else ''}')")
+    theirs = duck.sql(catalogue.ORACLES[name])
+    ours = Counter(tuple(r[c] for c in theirs.columns) for r in catalogue.QUERIES[name](spark, d).collect())
+    theirs = Counter(theirs.fetchall())
+    return ours - theirs, theirs - ours
+
+
+@pytest.mark.parametrize("name", ["extract_first_contact", "text_lines"])
+def test_odd_lines_equal_sql(spark, tmp_path, name):
+    assert differing(spark, written(spark, tmp_path, ODD), name) == (Counter(), Counter())
