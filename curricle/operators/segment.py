@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SEPARATOR, once, strip
+from ..functions.text import SEPARATOR, WHITE, once, strip
 from ..storage import stored
 
 #: A dictionary, or what is found of texts, of at most so many bytes is broadcast.
@@ -88,9 +88,9 @@ def _with(rows: DataFrame, found: DataFrame, of: str) -> DataFrame:
     return rows.join(F.broadcast(found) if size <= SMALL else found.hint("merge"), F.col("__key") == F.col(of), "left").drop(of)
 
 
-def split_labels(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
+def split_labels(texts: DataFrame, key: str, text: str, known: DataFrame, white: str = WHITE) -> DataFrame:
     """key, items: every text's labels. A text of nothing but entries is cut between them; others are cut at separators, where neighbours that make
-    an entry together (the text between them included) join again, from left to right. Keys are distinct; null texts have no labels.
+    an entry together (the text between them included) join again, from left to right. Keys are distinct; null texts have no labels. White space at both ends of a label goes.
     """
     cut = segmented(texts, key, text, known).select(F.col(key).alias("__cut"), F.col("items").alias("__items"))
     rows = texts.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
@@ -122,5 +122,5 @@ def split_labels(texts: DataFrame, key: str, text: str, known: DataFrame) -> Dat
         return F.aggregate(F.sequence(F.lit(0), F.size(c["pieces"]) - 1), none, step)
 
     plain = F.when(F.size("__known") == 0, pieces).otherwise(once(parted, folded))
-    parts = F.filter(F.transform(plain, strip), lambda v: v != "")
+    parts = F.filter(F.transform(plain, lambda v: F.btrim(v, F.lit(white))), lambda v: v != "")
     return _with(out, cut, "__cut").select(F.col("__key").alias(key), F.coalesce("__items", parts, none).alias("items"))

@@ -59,3 +59,9 @@ def differing(spark, d, name):
 @pytest.mark.parametrize("name", ["extract_first_contact", "text_lines"])
 def test_odd_lines_equal_sql(spark, tmp_path, name):
     assert differing(spark, written(spark, tmp_path, ODD), name) == (Counter(), Counter())
+
+
+def test_odd_labels_equal_sql(spark, tmp_path, data):
+    d = written(spark, tmp_path, [*ODD, "a\u2003,b", "\x0ba、\u2003|b\u3000", ", \u2003 ,"])
+    spark.read.parquet(f"{data}/part.parquet").write.parquet(f"{d}/part.parquet")
+    assert differing(spark, d, "text_split_documents") == (Counter(), Counter())
